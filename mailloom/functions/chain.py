@@ -137,7 +137,7 @@ def _header_value(block: Column, name: str) -> Column:
 
 def split_chain(c: Column | str) -> Column:
     """``array<struct<index, headers, body>>``; a header given twice keeps its last value."""
-    c = as_col(c)
+    c = F.coalesce(as_col(c), F.lit(""))
     blocks = F.regexp_extract_all(_unix_lines(c), F.lit(_REAL_DIVIDER), 1)
     pairs = F.arrays_zip(
         segment_bodies(c).alias("body"), F.concat(F.array(F.lit("")), blocks).alias("block")
