@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailloom.functions.text import LINE_WS, any_of, as_col, has_text, java_regex, let, trim_ws
+from mailloom.functions.text import LINE_WS, any_of, as_col, has_text, java_regex, let, trim_ws, words_regex
 
 # Header names that may follow a divider.
 HEADER_NAMES = ("from", "sent", "to", "subject", "date", "cc")
@@ -105,7 +105,7 @@ _CID_LINE = rf"^{_W}*\[cid:[^\]]*\]{_W}*\z"
 
 def _one_line(pattern: str) -> str:
     """White space in the pattern must not cross into the next line."""
-    return java_regex(pattern).replace(java_regex(r"\s"), _W).replace(java_regex(r"[\s]")[1:-1], LINE_WS)
+    return words_regex(pattern).replace(java_regex(r"\s"), _W).replace(java_regex(r"[\s]")[1:-1], LINE_WS)
 
 
 _SIGNATURE = (
@@ -163,16 +163,19 @@ def remove_cid_lines(c: Column | str) -> Column:
 
 def classify(c: Column | str) -> Column:
     """Segment type by wording; the first type in this order of tests wins."""
-    text = F.lower(as_col(c))
-    question = F.contains(text, F.lit("?")) & ~text.rlike(any_of(r"\battach"))
-    return (
-        F.when(~has_text(c), UNCLASSIFIED)
-        .when(text.rlike(any_of(*ATTACHMENT_PATTERNS)), ATTACHMENT_RECEIVED)
-        .when(text.rlike(any_of(*CHASE_PATTERNS)), DID_YOU_RECEIVE)
-        .when(text.rlike(any_of(*REQUEST_PATTERNS)), SEND_DATA)
-        .when(question & text.rlike(any_of(*BOOLEAN_PATTERNS)), BOOLEAN_RESPONSE)
-        .otherwise(UNCLASSIFIED)
-    )
+
+    def by_wording(text: Column) -> Column:
+        question = F.contains(text, F.lit("?")) & ~text.rlike(any_of(r"\battach"))
+        return (
+            F.when(~has_text(text), UNCLASSIFIED)
+            .when(text.rlike(any_of(*ATTACHMENT_PATTERNS)), ATTACHMENT_RECEIVED)
+            .when(text.rlike(any_of(*CHASE_PATTERNS)), DID_YOU_RECEIVE)
+            .when(text.rlike(any_of(*REQUEST_PATTERNS)), SEND_DATA)
+            .when(question & text.rlike(any_of(*BOOLEAN_PATTERNS)), BOOLEAN_RESPONSE)
+            .otherwise(UNCLASSIFIED)
+        )
+
+    return let(F.lower(as_col(c)), by_wording)
 
 
 def type_counts(types: Column | str) -> Column:
@@ -270,14 +273,21 @@ def message_content(c: Column | str) -> Column:
 
 def is_thank_you(c: Column | str) -> Column:
     """Short thanks without a further request, at most three sentences."""
-    content = F.regexp_replace(message_content(c), rf"\n(?:{_W}*\n)*", " ")
-    sentences = F.regexp_count(content, F.lit(java_regex(r"[^.!?\s][^.!?]*")))
-    return F.coalesce(
-        content.rlike(any_of(*THANKS_PATTERNS, ignore_case=True))
-        & ~content.rlike(any_of(*FOLLOW_UP_PATTERNS, ignore_case=True))
-        & (sentences <= 3),
-        F.lit(False),
-    )
+    c = as_col(c)
+
+    def short_thanks(content: Column) -> Column:
+        sentences = F.regexp_count(content, F.lit(java_regex(r"[^.!?\s][^.!?]*")))
+        return (
+            content.rlike(any_of(*THANKS_PATTERNS, ignore_case=True))
+            & ~content.rlike(any_of(*FOLLOW_UP_PATTERNS, ignore_case=True))
+            & (sentences <= 3)
+        )
+
+    # Every phrase contains one of these, and the content is part of the text.
+    lowered = F.lower(c)
+    worth_a_look = F.contains(lowered, F.lit("thank")) | F.contains(lowered, F.lit("appreciate"))
+    one_line = F.regexp_replace(message_content(c), rf"\n(?:{_W}*\n)*", " ")
+    return F.coalesce(worth_a_look & let(one_line, short_thanks), F.lit(False))
 
 
 def newest_text_segment(bodies: Column | str) -> Column:

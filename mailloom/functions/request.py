@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailloom.functions import dates
-from mailloom.functions.text import any_of, as_col, find, java_regex, let
+from mailloom.functions.text import any_of, as_col, find, let, words_regex
 
 # Number words, common misspellings included.
 NUMBER_WORDS = {
@@ -139,32 +139,42 @@ AMOUNT = r"\$[\d,]+\.\d{2}"
 def words_to_digits(c: Column | str) -> Column:
     """Lower-case the text and replace number words; "twenty four" becomes 24.
 
-    A tens word in front of a unit keeps its first digit only and the unit supplies the second,
-    with a marker in between so that word boundaries still hold.
+    The text is cut in front of every number word and each piece swaps its first word. A tens
+    word before a unit is marked first: it gives only its first digit, the unit gives the second.
     """
-    text = F.lower(as_col(c))
-    any_word = java_regex(r"\b(?:" + "|".join(NUMBER_WORDS) + r")\b")
-    units = "|".join(UNITS)
-    folded = text
-    for word in TENS:
-        tens = str(NUMBER_WORDS[word] // 10)
-        folded = F.regexp_replace(folded, java_regex(rf"\b{word}\s+(?=(?:{units})\b)"), tens + "\x01")
-    by_value: dict[int, list[str]] = {}
-    for word, value in NUMBER_WORDS.items():
-        by_value.setdefault(value, []).append(word)
-    for value, words in by_value.items():
-        folded = F.regexp_replace(folded, java_regex(rf"\b(?:{'|'.join(words)})\b"), str(value))
-    return F.when(text.rlike(any_word), F.replace(folded, F.lit("\x01"), F.lit(""))).otherwise(text)
+    tens, units, words = ("|".join(w) for w in (TENS, UNITS, NUMBER_WORDS))
+    mark = "\x01"
+    marked = F.regexp_replace(
+        F.lower(as_col(c)), words_regex(rf"\b({tens})\s+(?=(?:{units})\b)"), "$1" + mark
+    )
+    values = {w: str(v) for w, v in NUMBER_WORDS.items()}
+    values |= {w + mark: str(NUMBER_WORDS[w] // 10) for w in TENS}
+    digits = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+    def swap(piece: Column, i: Column) -> Column:
+        word = F.regexp_extract(piece, rf"^(?:{words})(?:{mark}|(?!\w))", 0)
+        rest = F.substring(piece, F.length(word) + 1, F.length(piece))
+        return F.when(word == "", piece).otherwise(F.concat(F.try_element_at(digits, word), rest))
+
+    pieces = F.split(marked, words_regex(rf"\b(?=[{_first_letters(NUMBER_WORDS)}])(?=(?:{words})\b)"))
+    return F.array_join(F.transform(pieces, swap), "")
+
+
+def _first_letters(words) -> str:
+    return "".join(sorted({w[0] for w in words}))
 
 
 def document_type(c: Column | str) -> Column:
     """Canonical type of the longest-named entry with an alias anywhere in the text, or null."""
-    text = F.lower(as_col(c))
-    chain = F
-    for canonical, aliases in sorted(DOCUMENT_TYPES, key=lambda d: -len(d[0])):
-        hit = reduce(Column.__or__, (F.contains(text, F.lit(alias)) for alias in _shortest(aliases)))
-        chain = chain.when(hit, canonical)
-    return chain
+
+    def first_named(text: Column) -> Column:
+        chain = F
+        for canonical, aliases in sorted(DOCUMENT_TYPES, key=lambda d: -len(d[0])):
+            hit = reduce(Column.__or__, (F.contains(text, F.lit(alias)) for alias in _shortest(aliases)))
+            chain = chain.when(hit, canonical)
+        return chain
+
+    return let(F.lower(as_col(c)), first_named)
 
 
 def _shortest(aliases: tuple[str, ...]) -> list[str]:
@@ -199,7 +209,7 @@ def short_date(c: Column, ref_date: dt.date) -> Column:
 
 def relative_range(text: Column, ref_date: dt.date) -> Column:
     """``last 3 months`` and its variants, ending at the reference date."""
-    ref, rx = F.lit(ref_date), java_regex(RELATIVE, ignore_case=True)
+    ref, rx = F.lit(ref_date), words_regex(RELATIVE, ignore_case=True)
     number, unit = F.regexp_extract(text, rx, 1), F.lower(F.regexp_extract(text, rx, 2))
     kind = (
         F.when(unit.startswith("m"), "month")
@@ -216,7 +226,7 @@ def relative_range(text: Column, ref_date: dt.date) -> Column:
 
 def this_period_range(text: Column, ref_date: dt.date) -> Column:
     """``this month``, ``this week`` (from Sunday) or ``this year``."""
-    rx = java_regex(THIS_PERIOD, ignore_case=True)
+    rx = words_regex(THIS_PERIOD, ignore_case=True)
     unit = F.lower(F.regexp_extract(text, rx, 1))
     sunday = ref_date - dt.timedelta(days=ref_date.isoweekday() % 7)
     start = (
@@ -233,17 +243,17 @@ def year_to_date_range(text: Column, ref_date: dt.date) -> Column:
     span = _range(
         dates.mdy(F.lit(ref_date.replace(month=1, day=1))), dates.mdy(F.lit(ref_date)), "year to date"
     )
-    return F.when(text.rlike(java_regex(YEAR_TO_DATE, ignore_case=True)), span)
+    return F.when(text.rlike(words_regex(YEAR_TO_DATE, ignore_case=True)), span)
 
 
 def quarter_to_date_range(text: Column, ref_date: dt.date) -> Column:
     first = ref_date.replace(month=(ref_date.month - 1) // 3 * 3 + 1, day=1)
     span = _range(dates.mdy(F.lit(first)), dates.mdy(F.lit(ref_date)), "quarter to date")
-    return F.when(text.rlike(java_regex(QUARTER_TO_DATE, ignore_case=True)), span)
+    return F.when(text.rlike(words_regex(QUARTER_TO_DATE, ignore_case=True)), span)
 
 
 def _two_dates(text: Column, pattern: str, parse, description: str) -> Column:
-    rx = java_regex(pattern, ignore_case=True)
+    rx = words_regex(pattern, ignore_case=True)
     first, second = (parse(F.regexp_extract(text, rx, g)) for g in (1, 2))
     return F.when(text.rlike(rx), _range(first, second, description))
 
@@ -265,7 +275,7 @@ def compact_range(text: Column, ref_date: dt.date) -> Column:
 
 def month_range(text: Column) -> Column:
     """``for March 2026``: that whole month."""
-    rx = java_regex(MONTH_OF_YEAR, ignore_case=True)
+    rx = words_regex(MONTH_OF_YEAR, ignore_case=True)
     name, year = F.regexp_extract(text, rx, 1), F.regexp_extract(text, rx, 2).try_cast("int")
     short = F.lower(F.substring(name, 1, 3))
     month = F.array_position(F.array(*[F.lit(m[0]) for m in MONTHS]), short).cast("int")
@@ -276,14 +286,14 @@ def month_range(text: Column) -> Column:
 
 def after_range(text: Column, ref_date: dt.date) -> Column:
     """``after D``, ``since D``: until the reference date."""
-    found = find(text, java_regex(AFTER, ignore_case=True), 1)
+    found = find(text, words_regex(AFTER, ignore_case=True), 1)
     span = _range(short_date(found, ref_date), dates.mdy(F.lit(ref_date)), F.concat(F.lit("after "), found))
     return F.when(found.isNotNull(), span)
 
 
 def before_range(text: Column, ref_date: dt.date) -> Column:
     """``before D``: open start."""
-    found = find(text, java_regex(BEFORE, ignore_case=True), 1)
+    found = find(text, words_regex(BEFORE, ignore_case=True), 1)
     span = _range(None, short_date(found, ref_date), F.concat(F.lit("before "), found))
     return F.when(found.isNotNull(), span)
 
@@ -328,8 +338,8 @@ def date_range(c: Column | str, ref_date: dt.date) -> Column:
 def date_fragment(c: Column | str, ref_date: dt.date) -> Column:
     """``M/D/Y``, ``M/D`` or ``Month D[, YYYY]`` to a date; days and months roll over."""
     text = F.trim(as_col(c))
-    numeric = java_regex(r"^(\d{1,2})\/(\d{1,2})(?:\/(\d{2,4}))?$")
-    named = java_regex(r"^([A-Za-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s*(\d{4}))?$")
+    numeric = words_regex(r"^(\d{1,2})\/(\d{1,2})(?:\/(\d{2,4}))?$")
+    named = words_regex(r"^([A-Za-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s*(\d{4}))?$")
     is_numeric = text.rlike(numeric)
 
     def part(group: int) -> Column:
@@ -358,13 +368,13 @@ def text_date_range(c: Column | str, ref_date: dt.date) -> Column:
     def spans(text: Column) -> Column:
         options = []
         for pattern in (TEXT_FROM_TO, TEXT_BETWEEN):
-            rx = java_regex(pattern, ignore_case=True)
+            rx = words_regex(pattern, ignore_case=True)
             a, b = (F.trim(F.regexp_extract(text, rx, g)) for g in (1, 2))
             start, end = date_fragment(a, ref_date), date_fragment(b, ref_date)
             span = _range(start, end, F.concat(a, F.lit(" to "), b))
             options.append(F.when(text.rlike(rx) & start.isNotNull() & end.isNotNull(), span))
         for pattern, word in ((TEXT_AFTER, "after "), (TEXT_BEFORE, "before ")):
-            found = F.trim(find(text, java_regex(pattern, ignore_case=True), 1))
+            found = F.trim(find(text, words_regex(pattern, ignore_case=True), 1))
             day = date_fragment(found, ref_date)
             bounds = (day, F.lit(ref_date)) if word == "after " else (F.lit(None).cast("date"), day)
             options.append(F.when(day.isNotNull(), _range(*bounds, F.concat(F.lit(word), found))))
@@ -378,7 +388,7 @@ def recipient(c: Column | str) -> Column:
     text = as_col(c)
 
     def extract(pattern: str, group: int = 1, ignore_case: bool = False) -> tuple[Column, Column]:
-        rx = java_regex(pattern, ignore_case)
+        rx = words_regex(pattern, ignore_case)
         return F.coalesce(text.rlike(rx), F.lit(False)), F.regexp_extract(text, rx, group)
 
     def result(kind: str, display: Column) -> Column:
@@ -407,8 +417,8 @@ def recipient(c: Column | str) -> Column:
 
 
 def invoice_number(subject: Column | str) -> Column:
-    return F.coalesce(find(subject, java_regex(INVOICE_NUMBER, ignore_case=True), 1), F.lit("Unknown"))
+    return F.coalesce(find(subject, words_regex(INVOICE_NUMBER, ignore_case=True), 1), F.lit("Unknown"))
 
 
 def invoice_amount(body: Column | str) -> Column:
-    return F.coalesce(find(body, java_regex(AMOUNT)), F.lit("Not found"))
+    return F.coalesce(find(body, words_regex(AMOUNT)), F.lit("Not found"))

@@ -29,15 +29,23 @@ _ESCAPES = {
     "b": (r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))", r"\x08"),
 }
 _TOKEN = re.compile(r"\\(?P<esc>.)|(?P<open>\[\^?)|(?P<close>\])|(?P<end>\$)", re.DOTALL)
+# What follows a boundary in front of a word; anything else ends a word.
+_WORD_AHEAD = re.compile(r"\w|[(\[]|\\[dw]")
 
 
-def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    """Rewrite ``\\s``, ``\\S``, ``\\b`` and ``$`` so that Java agrees with the matched rules."""
+def java_regex(pattern: str, ignore_case: bool = False, word_edges: bool = False) -> str:
+    """Rewrite ``\\s``, ``\\S``, ``\\b`` and ``$`` so that Java agrees with the matched rules.
+
+    ``word_edges`` promises that every ``\\b`` touches a word character of the pattern itself, so
+    that looking at one side is enough; this is much faster.
+    """
     in_class = False
 
     def rewrite(m: re.Match[str]) -> str:
         nonlocal in_class
         if m["esc"]:
+            if word_edges and m["esc"] == "b" and not in_class:
+                return r"(?<!\w)" if _WORD_AHEAD.match(pattern, m.end()) else r"(?!\w)"
             pair = _ESCAPES.get(m["esc"])
             return pair[in_class] if pair else m[0]
         if m["open"]:
@@ -49,12 +57,25 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
             return m[0]
         return m[0] if in_class else r"\z"
 
-    return ("(?iu)" if ignore_case else "") + _TOKEN.sub(rewrite, pattern)
+    flags = ("(?i)" if pattern.isascii() else "(?iu)") if ignore_case else ""
+    return flags + _TOKEN.sub(rewrite, pattern)
+
+
+def words_regex(pattern: str, ignore_case: bool = False) -> str:
+    """Java form of one of the library's own patterns, whose boundaries all touch a word."""
+    return java_regex(pattern, ignore_case, word_edges=True)
 
 
 def any_of(*patterns: str, ignore_case: bool = False) -> str:
-    """One Java pattern that finds what any of the given patterns would find."""
-    return java_regex("|".join(f"(?:{p})" for p in patterns), ignore_case)
+    """One Java pattern that finds what any of the given library patterns would find.
+
+    A boundary that all of them start with is tested once.
+    """
+    if all(p.startswith(r"\b") for p in patterns):
+        joined = r"\b(?:" + "|".join(f"(?:{p[2:]})" for p in patterns) + ")"
+    else:
+        joined = "|".join(f"(?:{p})" for p in patterns)
+    return words_regex(joined, ignore_case)
 
 
 def as_col(c: Column | str) -> Column:

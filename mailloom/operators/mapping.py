@@ -125,41 +125,43 @@ def _undated() -> Column:
     return F.array(F.struct(F.lit(UNDATED).alias("level"), F.lit(0).alias("block")))
 
 
-def _bounds() -> list[Column]:
-    """Join keys of a request: an open start counts from 1970, an open end has no limit."""
+def with_bounds(requests: DataFrame) -> DataFrame:
+    """Add ``start`` and ``end``: an open start counts from 1970, an open end has no limit."""
     epoch, far = F.lit(dt.date(1970, 1, 1)), F.lit(dt.date(9999, 12, 31))
-    return [
-        F.col("folder"),
-        F.col("pattern"),
-        F.coalesce(F.col("range.start"), epoch).alias("start"),
-        F.coalesce(F.col("range.end"), far).alias("end"),
-    ]
+    known = F.col("range").isNotNull()
+    return requests.withColumns(
+        {
+            "start": F.when(known, F.coalesce(F.col("range.start"), epoch)),
+            "end": F.when(known, F.coalesce(F.col("range.end"), far)),
+        }
+    )
 
 
 RANGE_KEYS = ["folder", "pattern", "start", "end"]
 BLOCK_KEYS = ["folder", "pattern", "level", "block"]
 
 
-def wanted_ranges(requests: DataFrame, *keys: str) -> DataFrame:
-    """Requests that can match a file (folder, pattern and date range known) with their bounds."""
-    complete = F.col("folder").isNotNull() & F.col("pattern").isNotNull() & F.col("range").isNotNull()
-    return requests.filter(complete).select(*keys, *_bounds())
+def wanted_ranges(requests: DataFrame) -> DataFrame:
+    """Distinct ranges of the requests that can match a file: folder, pattern and dates known.
+
+    Requests repeat, so every range is matched once for all of them.
+    """
+    return with_bounds(requests).select(*RANGE_KEYS).dropna().distinct()
 
 
 def _range_blocks(wanted: DataFrame, patterns: list[FilePattern]) -> DataFrame:
-    """Distinct ranges with their blocks: requests repeat, so each range is matched once."""
     dated = [p.source for p in patterns if p.dated]
     days = F.struct(_day_number(F.col("start")).alias("first"), _day_number(F.col("end")).alias("last"))
     blocks = F.when(
         F.col("pattern").isin(*dated), let(days, lambda d: _blocks_of_range(d["first"], d["last"]))
     ).otherwise(_undated())
-    return wanted.select(*RANGE_KEYS).distinct().select("*", F.inline(blocks))
+    return wanted.select(*RANGE_KEYS, F.inline(blocks))
 
 
 def matching_files(
     files: DataFrame, wanted: DataFrame, patterns: list[FilePattern], ref_date: dt.date
 ) -> DataFrame:
-    """Files of every distinct (folder, pattern, start, end) in ``wanted``.
+    """Files of every (folder, pattern, start, end) in ``wanted``.
 
     A name must match the pattern and, if the pattern has a date, carry a date in the range.
     """
@@ -172,41 +174,42 @@ def matching_files(
 def request_files(
     requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date, *keys: str
 ) -> DataFrame:
-    """One row per request and matching file."""
-    wanted = wanted_ranges(requests, *keys)
-    found = matching_files(files, wanted, patterns, ref_date)
-    return wanted.join(found, RANGE_KEYS).select(*keys, "folder", "file_name", "file_date")
+    """One row per request and matching file.
+
+    Give requests that are stored, not computed: they are read for their ranges and for the result.
+    """
+    found = matching_files(files, wanted_ranges(requests), patterns, ref_date)
+    return with_bounds(requests).join(found, RANGE_KEYS).select(*keys, "folder", "file_name", "file_date")
 
 
 def file_counts(
-    requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date, *keys: str
+    requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date
 ) -> DataFrame:
-    """Requests with ``n_files``, zero included.
+    """Requests with ``n_files``, zero included; give stored requests.
 
     Files are counted per block first, so requests meet counts and never single files.
     """
     per_block = (
         _file_blocks(list_files(files), patterns, ref_date).groupBy(*BLOCK_KEYS).agg(F.count("*").alias("n"))
     )
-    wanted = wanted_ranges(requests, *keys)
     per_range = (
-        _range_blocks(wanted, patterns)
+        _range_blocks(wanted_ranges(requests), patterns)
         .join(per_block, BLOCK_KEYS)
         .groupBy(*RANGE_KEYS)
         .agg(F.sum("n").alias("n_files"))
     )
-    per_request = wanted.join(per_range, RANGE_KEYS).select(*keys, "n_files")
-    return requests.join(per_request, list(keys), "left").fillna(0, ["n_files"])
+    counted = with_bounds(requests).join(per_range, RANGE_KEYS, "left")
+    return counted.select(*requests.columns, F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
 def file_lists(
-    requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date, *keys: str
+    requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date
 ) -> DataFrame:
     """``n_files`` and the sorted ``files`` of each distinct range that matches something.
 
     Requests with the same range share one list; join it back on the range when it is needed.
     """
-    found = matching_files(files, wanted_ranges(requests, *keys), patterns, ref_date)
+    found = matching_files(files, wanted_ranges(requests), patterns, ref_date)
     return found.groupBy(*RANGE_KEYS).agg(
         F.count("*").alias("n_files"), F.sort_array(F.collect_list("file_name")).alias("files")
     )

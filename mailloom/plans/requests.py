@@ -12,6 +12,7 @@ from mailloom.functions.request import as_dates, date_range_text, document_type,
 from mailloom.operators.chains import narrowed_body
 from mailloom.operators.mapping import file_counts, resolve_document, resolve_recipient
 from mailloom.sources.request_map import RequestMap
+from mailloom.sources.staging import staged
 
 
 def read_requests(
@@ -73,9 +74,12 @@ def summary() -> Column:
 def resolve_requests(
     df: DataFrame, body: str, files: DataFrame, rules: RequestMap, ref_date: dt.date, *keys: str
 ) -> DataFrame:
-    """Requests with their number of matching files, summary and verdict."""
-    asked = read_requests(df, body, rules, ref_date)
-    counted = file_counts(asked, files, rules.file_patterns(), ref_date, *keys)
+    """Requests with their number of matching files, summary and verdict.
+
+    What the texts ask for is staged once, without the texts, and then joined to the files.
+    """
+    asked = read_requests(df.select(*keys, body), body, rules, ref_date).drop(body)
+    counted = file_counts(staged(asked, "requests"), files, rules.file_patterns(), ref_date)
     return counted.withColumns(
         {"summary": summary(), "verdict": request_gate(F.col("range").isNotNull(), "n_files")}
     )

@@ -172,9 +172,9 @@ def test_interval_join_against_brute_force(spark, files):
                 if (start or dt.date(1970, 1, 1)) <= day <= (end or dt.date.max):
                     expected.add((i, name))
     assert got == expected
-    counts = {r["id"]: r["n_files"] for r in file_counts(asked, files, patterns, REF_DATE, "id").collect()}
+    counts = {r["id"]: r["n_files"] for r in file_counts(asked, files, patterns, REF_DATE).collect()}
     assert counts == {r[0]: sum(1 for k, _ in expected if k == r[0]) for r in rows}
-    lists = file_lists(asked, files, patterns, REF_DATE, "id").collect()
+    lists = file_lists(asked, files, patterns, REF_DATE).collect()
     assert sum(len(r["files"]) for r in lists) == len(expected) == sum(r["n_files"] for r in lists)
 
 
