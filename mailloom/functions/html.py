@@ -154,7 +154,7 @@ def row_cells(c: Column, decode: bool = True) -> Column:
 
 def table_grid(c: Column | str) -> Column:
     """``array<array<array<string>>>``: tables, their rows, their cells."""
-    return F.transform(tables(c), lambda t: F.transform(table_rows(t), row_cells))
+    return F.transform(tables(c), lambda t: F.transform(table_rows(t), lambda row: row_cells(row)))
 
 
 def grid_columns(grid: Column | str) -> Column:
