@@ -13,15 +13,8 @@ from pyspark.sql import functions as F
 
 from mailloom.functions.text import as_col, let, trim_ws
 
-# Entities decoded in table cells and text, in decoding order.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&amp;": "&",
-}
+# Entities decoded in the cells of columnar tables, one after the other.
+CELL_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
 # Elements whose content is never text, elements without content, and block elements.
 HIDDEN_TAGS = ("script", "style", "head", "noscript")
 VOID_TAGS = (

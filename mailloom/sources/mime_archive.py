@@ -7,9 +7,9 @@ The mail format has no Spark reader, so this is the one place where Python parse
 from __future__ import annotations
 
 import email
-import email.policy
 from collections.abc import Iterator
-from email.message import EmailMessage
+from email.header import decode_header, make_header
+from email.message import Message
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
@@ -23,15 +23,29 @@ _PARSED = (
 )
 
 
-def _parts(message: EmailMessage) -> dict:
+def _decoded(value: str) -> str:
+    """Unfolded header text with its encoded words resolved."""
+    value = " ".join(str(value).split("\n")).replace("\r", "")
+    return str(make_header(decode_header(value))) if "=?" in value else value
+
+
+def _body_text(payload: bytes, charset: str | None) -> str:
+    try:
+        return payload.decode(charset or "utf-8", errors="replace")
+    except LookupError:  # a charset nobody knows
+        return payload.decode("utf-8", errors="replace")
+
+
+def _parts(message: Message) -> dict:
     text, html, attachments = None, None, []
     leaves = (p for p in message.walk() if not p.is_multipart())
     for number, part in enumerate(leaves, start=1):
         kind, name = part.get_content_type(), part.get_filename()
+        name = _decoded(name) if name else None
         inline_text = part.get_content_disposition() != "attachment" and not name
         payload = part.get_payload(decode=True) or b""
         if inline_text and kind in ("text/plain", "text/html"):
-            decoded = payload.decode(part.get_content_charset() or "utf-8", errors="replace")
+            decoded = _body_text(payload, part.get_content_charset())
             if kind == "text/plain" and text is None:
                 text = decoded
             elif kind == "text/html" and html is None:
@@ -53,10 +67,10 @@ def _parts(message: EmailMessage) -> dict:
 def _parse(raw: bytes | str) -> dict:
     data = raw.encode() if isinstance(raw, str) else bytes(raw)
     try:
-        message = email.message_from_bytes(data, policy=email.policy.default)
+        message = email.message_from_bytes(data)
         headers: dict[str, list[str]] = {}
         for key, value in message.items():
-            headers.setdefault(key.lower(), []).append(str(value))
+            headers.setdefault(key.lower(), []).append(_decoded(value))
         dates = headers.get("date")
         try:
             sent = parsedate_to_datetime(dates[0]) if dates else None
