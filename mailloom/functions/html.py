@@ -203,7 +203,7 @@ def leaf_elements(c: Column | str) -> Column:
         lambda e, i: F.struct(
             (i + 1).cast("bigint").alias("ordinal"),
             F.lower(e["tag"]).alias("tag"),
-            trim_ws(F.replace(decode_entities(e["text"]), F.lit(" "), F.lit(" "))).alias("text"),
+            trim_ws(F.replace(decode_entities(e["text"]), F.lit("\u00a0"), F.lit(" "))).alias("text"),
         ),
     )
     return F.filter(elements, lambda e: e["text"] != "")
