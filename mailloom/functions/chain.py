@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailloom.functions.text import LINE_WS, any_of, as_col, has_text, java_regex, let, trim_ws, words_regex
+from mailloom.functions.text import LINE_WS, any_of, as_col, has_text, java_regex, let, split_at, trim_ws, words_regex
 
 # Header names that may follow a divider.
 HEADER_NAMES = ("from", "sent", "to", "subject", "date", "cc")
@@ -126,7 +126,7 @@ def is_chained(c: Column | str) -> Column:
 def segment_bodies(c: Column | str) -> Column:
     """Trimmed body of each segment, newest first; null or empty text has no segments."""
     c = as_col(c)
-    parts = F.transform(F.split(_unix_lines(c), _REAL_DIVIDER), trim_ws)
+    parts = F.transform(split_at(_unix_lines(c), _REAL_DIVIDER), trim_ws)
     return F.when(F.length(c) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 

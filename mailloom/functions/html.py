@@ -11,7 +11,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailloom.functions.text import as_col, let, trim_ws
+from mailloom.functions.text import as_col, let, split_at, trim_ws
 
 # Entities decoded in the cells of columnar tables, one after the other.
 CELL_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
@@ -62,7 +62,7 @@ def decode_entities(c: Column) -> Column:
         rest = F.substring(piece, F.length(name) + 3, F.length(piece))
         return F.when((name != "") & value.isNotNull(), F.concat(value, rest)).otherwise(piece)
 
-    pieces = F.split(c, r"(?=&#?\w+;)")
+    pieces = split_at(c, r"(?=&#?\w+;)")
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, decode), "")).otherwise(c)
 
 
@@ -102,7 +102,7 @@ def _row_lines(table: Column) -> Column:
 def html_to_text(c: Column | str) -> Column:
     """Readable text: line breaks for blocks, link text only, tables as piped lines, no wrapping."""
     marked = F.regexp_replace(visible_html(c), r"(?i)</table\s*>", "\x04")
-    fragments = F.split(marked, r"(?i)<table(?:\s[^>]*)?>")
+    fragments = split_at(marked, r"(?i)<table(?:\s[^>]*)?>")
 
     def fragment(part: Column, i: Column) -> Column:
         inside = F.substring_index(part, "\x04", 1)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailloom.functions import dates
-from mailloom.functions.text import any_of, as_col, find, let, words_regex
+from mailloom.functions.text import any_of, as_col, find, let, split_at, words_regex
 
 # Number words, common misspellings included.
 NUMBER_WORDS = {
@@ -156,14 +157,11 @@ def words_to_digits(c: Column | str) -> Column:
         rest = F.substring(piece, F.length(word) + 1, F.length(piece))
         return F.when(word == "", piece).otherwise(F.concat(F.try_element_at(digits, word), rest))
 
-    pieces = F.split(marked, words_regex(rf"\b(?=[{_first_letters(NUMBER_WORDS)}])(?=(?:{words})\b)"))
+    first = "".join(sorted({w[0] for w in NUMBER_WORDS}))
+    pieces = split_at(marked, words_regex(rf"\b(?=[{first}])(?=(?:{words})\b)"))
     return F.array_join(F.transform(pieces, swap), "")
 
 
-def _first_letters(words) -> str:
-    return "".join(sorted({w[0] for w in words}))
-
-
 def document_type(c: Column | str) -> Column:
     """Canonical type of the longest-named entry with an alias anywhere in the text, or null."""
 
@@ -188,114 +186,150 @@ def _range(start: Column | None, end: Column, description: Column | str) -> Colu
     return F.struct(first.alias("start"), end.alias("end"), text.alias("description"))
 
 
-def normalise_date(c: Column) -> Column:
-    """``M/D/YY`` or ``M-D-YYYY`` to ``MM/DD/YYYY`` without checking that the day exists."""
-    p = F.split(c, r"[/\-]")
+def _on_match(text: Column, pattern: str, groups: int, use: Callable[..., Column]) -> Column:
+    """``use`` of the groups of the first match, each read once; null without a match."""
+    rx = words_regex(pattern, ignore_case=True)
+    if groups == 0:
+        return F.when(text.rlike(rx), use())
+    names = [f"g{i}" for i in range(1, groups + 1)]
+    found = F.struct(*[F.regexp_extract(text, rx, i).alias(n) for i, n in enumerate(names, start=1)])
+    return F.when(text.rlike(rx), let(found, lambda m: use(*[m[n] for n in names])))
+
+
+def _date_parts(c: Column) -> Column:
+    return F.split(F.translate(c, "-", "/"), "/")
+
+
+def _full_date(p: Column) -> Column:
     year = F.get(p, F.lit(2))
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    pad = [F.lpad(F.get(p, F.lit(i)), 2, "0") for i in (0, 1)]
-    return F.when(F.size(p) == 3, F.concat_ws("/", *pad, full)).otherwise(c)
+    return F.concat_ws("/", *[F.lpad(F.get(p, F.lit(i)), 2, "0") for i in (0, 1)], full)
+
+
+def normalise_date(c: Column) -> Column:
+    """``M/D/YY`` or ``M-D-YYYY`` to ``MM/DD/YYYY`` without checking that the day exists."""
+    return let(_date_parts(c), lambda p: F.when(F.size(p) == 3, _full_date(p)).otherwise(c))
 
 
 def short_date(c: Column, ref_date: dt.date) -> Column:
     """Like :func:`normalise_date`; without a year it is this year's, or last year's if later."""
-    p = F.split(c, r"[/\-]")
-    month, day = (F.get(p, F.lit(i)).try_cast("int") for i in (0, 1))
-    later = dates.rolled_date(F.lit(ref_date.year), month, day) > F.lit(ref_date)
-    year = F.when(later, str(ref_date.year - 1)).otherwise(str(ref_date.year))
-    inferred = F.concat_ws("/", *(F.lpad(x.cast("string"), 2, "0") for x in (month, day)), year)
-    return F.when(F.size(p) == 3, normalise_date(c)).when(F.size(p) == 2, inferred)
+
+    def inferred(md: Column) -> Column:
+        later = dates.rolled_date(F.lit(ref_date.year), md["m"], md["d"]) > F.lit(ref_date)
+        year = F.when(later, str(ref_date.year - 1)).otherwise(str(ref_date.year))
+        return F.concat_ws("/", *(F.lpad(md[x].cast("string"), 2, "0") for x in "md"), year)
+
+    def from_parts(p: Column) -> Column:
+        md = F.struct(*[F.get(p, F.lit(i)).try_cast("int").alias(x) for i, x in enumerate("md")])
+        return F.when(F.size(p) == 3, _full_date(p)).when(F.size(p) == 2, let(md, inferred))
+
+    return let(_date_parts(c), from_parts)
 
 
 def relative_range(text: Column, ref_date: dt.date) -> Column:
     """``last 3 months`` and its variants, ending at the reference date."""
-    ref, rx = F.lit(ref_date), words_regex(RELATIVE, ignore_case=True)
-    number, unit = F.regexp_extract(text, rx, 1), F.lower(F.regexp_extract(text, rx, 2))
-    kind = (
-        F.when(unit.startswith("m"), "month")
-        .when(unit.startswith("w"), "week")
-        .when(unit.startswith("d"), "day")
-        .otherwise("year")
-    )
-    n = number.try_cast("bigint")
-    start = dates.mdy(dates.minus_units(ref, n, kind))
-    shown = F.coalesce(n.cast("string"), number)
-    description = F.concat(F.lit("last "), shown, F.lit(" "), unit, F.lit("(s)"))
-    return F.when(text.rlike(rx), _range(start, dates.mdy(ref), description))
+    ref = F.lit(ref_date)
+
+    def span(number: Column, unit: Column) -> Column:
+        kind = (
+            F.when(unit.startswith("m"), "month")
+            .when(unit.startswith("w"), "week")
+            .when(unit.startswith("d"), "day")
+            .otherwise("year")
+        )
+        known = F.struct(number.try_cast("bigint").alias("n"), kind.alias("kind"))
+
+        def back(k: Column) -> Column:
+            shown = F.coalesce(k["n"].cast("string"), number)
+            description = F.concat(F.lit("last "), shown, F.lit(" "), unit, F.lit("(s)"))
+            return _range(dates.mdy(dates.minus_units(ref, k["n"], k["kind"])), dates.mdy(ref), description)
+
+        return let(known, back)
+
+    return _on_match(text, RELATIVE, 2, lambda number, unit: span(number, F.lower(unit)))
 
 
 def this_period_range(text: Column, ref_date: dt.date) -> Column:
     """``this month``, ``this week`` (from Sunday) or ``this year``."""
-    rx = words_regex(THIS_PERIOD, ignore_case=True)
-    unit = F.lower(F.regexp_extract(text, rx, 1))
     sunday = ref_date - dt.timedelta(days=ref_date.isoweekday() % 7)
-    start = (
-        F.when(unit == "month", F.lit(ref_date.replace(day=1)))
-        .when(unit == "week", F.lit(sunday))
-        .otherwise(F.lit(ref_date.replace(month=1, day=1)))
-    )
-    return F.when(
-        text.rlike(rx), _range(dates.mdy(start), dates.mdy(F.lit(ref_date)), F.concat(F.lit("this "), unit))
-    )
+
+    def span(unit: Column) -> Column:
+        start = (
+            F.when(unit == "month", F.lit(ref_date.replace(day=1)))
+            .when(unit == "week", F.lit(sunday))
+            .otherwise(F.lit(ref_date.replace(month=1, day=1)))
+        )
+        return _range(dates.mdy(start), dates.mdy(F.lit(ref_date)), F.concat(F.lit("this "), unit))
+
+    return _on_match(text, THIS_PERIOD, 1, lambda unit: span(F.lower(unit)))
+
+
+def _until_now(text: Column, pattern: str, first: dt.date, ref_date: dt.date, description: str) -> Column:
+    span = _range(dates.mdy(F.lit(first)), dates.mdy(F.lit(ref_date)), description)
+    return _on_match(text, pattern, 0, lambda: span)
 
 
 def year_to_date_range(text: Column, ref_date: dt.date) -> Column:
-    span = _range(
-        dates.mdy(F.lit(ref_date.replace(month=1, day=1))), dates.mdy(F.lit(ref_date)), "year to date"
-    )
-    return F.when(text.rlike(words_regex(YEAR_TO_DATE, ignore_case=True)), span)
+    return _until_now(text, YEAR_TO_DATE, ref_date.replace(month=1, day=1), ref_date, "year to date")
 
 
 def quarter_to_date_range(text: Column, ref_date: dt.date) -> Column:
     first = ref_date.replace(month=(ref_date.month - 1) // 3 * 3 + 1, day=1)
-    span = _range(dates.mdy(F.lit(first)), dates.mdy(F.lit(ref_date)), "quarter to date")
-    return F.when(text.rlike(words_regex(QUARTER_TO_DATE, ignore_case=True)), span)
-
-
-def _two_dates(text: Column, pattern: str, parse, description: str) -> Column:
-    rx = words_regex(pattern, ignore_case=True)
-    first, second = (parse(F.regexp_extract(text, rx, g)) for g in (1, 2))
-    return F.when(text.rlike(rx), _range(first, second, description))
+    return _until_now(text, QUARTER_TO_DATE, first, ref_date, "quarter to date")
 
 
 def explicit_range(text: Column) -> Column:
     """``from D to D``, ``between D and D``."""
-    return _two_dates(text, FROM_TO, normalise_date, "explicit range")
+    return _on_match(
+        text, FROM_TO, 2, lambda a, b: _range(normalise_date(a), normalise_date(b), "explicit range")
+    )
 
 
 def bare_range(text: Column) -> Column:
     """``D to D``."""
-    return _two_dates(text, BARE_TO, normalise_date, "explicit range")
+    return _on_match(
+        text, BARE_TO, 2, lambda a, b: _range(normalise_date(a), normalise_date(b), "explicit range")
+    )
 
 
 def compact_range(text: Column, ref_date: dt.date) -> Column:
     """``M/D-M/D``."""
-    return _two_dates(text, COMPACT, lambda d: short_date(d, ref_date), "compact range")
+    return _on_match(
+        text,
+        COMPACT,
+        2,
+        lambda a, b: _range(short_date(a, ref_date), short_date(b, ref_date), "compact range"),
+    )
 
 
 def month_range(text: Column) -> Column:
     """``for March 2026``: that whole month."""
-    rx = words_regex(MONTH_OF_YEAR, ignore_case=True)
-    name, year = F.regexp_extract(text, rx, 1), F.regexp_extract(text, rx, 2).try_cast("int")
-    short = F.lower(F.substring(name, 1, 3))
-    month = F.array_position(F.array(*[F.lit(m[0]) for m in MONTHS]), short).cast("int")
-    first = F.make_date(year, F.when(month > 0, month), F.lit(1))
-    description = F.concat(name, F.lit(" "), year.cast("string"))
-    return F.when(text.rlike(rx), _range(dates.mdy(first), dates.mdy(F.last_day(first)), description))
+
+    def span(name: Column, year: Column) -> Column:
+        short = F.lower(F.substring(name, 1, 3))
+        month = F.array_position(F.array(*[F.lit(m[0]) for m in MONTHS]), short).cast("int")
+        description = F.concat(name, F.lit(" "), year.try_cast("int").cast("string"))
+        return let(
+            F.make_date(year.try_cast("int"), month, F.lit(1)),
+            lambda first: _range(dates.mdy(first), dates.mdy(F.last_day(first)), description),
+        )
+
+    return _on_match(text, MONTH_OF_YEAR, 2, span)
 
 
 def after_range(text: Column, ref_date: dt.date) -> Column:
     """``after D``, ``since D``: until the reference date."""
-    found = find(text, words_regex(AFTER, ignore_case=True), 1)
-    span = _range(short_date(found, ref_date), dates.mdy(F.lit(ref_date)), F.concat(F.lit("after "), found))
-    return F.when(found.isNotNull(), span)
+    end = dates.mdy(F.lit(ref_date))
+    return _on_match(
+        text, AFTER, 1, lambda d: _range(short_date(d, ref_date), end, F.concat(F.lit("after "), d))
+    )
 
 
 def before_range(text: Column, ref_date: dt.date) -> Column:
     """``before D``: open start."""
-    found = find(text, words_regex(BEFORE, ignore_case=True), 1)
-    span = _range(None, short_date(found, ref_date), F.concat(F.lit("before "), found))
-    return F.when(found.isNotNull(), span)
+    return _on_match(
+        text, BEFORE, 1, lambda d: _range(None, short_date(d, ref_date), F.concat(F.lit("before "), d))
+    )
 
 
 def date_range_text(c: Column | str, ref_date: dt.date) -> Column:
@@ -337,25 +371,35 @@ def date_range(c: Column | str, ref_date: dt.date) -> Column:
 
 def date_fragment(c: Column | str, ref_date: dt.date) -> Column:
     """``M/D/Y``, ``M/D`` or ``Month D[, YYYY]`` to a date; days and months roll over."""
-    text = F.trim(as_col(c))
     numeric = words_regex(r"^(\d{1,2})\/(\d{1,2})(?:\/(\d{2,4}))?$")
     named = words_regex(r"^([A-Za-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s*(\d{4}))?$")
-    is_numeric = text.rlike(numeric)
+    names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for n in dict.fromkeys(m) for x in (n, i + 1)])
 
-    def part(group: int) -> Column:
-        found = F.when(is_numeric, F.regexp_extract(text, numeric, group)).otherwise(
-            F.regexp_extract(text, named, group)
+    def parts(text: Column, rx: str, month: Callable[[Column], Column]) -> Column:
+        first, day, year = (F.regexp_extract(text, rx, i) for i in (1, 2, 3))
+        return F.struct(
+            month(first).alias("m"), day.try_cast("int").alias("d"), year.try_cast("int").alias("y")
         )
-        return F.when(found != "", found)
 
-    names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for n in dict.fromkeys(m) for x in (n, i + 1)])
-    month = F.when(is_numeric, part(1).try_cast("int")).otherwise(F.try_element_at(names, F.lower(part(1))))
-    day, given = part(2).try_cast("int"), part(3).try_cast("int")
-    year = F.when(is_numeric & (given < 100), given + 2000).otherwise(given)
-    this_year = dates.rolled_date(F.lit(ref_date.year), month, day)
-    last_year = dates.rolled_date(F.lit(ref_date.year - 1), F.month(this_year), F.dayofmonth(this_year))
-    inferred = F.when(this_year > F.lit(ref_date), last_year).otherwise(this_year)
-    return F.when(year.isNotNull(), dates.rolled_date(year, month, day)).otherwise(inferred)
+    def inferred(this_year: Column) -> Column:
+        last_year = dates.rolled_date(F.lit(ref_date.year - 1), F.month(this_year), F.dayofmonth(this_year))
+        return F.when(this_year > F.lit(ref_date), last_year).otherwise(this_year)
+
+    def resolved(p: Column) -> Column:
+        return F.when(p["y"].isNotNull(), dates.rolled_date(p["y"], p["m"], p["d"])).otherwise(
+            let(dates.rolled_date(F.lit(ref_date.year), p["m"], p["d"]), inferred)
+        )
+
+    def read(text: Column) -> Column:
+        short_year = let(
+            parts(text, numeric, lambda m: m.try_cast("int")),
+            lambda p: p.withField("y", F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"])),
+        )
+        by_name = parts(text, named, lambda m: F.try_element_at(names, F.lower(m)))
+        found = F.when(text.rlike(numeric), short_year).when(text.rlike(named), by_name)
+        return let(found, resolved)
+
+    return let(F.trim(as_col(c)), read)
 
 
 def text_date_range(c: Column | str, ref_date: dt.date) -> Column:
@@ -364,21 +408,35 @@ def text_date_range(c: Column | str, ref_date: dt.date) -> Column:
     ``from D to D``, ``between D and D``, ``after``/``since D``, ``before D``; the first wording
     whose dates can be read wins.
     """
+    none = F.lit(None).cast("date")
+
+    def both(a: Column, b: Column) -> Column:
+        days = F.struct(date_fragment(a, ref_date).alias("a"), date_fragment(b, ref_date).alias("b"))
+        description = F.concat(F.trim(a), F.lit(" to "), F.trim(b))
+        return let(
+            days,
+            lambda d: F.when(
+                d["a"].isNotNull() & d["b"].isNotNull(), _range(d["a"], d["b"], description)
+            ),
+        )
+
+    def one(word: str, bounds: Callable[[Column], tuple[Column, Column]]) -> Callable[[Column], Column]:
+        def span(found: Column) -> Column:
+            description = F.concat(F.lit(word), F.trim(found))
+            return let(
+                date_fragment(found, ref_date),
+                lambda d: F.when(d.isNotNull(), _range(*bounds(d), description)),
+            )
+
+        return span
 
     def spans(text: Column) -> Column:
-        options = []
-        for pattern in (TEXT_FROM_TO, TEXT_BETWEEN):
-            rx = words_regex(pattern, ignore_case=True)
-            a, b = (F.trim(F.regexp_extract(text, rx, g)) for g in (1, 2))
-            start, end = date_fragment(a, ref_date), date_fragment(b, ref_date)
-            span = _range(start, end, F.concat(a, F.lit(" to "), b))
-            options.append(F.when(text.rlike(rx) & start.isNotNull() & end.isNotNull(), span))
-        for pattern, word in ((TEXT_AFTER, "after "), (TEXT_BEFORE, "before ")):
-            found = F.trim(find(text, words_regex(pattern, ignore_case=True), 1))
-            day = date_fragment(found, ref_date)
-            bounds = (day, F.lit(ref_date)) if word == "after " else (F.lit(None).cast("date"), day)
-            options.append(F.when(day.isNotNull(), _range(*bounds, F.concat(F.lit(word), found))))
-        return F.coalesce(*options)
+        return F.coalesce(
+            _on_match(text, TEXT_FROM_TO, 2, both),
+            _on_match(text, TEXT_BETWEEN, 2, both),
+            _on_match(text, TEXT_AFTER, 1, one("after ", lambda d: (d, F.lit(ref_date)))),
+            _on_match(text, TEXT_BEFORE, 1, one("before ", lambda d: (none, d))),
+        )
 
     return let(as_col(c), spans)
 

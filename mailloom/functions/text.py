@@ -91,6 +91,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+# A noncharacter: never part of text that is exchanged.
+CUT = "\uffff"
+
+
+def split_at(c: Column, pattern: str) -> Column:
+    """Split at a Java pattern. The pattern is compiled once per task, not once per row.
+
+    Spark's ``split`` compiles its pattern for every row unless it is a single plain character,
+    so the cuts are marked with one first.
+    """
+    clean = F.replace(c, F.lit(CUT), F.lit(""))
+    return F.split(F.regexp_replace(clean, pattern, CUT), CUT)
+
+
 def trim_ws(c: Column | str) -> Column:
     """Strip every kind of white space from both ends; linear time, no regex."""
     return F.btrim(as_col(c), F.lit(WHITESPACE))
