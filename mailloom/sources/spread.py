@@ -1,0 +1,15 @@
+"""Parallelism of small scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a file scan over the cores when it has fewer splits than there are cores.
+
+    A file with one row group is one task however heavy its text functions are. A large table has
+    more splits than cores and is returned as it is, so it pays no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
