@@ -55,22 +55,13 @@ def run_steps(df: DataFrame, steps: list[Step], *keys: str) -> DataFrame:
 
 
 def custom_handler(fn: Callable[..., pd.Series], *columns: str) -> Column:
-    """Boolean column from a user function over pandas Series, in Arrow batches."""
+    """Boolean column from a user function over pandas Series, in Arrow batches; null counts as false."""
 
     @F.pandas_udf("boolean")
-    def handler(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield fn(*batch).astype("boolean").fillna(False).astype(bool)
+    def handler(row: pd.DataFrame) -> pd.Series:
+        return fn(*(row[c] for c in columns)).astype("boolean").fillna(False).astype(bool)
 
-    if len(columns) == 1:
-
-        @F.pandas_udf("boolean")
-        def single(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield fn(batch).astype("boolean").fillna(False).astype(bool)
-
-        return single(*columns)
-    return handler(*columns)
+    return handler(F.struct(*columns))
 
 
 def row_task(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -81,7 +72,3 @@ def row_task(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
             yield fn(frame)
 
     return df.mapInPandas(batches, schema)
-
-
-# Text of the log preview.
-LOG_PREVIEW_LENGTH = 100

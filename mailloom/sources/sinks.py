@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.sources.messages import split_recipients
@@ -54,6 +56,17 @@ def write_json(df: DataFrame, path: str, number: str = "email_no") -> None:
     df.select(json_record(number).alias("value")).write.mode("errorifexists").text(path)
 
 
+def _write_file(directory: str, target: str, content: bytes, attempt: int) -> str:
+    path = os.path.join(directory, target.replace("/", "_"))
+    if os.path.exists(path):
+        return "exists"
+    partial = f"{path}.{attempt}.partial"
+    with open(partial, "wb") as f:
+        f.write(content)
+    os.replace(partial, path)
+    return "written"
+
+
 def write_files(df: DataFrame, directory: str, target: str = "target", content: str = "content") -> DataFrame:
     """Write each row's bytes to ``directory/target`` on storage all executors share.
 
@@ -61,27 +74,11 @@ def write_files(df: DataFrame, directory: str, target: str = "target", content:
     one whole file; files that exist are skipped. Returns what was done; run an action on it.
     """
 
-    def write(rows: Iterator[Row]) -> Iterator[tuple[str, str]]:
-        import os
-
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         attempt = TaskContext.get().taskAttemptId()
         os.makedirs(directory, exist_ok=True)
-        for row in rows:
-            path = os.path.join(directory, row[target].replace("/", "_"))
-            if os.path.exists(path):
-                yield row[target], "exists"
-                continue
-            partial = f"{path}.{attempt}.partial"
-            with open(partial, "wb") as f:
-                f.write(row[content])
-            os.replace(partial, path)
-            yield row[target], "written"
-
-    import pandas as pd
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = write(Row(**r) for r in frame.to_dict("records"))
-            yield pd.DataFrame(list(done), columns=["target", "status"])
+            done = [_write_file(directory, t, c, attempt) for t, c in zip(frame[target], frame[content])]
+            yield pd.DataFrame({"target": frame[target], "status": done})
 
     return df.select(target, content).mapInPandas(batches, "target string, status string")
