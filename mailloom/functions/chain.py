@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailloom.functions.text import LINE_WS, any_of, as_col, has_text, java_regex, let, split_at, trim_ws, words_regex
+from mailloom.functions.text import LINE_WS, any_of, as_col, has_text, hinted, java_regex, let, split_at, trim_ws, words_regex
 
 # Header names that may follow a divider.
 HEADER_NAMES = ("from", "sent", "to", "subject", "date", "cc")
@@ -57,6 +57,10 @@ BOOLEAN_PATTERNS = (
     r"\bdo\s+you\s+(plan|intend|want)\b",
 )
 
+# Words without which the patterns above cannot match.
+ATTACHMENT_HINTS = ("attach", "statement", "enclosed", "included", "sending")
+CHASE_HINTS = ("wondering", "you", "checking", "following", "update")
+
 # Thank-you wording, and wording that makes it a request after all.
 THANKS_PATTERNS = (
     r"\bthank\s+you\b",
@@ -152,7 +156,11 @@ def split_chain(c: Column | str) -> Column:
 
 
 def has_date_range(c: Column | str) -> Column:
-    return F.coalesce(as_col(c).rlike(any_of(*DATE_RANGE_PATTERNS, ignore_case=True)), F.lit(False))
+    """Any date or date range wording; all but the relative one need digits around a separator."""
+    c = as_col(c)
+    relative, absolute = DATE_RANGE_PATTERNS[2], DATE_RANGE_PATTERNS[:2] + DATE_RANGE_PATTERNS[3:]
+    dated = c.rlike(r"\d[/\-]\d") & c.rlike(any_of(*absolute, ignore_case=True))
+    return F.coalesce(dated | c.rlike(any_of(relative, ignore_case=True)), F.lit(False))
 
 
 def remove_cid_lines(c: Column | str) -> Column:
@@ -168,8 +176,8 @@ def classify(c: Column | str) -> Column:
         question = F.contains(text, F.lit("?")) & ~text.rlike(any_of(r"\battach"))
         return (
             F.when(~has_text(text), UNCLASSIFIED)
-            .when(text.rlike(any_of(*ATTACHMENT_PATTERNS)), ATTACHMENT_RECEIVED)
-            .when(text.rlike(any_of(*CHASE_PATTERNS)), DID_YOU_RECEIVE)
+            .when(hinted(text, ATTACHMENT_HINTS, any_of(*ATTACHMENT_PATTERNS)), ATTACHMENT_RECEIVED)
+            .when(hinted(text, CHASE_HINTS, any_of(*CHASE_PATTERNS)), DID_YOU_RECEIVE)
             .when(text.rlike(any_of(*REQUEST_PATTERNS)), SEND_DATA)
             .when(question & text.rlike(any_of(*BOOLEAN_PATTERNS)), BOOLEAN_RESPONSE)
             .otherwise(UNCLASSIFIED)

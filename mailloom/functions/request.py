@@ -335,21 +335,22 @@ def before_range(text: Column, ref_date: dt.date) -> Column:
 def date_range_text(c: Column | str, ref_date: dt.date) -> Column:
     """First date wording found, as ``struct<start, end, description>`` of text, or null."""
 
-    def first_hit(text: Column) -> Column:
+    def first_hit(text: Column, dated: Column) -> Column:
         return F.coalesce(
             relative_range(text, ref_date),
             this_period_range(text, ref_date),
             year_to_date_range(text, ref_date),
             quarter_to_date_range(text, ref_date),
-            explicit_range(text),
-            bare_range(text),
-            compact_range(text, ref_date),
+            F.when(dated, F.coalesce(explicit_range(text), bare_range(text), compact_range(text, ref_date))),
             month_range(text),
-            after_range(text, ref_date),
-            before_range(text, ref_date),
+            F.when(dated, F.coalesce(after_range(text, ref_date), before_range(text, ref_date))),
         )
 
-    return let(words_to_digits(c), first_hit)
+    # Every wording with a day in it has digits around a separator, which one pass can rule out.
+    return let(
+        words_to_digits(c),
+        lambda text: let(text.rlike(r"\d[/\-]\d"), lambda dated: first_hit(text, dated)),
+    )
 
 
 def as_dates(span: Column | str) -> Column:

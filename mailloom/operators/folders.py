@@ -99,7 +99,7 @@ def flatten_tree(folders: DataFrame, separator: str = "/") -> DataFrame:
 def move_messages(
     df: DataFrame, target: str, predicate: Column | None, folders: DataFrame | None = None
 ) -> DataFrame:
-    """The message table after a move; written back by dynamic partition overwrite.
+    """The message table after a move, to be written as a new table.
 
     A predicate is required, and the target must be in the folder list when one is given.
     """

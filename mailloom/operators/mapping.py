@@ -116,7 +116,6 @@ def _file_blocks(files: DataFrame, patterns: list[FilePattern], ref_date: dt.dat
     )
     return (
         files.select("folder", "file_name", F.inline(F.array_compact(F.array(*hits))))
-        .distinct()
         .select("folder", "pattern", "file_name", "file_date", F.inline(blocks))
     )
 
@@ -161,7 +160,7 @@ def _range_blocks(wanted: DataFrame, patterns: list[FilePattern]) -> DataFrame:
 def matching_files(
     files: DataFrame, wanted: DataFrame, patterns: list[FilePattern], ref_date: dt.date
 ) -> DataFrame:
-    """Files of every (folder, pattern, start, end) in ``wanted``.
+    """Files of every (folder, pattern, start, end) in ``wanted``, one row each.
 
     A name must match the pattern and, if the pattern has a date, carry a date in the range.
     """
@@ -200,16 +199,3 @@ def file_counts(
     )
     counted = with_bounds(requests).join(per_range, RANGE_KEYS, "left")
     return counted.select(*requests.columns, F.coalesce("n_files", F.lit(0)).alias("n_files"))
-
-
-def file_lists(
-    requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date
-) -> DataFrame:
-    """``n_files`` and the sorted ``files`` of each distinct range that matches something.
-
-    Requests with the same range share one list; join it back on the range when it is needed.
-    """
-    found = matching_files(files, wanted_ranges(requests), patterns, ref_date)
-    return found.groupBy(*RANGE_KEYS).agg(
-        F.count("*").alias("n_files"), F.sort_array(F.collect_list("file_name")).alias("files")
-    )

@@ -95,6 +95,11 @@ def test_tasks(spark):
     assert sorted(r["uid"] for r in long.collect()) == [1, 2, 5]
 
 
+def test_row_task(spark):
+    out = tasks.row_task(spark.range(5), lambda frame: frame[frame["id"] > 2].assign(x="y"), "id bigint, x string")
+    assert sorted(tuple(r) for r in out.collect()) == [(3, "y"), (4, "y")]
+
+
 def test_results(spark):
     df = spark.createDataFrame([(1, "r", "x", "c"), (0, " ", None, "c"), (0, "r", "x", "c")],
                                "n int, r string, who string, card string")

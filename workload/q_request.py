@@ -448,16 +448,13 @@ def a09(v: Views) -> DataFrame:
 
 
 @query("a09_match_lists", request_sql(
-    f"""select strftime(a, '%Y-%m-%d') as start, strftime(b, '%Y-%m-%d') as "end", count(*) as n_files, string_agg(file_name, ',' order by file_name) as files
-        from (select distinct coalesce(try_strptime(q.start, '%m/%d/%Y'), DATE '1970-01-01') as a, try_strptime(q."end", '%m/%d/%Y') as b, p.file_name
-              from q join p on q.uid = p.uid) group by a, b""", p=_PAIRS))
+    """select distinct strftime(coalesce(try_strptime(q.start, '%m/%d/%Y'), DATE '1970-01-01'), '%Y-%m-%d') as start,
+         strftime(try_strptime(q."end", '%m/%d/%Y'), '%Y-%m-%d') as "end", p.file_name from q join p on q.uid = p.uid""", p=_PAIRS))
 def a09_lists(v: Views) -> DataFrame:
-    lists = M.file_lists(_requests(v), v.files, RULES.file_patterns(), REF_DATE)
-    return lists.select(
-        F.date_format("start", "yyyy-MM-dd").alias("start"),
-        F.date_format("end", "yyyy-MM-dd").alias("end"),
-        "n_files",
-        F.array_join("files", ",").alias("files"),
+    """File list of each distinct range; requests with the same range share it."""
+    found = M.matching_files(v.files, M.wanted_ranges(_requests(v)), RULES.file_patterns(), REF_DATE)
+    return found.select(
+        F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("end", "yyyy-MM-dd").alias("end"), "file_name"
     )
 
 
