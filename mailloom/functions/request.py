@@ -332,27 +332,26 @@ def before_range(text: Column, ref_date: dt.date) -> Column:
     )
 
 
-def date_range_text(c: Column | str, ref_date: dt.date) -> Column:
-    """First date wording found, as ``struct<start, end, description>`` of text, or null."""
-
-    def first_hit(text: Column, dated: Column) -> Column:
-        return F.coalesce(
-            relative_range(text, ref_date),
-            this_period_range(text, ref_date),
-            year_to_date_range(text, ref_date),
-            quarter_to_date_range(text, ref_date),
-            F.when(dated, F.coalesce(explicit_range(text), bare_range(text), compact_range(text, ref_date))),
-            month_range(text),
-            F.when(dated, F.coalesce(after_range(text, ref_date), before_range(text, ref_date))),
-        )
-
+def date_range_in_digits(text: Column, ref_date: dt.date) -> Column:
+    """First date wording of a text that went through :func:`words_to_digits`."""
     # Every wording with a day in it has digits around a separator, which one pass can rule out.
-    return let(
-        words_to_digits(c),
-        lambda text: let(text.rlike(r"\d[/\-]\d"), lambda dated: first_hit(text, dated)),
+    dated = text.rlike(r"\d[/\-]\d")
+    return F.coalesce(
+        relative_range(text, ref_date),
+        this_period_range(text, ref_date),
+        year_to_date_range(text, ref_date),
+        quarter_to_date_range(text, ref_date),
+        F.when(dated, F.coalesce(explicit_range(text), bare_range(text), compact_range(text, ref_date))),
+        month_range(text),
+        F.when(dated, F.coalesce(after_range(text, ref_date), before_range(text, ref_date))),
     )
 
 
+def date_range_text(c: Column | str, ref_date: dt.date) -> Column:
+    """First date wording found, as ``struct<start, end, description>`` of text, or null."""
+    return let(words_to_digits(c), lambda text: date_range_in_digits(text, ref_date))
+
+
 def as_dates(span: Column | str) -> Column:
     """Text range to ``struct<start date, end date, description>``; impossible days become null."""
     span = as_col(span)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.functions.quality import request_gate
-from mailloom.functions.request import as_dates, date_range_text, document_type, recipient
+from mailloom.functions.request import as_dates, date_range_in_digits, document_type, recipient, words_to_digits
 from mailloom.operators.chains import narrowed_body
 from mailloom.operators.mapping import file_counts, resolve_document, resolve_recipient
 from mailloom.sources.request_map import RequestMap
@@ -29,10 +29,11 @@ def read_requests(
     """
     return (
         df.withColumn("_text", narrowed_body(body))
+        .withColumn("_digits", words_to_digits("_text"))
         .withColumns(
             {
                 "doc_type": document_type("_text"),
-                "range_text": date_range_text("_text", ref_date),
+                "range_text": date_range_in_digits(F.col("_digits"), ref_date),
                 "who": recipient("_text"),
             }
         )
@@ -49,7 +50,7 @@ def read_requests(
                 "pattern": F.coalesce("contact.file", "document.file"),
             }
         )
-        .drop("_text")
+        .drop("_text", "_digits")
     )
 
 

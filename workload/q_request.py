@@ -235,7 +235,8 @@ def r13(v: Views) -> DataFrame:
 
 @query("r14_date_range", duck('select uid, start, "end", description from s', "fx_messages", **_TEXTS, s=_spans_sql()))
 def r14(v: Views) -> DataFrame:
-    rows = v.messages.select("uid", R.date_range_text("body", REF_DATE).alias("s"))
+    digits = v.messages.select("uid", R.words_to_digits("body").alias("t"))
+    rows = digits.select("uid", R.date_range_in_digits(F.col("t"), REF_DATE).alias("s"))
     return rows.select("uid", "s.start", "s.end", "s.description")
 
 
