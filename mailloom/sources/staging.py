@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_roots: dict[str, str] = {}
+
 
 def staging_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only for a local master."""
@@ -15,9 +17,10 @@ def staging_root(spark: SparkSession) -> str:
         return shared
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="mailloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="mailloom-")
+    return _local_roots[app]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
