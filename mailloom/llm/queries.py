@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import langid, simhash
+from mailloom.llm import bpe, langid, mixing, simhash, substring
 from mailloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,54 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), whitespace="single")
+    return found.select("doc_id", "n_words", "n_removed", _sha256(F.col("text")).alias("kept_sha256"))
+
+
+ORACLES["op6_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^\x20\x09-\x0D]')
+                      THEN regexp_extract_all(text, '[^\x20\x09-\x0D]+') ELSE [] END AS w
+  FROM documents),
+g AS (
+  SELECT doc_id, s, list_aggregate(w[s : s + 12], 'string_agg', ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+late AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY k) AS m FROM g) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM late),
+kept AS (
+  SELECT p.doc_id, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN p.x END, ' ' ORDER BY p.i) AS t
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) p
+  LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(kept.n_removed, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+@_query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    whole = bpe.decode(ids, vocabulary)
+    return whole.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+#: Shares of the training tokens for each domain of ``mixing.DOMAINS``.
+TARGETS = {"good": 0.84, "plain": 0.1, "toxic": 0.06}
+
+
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, _ = mixing.mix(docs, _table(spark, sf_dir, "labels"), TARGETS)
+    posteriors = [F.col("posteriors")[k].alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
+    return rows.select("doc_id", F.col("tokens").cast("long").alias("n_tokens"), *posteriors, "rate", F.col("copies").cast("long").alias("copies"))
