@@ -2,9 +2,9 @@
 
 Vectors are dealt into shards; each shard builds a layered graph once. Every vector then searches every shard: queries travel
 in blocks, graphs to the blocks, and each pair is a task of bounded size. A search keeps a beam of the best nodes and opens
-their neighbours, for many queries at a time. A query whose whole beam links is searched again with a beam twice as wide, and
-so is a whole block while an audit, some of its queries held against all vectors of the shard, misses links. Found pairs
-are verified by cosine in double precision; a task returns each query's number of links and a forest of them, not all pairs.
+their neighbours, for many queries at a time; from the nodes that link it goes on through all linked ones. Beams are widened
+while an audit, some queries held against all vectors of the shard, misses links. Found pairs are verified by cosine in
+double precision; a task returns each query's number of links and a forest of them, not all pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from mailloom.llm.common import LocalForest, components, materialised, mix64
 from mailloom.llm.vectors import matrix, usable
 
 #: Vectors of a shard, least number of shards, and queries of a block.
-SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 50_000, 8, 8192
+SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 50_000, 8, 16384
 #: Neighbours of a node on the lowest and on other layers, beam while building, beam while searching.
 DEGREE, UPPER_DEGREE, BUILD_BEAM, SEARCH_BEAM = 24, 12, 32, 24
 #: Queries of a block that are audited, and the share of links that they must find.
 AUDIT, RECALL = 48, 0.99
-_QUERIES, _OPEN = 256, 4
+_QUERIES, _OPEN, _FRONT = 256, 4, 8192
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -122,7 +122,7 @@ class Graph:
             self.layers.append(self._layer(int((level >= at).sum()), DEGREE if at == 0 else UPPER_DEGREE))
 
     def _layer(self, n: int, degree: int) -> np.ndarray:
-        graph = np.full((n, degree), -1, np.int64)
+        graph = np.full((n, degree), -1, np.int32)
         unit = self.unit[:n]
         done = 1
         while done < n:
@@ -174,6 +174,14 @@ class Graph:
             entry = _beam(graph, self.unit, queries, entry, 2)[0][:, 0]
         return entry
 
+    def both_ways(self) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest layer without directions: where each node's neighbours begin, and the neighbours."""
+        n = len(self.ids)
+        a, place = np.nonzero(self.layers[-1] >= 0)
+        b = self.layers[-1][a, place]
+        pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+        return np.searchsorted(pairs // n, np.arange(n + 1)), pairs % n
+
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.zeros(len(queries), np.int64)
         for graph in self.layers[:-1]:
@@ -186,39 +194,70 @@ def linked(graph: Graph, rows: np.ndarray, least: float) -> tuple[np.ndarray, np
     exact, own = _unit(graph.rows), _unit(rows)
     short = own.astype(np.float32)
     slack = np.float32(least - 1e-5)
-    audit = np.unique(np.linspace(0, len(rows) - 1, min(AUDIT, len(rows))).astype(int))
-    true = [set(np.flatnonzero(exact @ own[q] >= least).tolist()) for q in audit]
-    width = min(SEARCH_BEAM, len(graph.ids))
+    width, wanted = SEARCH_BEAM, np.arange(len(rows))
+    at_query = at_node = np.zeros(0, np.int64)
     while True:
-        at_query, at_node, full = _pairs(graph, short, np.arange(len(rows)), width, slack)
-        wide = width
-        while len(full) and wide < len(graph.ids):
-            wide = min(2 * wide, len(graph.ids))
-            more_query, more_node, still = _pairs(graph, short, full, wide, slack)
-            other = ~np.isin(at_query, full)
-            at_query, at_node, full = np.append(at_query[other], more_query), np.append(at_node[other], more_node), still
-        good = np.concatenate([np.zeros(0, bool), *[np.einsum("ij,ij->i", own[at_query[i : i + 65536]], exact[at_node[i : i + 65536]]) >= least for i in range(0, len(at_node), 65536)]])
-        at_query, at_node = at_query[good], at_node[good]
-        found = {q: set(at_node[at_query == q].tolist()) for q in audit.tolist()}
-        hits = sum(len(t & found[q]) for q, t in zip(audit.tolist(), true, strict=True))
-        if hits >= RECALL * sum(map(len, true)) or width >= len(graph.ids):
-            return at_query, at_node
-        width = min(2 * width, len(graph.ids))
-
-
-def _pairs(graph: Graph, queries: np.ndarray, which: np.ndarray, width: int, least: float):
-    """Linked pairs of some queries, and the queries whose whole beam links."""
-    at_query, at_node, full = [], [], []
-    step = max(8, min(_QUERIES, (1 << 24) // (len(graph.ids) + 1)))
-    for first in range(0, len(which), step):
-        part = which[first : first + step]
+        width = min(width, len(graph.ids))
+        new_query, new_node = _pairs(graph, short, wanted, width, slack)
+        pairs = np.unique(np.append(at_query, new_query) * len(graph.ids) + np.append(at_node, new_node))
+        at_query, at_node = pairs // len(graph.ids), pairs % len(graph.ids)
+        missing = _audit(exact, own, at_query, at_node, least)
+        if not len(missing) or width == len(graph.ids):
+            break
+        # Misses of queries that link cost a wider beam for those only; a query without any, for all.
+        some = np.unique(at_query)
+        wanted = some if np.isin(missing, some).all() else np.arange(len(rows))
+        width *= 2
+    good = np.concatenate([np.zeros(0, bool), *[np.einsum("ij,ij->i", own[at_query[i : i + 65536]], exact[at_node[i : i + 65536]]) >= least for i in range(0, len(at_node), 65536)]])
+    return at_query[good], at_node[good]
+
+
+def _audit(exact: np.ndarray, own: np.ndarray, at_query: np.ndarray, at_node: np.ndarray, least: float) -> np.ndarray:
+    """Queries that miss links, of some that are held against all vectors, if too many links are missed."""
+    some = np.unique(at_query)
+    chosen = [np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(int) for x in (own, some)]
+    audit = np.unique(np.append(chosen[0], some[chosen[1]]))
+    true, hits, missing = 0, 0, []
+    for q in audit:
+        links = np.flatnonzero(exact @ own[q] >= least)
+        found = np.isin(links, at_node[np.searchsorted(at_query, q) : np.searchsorted(at_query, q, side="right")]).sum()
+        true, hits = true + len(links), hits + found
+        if found < len(links):
+            missing.append(q)
+    return np.array(missing if hits < RECALL * true else [], np.int64)
+
+
+def _pairs(graph: Graph, queries: np.ndarray, which: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of some queries: those of the beam, and all that are reached from them through linked nodes."""
+    n = len(graph.ids)
+    first, near = graph.both_ways()
+    at_query, at_node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(8, min(_QUERIES, (1 << 24) // (n + 1)))
+    for start in range(0, len(which), step):
+        part = which[start : start + step]
         ids, sims = graph.search(queries[part], width)
-        near = sims >= least
-        a, b = np.nonzero(near)
-        at_query.append(part[a])
-        at_node.append(ids[a, b])
-        full.append(part[near.all(axis=1)])
-    return np.concatenate(at_query), np.concatenate(at_node), np.concatenate(full)
+        q, place = np.nonzero(sims >= least)
+        todo = [(q, ids[q, place])]
+        seen = np.zeros((len(part), n), bool)
+        known, row = np.nonzero(ids >= 0)
+        seen[known, ids[known, row]] = True
+        while todo:
+            q, node = todo.pop()
+            at_query.append(part[q])
+            at_node.append(node)
+            for i in range(0, len(q), _FRONT):
+                a, b = q[i : i + _FRONT], node[i : i + _FRONT]
+                sizes = first[b + 1] - first[b]
+                inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                a, b = np.repeat(a, sizes), near[np.repeat(first[b], sizes) + inner]
+                new = ~seen[a, b]
+                pairs = np.unique(a[new] * n + b[new])
+                a, b = pairs // n, pairs % n
+                seen[a, b] = True
+                good = np.einsum("ij,ij->i", queries[part[a]], graph.unit[b]) >= least
+                if good.any():
+                    todo.append((a[good], b[good]))
+    return np.concatenate(at_query), np.concatenate(at_node)
 
 
 def near_vectors(vectors: DataFrame, *, least: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -233,11 +272,12 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, vec_id: str = "vec_
     own = usable(vectors, vec_id, embedding)
     nodes = materialised(own.groupBy("e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("d", F.size("e")))
     many = nodes.count()
-    shards, blocks = max(LEAST_SHARDS, -(-many // shard_rows)), max(LEAST_SHARDS, -(-many // block_rows))
+    shards, blocks = max(LEAST_SHARDS, -(-many // shard_rows)), max(1, -(-many // block_rows))
     dealt = nodes.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         graph = Graph(table["id"].to_numpy(), matrix(table["e"]), table["copies"].to_numpy())
+        graph.unit = None  # made again from the rows
         return pa.table({"d": table["d"].slice(0, 1), "s": table["s"].slice(0, 1), "graph": pa.array([pickle.dumps(graph)], pa.binary())})
 
     graphs = dealt.groupBy("d", "s").applyInArrow(build, "d int, s int, graph binary")
@@ -248,6 +288,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, vec_id: str = "vec_
         a, b, n = [], [], []
         if base.num_rows and asked.num_rows:
             graph: Graph = pickle.loads(base["graph"][0].as_py())
+            graph.unit = _unit(graph.rows).astype(np.float32)
             ids = asked["id"].to_numpy()
             at_query, at_node = linked(graph, matrix(asked["e"]), least)
             other = ids[at_query] != graph.ids[at_node]
