@@ -107,7 +107,8 @@ class _Block:
         self.at = np.flatnonzero(whole)
         anchor = min(ANCHOR, window)
         if many:
-            self.anchors = _sliding_min(_grams(hashes, anchor), window - anchor + 1)[self.at]
+            # Minima crowd at the low end of the hash space; mixed again they spread evenly over its ranges.
+            self.anchors = mix64(_sliding_min(_grams(hashes, anchor), window - anchor + 1)[self.at])
             self.windows = _grams(hashes, window)[self.at]
         else:
             self.anchors = self.windows = np.zeros(0, np.uint64)
