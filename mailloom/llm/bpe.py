@@ -14,12 +14,13 @@ import functools
 import heapq
 import sys
 import unicodedata
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from mailloom.llm.common import slices, utf8
 
@@ -179,52 +180,67 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def _add(docs: DataFrame, field: T.StructField, vocabulary: str, new) -> DataFrame:
-    """``docs`` with a column that ``new(vocabulary, batch, column index)`` gives in pieces of bounded size."""
+def _shared(vocabulary: str):
+    """The bytes of a vocabulary file, read once on the driver and broadcast; a file of a fixed and small size."""
     with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    docs = docs.drop(field.name)
-    schema = T.StructType([*docs.schema.fields, field])
+        return SparkSession.active().sparkContext.broadcast(f.read())
 
-    def run(batches):
+
+def encode(text: Column, vocabulary: str) -> Column:
+    """Token ids of the whole text as an array of int, without special tokens.
+
+    ``vocabulary`` is the path of a file of base64 tokens and ranks that has all 256 bytes. A null or empty text has no ids.
+    Each row is encoded alone, so repeated rows and null ids need no care.
+    """
+    shared = _shared(vocabulary)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _vocabulary(shared.value)
-        for batch in batches:
-            for a, b, values in new(own, batch):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, values], schema.names)
+        for texts in batches:
+            yield _joined([ids for ids, _ in _encoded(own, texts)], pa.list_(pa.int32()))
 
-    return docs.mapInArrow(run, schema)
+    return F.arrow_udf(run, "array<int>")(text)
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of the whole text as an array of int, without special tokens.
+def decode(ids: Column, vocabulary: str) -> Column:
+    """The bytes of the tokens as binary; null ids give no bytes, an unknown id is an error."""
+    shared = _shared(vocabulary)
 
-    ``vocabulary`` is the path of a file of base64 tokens and ranks that has all 256 bytes. A null or empty text has no ids.
-    Each row is encoded alone, so repeated rows and null ids need no care; an empty table gives no rows. An existing column
-    ``to`` is replaced.
-    """
-    at = docs.drop(to).columns.index(text)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _vocabulary(shared.value)
+        for column in batches:
+            if column.null_count:
+                column = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
+            offsets, values = np.asarray(column.offsets, np.int64), np.asarray(column.values, np.int64)
+            data, ends, _ = own.decode(values[offsets[0] : offsets[-1]], offsets - offsets[0])
+            yield _binary(data, ends)
+
+    return F.arrow_udf(run, "binary")(ids)
 
-    def new(own: Vocabulary, batch: pa.RecordBatch):
-        data, offsets = utf8(batch.column(at))
-        for a, b in slices(offsets):
-            ids, ends = own.encode(data, offsets[a : b + 1])
-            yield a, b, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
-    return _add(docs, T.StructField(to, T.ArrayType(T.IntegerType())), vocabulary, new)
+def round_trip(text: Column, vocabulary: str) -> Column:
+    """A struct of ``ids`` as ``encode`` gives them and ``decoded`` as ``decode`` makes of them, in one task."""
+    shared = _shared(vocabulary)
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = _vocabulary(shared.value)
+        for texts in batches:
+            out = []
+            for ids, ends in _encoded(own, texts):
+                data, to, _ = own.decode(np.asarray(ids.values, np.int64), ends)
+                out.append(pa.StructArray.from_arrays([ids, _binary(data, to)], fields=list(kind)))
+            yield _joined(out, kind)
+
+    return F.arrow_udf(run, "ids array<int>, decoded binary")(text)
 
 
-def decode(docs: DataFrame, vocabulary: str, *, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes of the tokens of each row, as binary; null ids give no bytes, an unknown id is an error."""
-    at = docs.drop(to).columns.index(ids)
+def _encoded(own: Vocabulary, texts: pa.Array) -> Iterator[tuple[pa.ListArray, np.ndarray]]:
+    data, offsets = utf8(texts)
+    for a, b in slices(offsets):
+        ids, ends = own.encode(data, offsets[a : b + 1])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), ends
 
-    def new(own: Vocabulary, batch: pa.RecordBatch):
-        column = batch.column(at)
-        if column.null_count:
-            column = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
-        offsets = np.asarray(column.offsets, np.int64)
-        values = np.asarray(column.values, np.int64)
-        for a, b in slices(offsets, 1 << 18):
-            data, ends, _ = own.decode(values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield a, b, _binary(data, ends)
 
-    return _add(docs, T.StructField(to, T.BinaryType()), vocabulary, new)
+def _joined(pieces: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(pieces) if pieces else pa.array([], kind)

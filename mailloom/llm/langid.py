@@ -22,64 +22,71 @@ from mailloom.llm.common import col, fresh
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 _WORD = re.compile(r"[^\W\d_]+")
-#: n-grams known to a worker before it forgets them all; bounds its memory.
-_KNOWN = 300_000
+#: Words and n-grams known to a worker before it forgets them all, between texts; bounds its memory.
+_KNOWN = 100_000
 
 
-class _Grams:
-    """Letter n-grams of words, as dense numbers of this worker. A word is padded by a blank on either side."""
+class _Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, values: list) -> None:
+        end = self.size + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), end), self.data.dtype)])
+        self.data[self.size : end] = values
+        self.size = end
+
+
+class _Grams(dict):
+    """Words by number, and for each word the dense numbers of its letter n-grams, one list after another. A word is padded
+    by a blank on either side."""
 
     def __init__(self):
+        super().__init__()
         self._forget()
 
     def _forget(self) -> None:
+        self.clear()
         self.dense: dict[int, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.values = np.zeros(0, np.int64)
-
-    def start(self) -> None:
-        """Before a text: forget if there is too much."""
-        if len(self.dense) > _KNOWN or len(self.words) > _KNOWN:
-            self._forget()
-
-    def of(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            letters = "".join(x for x in word if x.isalpha())
-            found, padded = [], [32, *map(ord, letters), 32]
-            if letters:
-                for n in ORDERS:
-                    for i in range(len(padded) - n + 1):
-                        packed = 0
-                        for x in padded[i : i + n]:
-                            packed = packed << 21 | x
-                        if packed != 32:
-                            found.append(self.dense.setdefault(packed, len(self.dense)))
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
-
-    def packed(self) -> np.ndarray:
-        if len(self.values) != len(self.dense):
-            self.values = np.fromiter(self.dense, np.int64, len(self.dense))
-        return self.values
+        self.packed, self.grams, self.ends = _Grown(np.int64), _Grown(np.int64), _Grown(np.int64)
+        self.ends.extend([0])
+
+    def __missing__(self, word: str) -> int:
+        letters = "".join(x for x in word if x.isalpha())
+        padded, found = [32, *map(ord, letters), 32], []
+        for n in ORDERS if letters else ():
+            for i in range(len(padded) - n + 1):
+                code = 0
+                for x in padded[i : i + n]:
+                    code = code << 21 | x
+                if code != 32:
+                    if code not in self.dense:
+                        self.dense[code] = len(self.dense)
+                        self.packed.extend([code])
+                    found.append(self.dense[code])
+        self.grams.extend(found)
+        self.ends.extend([self.grams.size])
+        self[word] = len(self)
+        return len(self) - 1
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Packed n-grams of the whole text and their counts."""
-        self.start()
-        words = Counter(_WORD.findall(text.lower()))
-        ids: list[int] = []
-        sizes: list[int] = []
-        for word in words:
-            grams = self.of(word)
-            ids += grams
-            sizes.append(len(grams))
-        if not ids:
+        if max(len(self.dense), len(self)) > _KNOWN:
+            self._forget()
+        words = _WORD.findall(text.lower())
+        ids, times = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
+        begins = self.ends.data[ids]
+        sizes = self.ends.data[ids + 1] - begins
+        total = int(sizes.sum())
+        if not total:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
-        total = np.bincount(ids, weights, len(self.dense))
-        there = np.flatnonzero(total)
-        return self.packed()[there], total[there].astype(np.int64)
+        at = np.arange(total) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+        n = np.bincount(self.grams.data[at], np.repeat(times, sizes), len(self.dense))
+        there = np.flatnonzero(n)
+        return self.packed.data[there], n[there].astype(np.int64)
 
 
 def _top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:

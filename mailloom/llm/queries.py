@@ -75,8 +75,7 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 @_query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
-    whole = bpe.decode(ids, vocabulary)
+    whole = _table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), vocabulary).alias("t")).select("doc_id", "t.ids", "t.decoded")
     return whole.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
