@@ -52,12 +52,12 @@ def decode_entities(c: Column) -> Column:
 
     def decode(piece: Column) -> Column:
         name = F.regexp_extract(piece, r"^&(#?\w+);", 1)
-        digits = F.regexp_extract(name, r"^#(\d{1,7})$", 1)
-        hexed = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1)
-        code = F.coalesce(
-            F.hex(F.when(digits != "", digits).try_cast("bigint")), F.when(hexed != "", hexed)
-        )
-        char = F.when(code.isNotNull(), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        digits = F.regexp_extract(name, r"^#0*(\d+)$", 1)
+        hexed = F.regexp_extract(name, r"^#[xX]0*([0-9a-fA-F]+)$", 1)
+        number = F.when(digits != "", digits.try_cast("bigint"))
+        number = F.coalesce(number, F.when((hexed != "") & (F.length(hexed) <= 8), F.conv(hexed, 16, 10).try_cast("bigint")))
+        whole = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)  # else no character: the text stays
+        char = F.when(whole, F.decode(F.unhex(F.lpad(F.hex(F.when(whole, number)), 8, "0")), "UTF-32"))
         value = F.coalesce(F.try_element_at(named, name), char)
         rest = F.substring(piece, F.length(name) + 3, F.length(piece))
         return F.when((name != "") & value.isNotNull(), F.concat(value, rest)).otherwise(piece)

@@ -63,7 +63,7 @@ def result_error(errors: Column | str) -> Column:
     """Error block of the first failure with the other fields as detail; null for a valid row."""
     errors = as_col(errors)
     first = F.get(errors, F.lit(0))
-    others = F.transform(F.slice(errors, 2, 1000), lambda e: e["field"])
+    others = F.transform(F.slice(errors, F.lit(2), F.greatest(F.size(errors), F.lit(1))), lambda e: e["field"])
     detail = F.when(
         F.size(errors) > 1, F.concat(F.lit("Additional failures: "), F.array_join(others, ", "))
     ).otherwise("")

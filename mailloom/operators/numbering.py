@@ -9,6 +9,8 @@ inside a small block of the order, and the sizes of the blocks before it are add
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,14 +51,17 @@ def with_numbers(
     date: str = "internal_date",
     uid: str = "uid",
     name: str = "email_no",
+    first: int = 1,
+    last: int | None = None,
 ) -> DataFrame:
-    """Add the message number of every row, however large the folder.
+    """Add the message number of every row, however large the folder; a null account or folder is a key like any other.
 
     The wide rows are shuffled once, on (folder, second, UID block); only block sizes take the
-    further shuffles, and every window runs over a bounded group.
+    further shuffles, and every window runs over a bounded group. With ``first`` and ``last`` only
+    these numbers stay, and only blocks that hold one of them move.
     """
     k = list(keys)
-    staged = df.withColumns(
+    marked = df.withColumns(
         {
             "_at": received(date),
             "_day": F.to_date(received(date)),
@@ -70,23 +75,30 @@ def with_numbers(
         w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(size).over(w), F.lit(0))
 
-    blocks = staged.groupBy(*block).agg(F.count("*").alias("_n"))
+    def joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """An inner join in which null meets null."""
+        right = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+        match = reduce(and_, [left[c].eqNullSafe(right[f"_r_{c}"]) for c in on])
+        return left.join(right, match).drop(*[f"_r_{c}" for c in on])
+
+    blocks = marked.groupBy(*block).agg(F.count("*").alias("_n"))
     seconds = blocks.groupBy(*second).agg(F.sum("_n").alias("_n"))
     days = seconds.groupBy(*k, "_day").agg(F.sum("_n").alias("_n"))
-    block_start = blocks.select(*block, before("_n", second, F.asc("_block")).alias("_b"))
+    block_start = blocks.select(*block, "_n", before("_n", second, F.asc("_block")).alias("_b"))
     second_start = seconds.select(*second, before("_n", [*k, "_day"], F.desc("_at")).alias("_s"))
     day_start = days.select(*k, "_day", before("_n", k, F.desc("_day")).alias("_d"))
-    starts = (
-        block_start.join(second_start, second)
-        .join(day_start, [*k, "_day"])
-        .select(*block, (F.col("_b") + F.col("_s") + F.col("_d")).alias("_start"))
-    )
+    starts = joined(joined(block_start, second_start, second), day_start, [*k, "_day"])
+    starts = starts.select(*block, "_n", (F.col("_b") + F.col("_s") + F.col("_d")).alias("_start"))
+    if first > 1:
+        starts = starts.filter(F.col("_start") + F.col("_n") >= first)
+    if last is not None:
+        starts = starts.filter(F.col("_start") < last)
     rank = F.row_number().over(Window.partitionBy(*block).orderBy(F.asc(uid)))
-    return (
-        staged.withColumn("_rank", rank)
-        .join(starts, block)
-        .select(*df.columns, (F.col("_start") + F.col("_rank")).alias(name))
-    )
+    numbered = joined(marked, starts.drop("_n"), block).withColumn("_rank", rank)
+    out = numbered.select(*df.columns, (F.col("_start") + F.col("_rank")).alias(name))
+    if first > 1:
+        out = out.filter(F.col(name) >= first)
+    return out if last is None else out.filter(F.col(name) <= last)
 
 
 def newest(
@@ -97,16 +109,15 @@ def newest(
     uid: str = "uid",
     name: str = "email_no",
 ) -> DataFrame:
-    """The newest ``n`` messages of every folder with their numbers."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(date, uid)))
-    return df.withColumn(name, rank.cast("bigint")).filter(F.col(name) <= n)
+    """The newest ``n`` messages of every folder with their numbers, by the same plan for every n."""
+    return with_numbers(df, keys, date, uid, name, last=n)
 
 
 def nth(df: DataFrame, n: int, **kw) -> DataFrame:
     """Message number ``n`` of every folder; folders with fewer messages give no row."""
     if n < 1:
         raise ValueError("the message number starts at 1")
-    return newest(df, n, **kw).filter(F.col(kw.get("name", "email_no")) == n)
+    return with_numbers(df, **kw, first=n, last=n)
 
 
 def parse_range(text: str) -> tuple[int, int | None]:
@@ -126,8 +137,7 @@ def parse_range(text: str) -> tuple[int, int | None]:
 def number_range(df: DataFrame, text: str, **kw) -> DataFrame:
     """Messages whose number lies in the range; an end past the last message is cut."""
     start, end = parse_range(text)
-    numbered = with_numbers(df, **kw) if end is None else newest(df, end, **kw)
-    return numbered.filter(F.col(kw.get("name", "email_no")) >= start)
+    return with_numbers(df, **kw, first=start, last=end)
 
 
 def first_processed(df: DataFrame, n: int, keep: Column | None = None, **kw) -> DataFrame:

@@ -26,7 +26,10 @@ _PARSED = (
 def _decoded(value: str) -> str:
     """Unfolded header text with its encoded words resolved."""
     value = " ".join(str(value).split("\n")).replace("\r", "")
-    return str(make_header(decode_header(value))) if "=?" in value else value
+    try:
+        return str(make_header(decode_header(value))) if "=?" in value else value
+    except (LookupError, UnicodeError):  # a charset nobody knows: the header stays as it is written
+        return value
 
 
 def _body_text(payload: bytes, charset: str | None) -> str:
@@ -95,7 +98,7 @@ def parse_messages(df: DataFrame, raw: str, *keys: str) -> DataFrame:
             parsed = pd.DataFrame([_parse(r) for r in frame["_raw"]], index=frame.index)
             if parsed.empty:
                 continue
-            parsed["sent_at"] = pd.to_datetime(parsed["sent_at"])
+            parsed["sent_at"] = parsed["sent_at"].astype(object).where(parsed["sent_at"].notna(), None)  # years beyond nanoseconds
             yield pd.concat([frame[list(keys)], parsed], axis=1)
 
     return source.mapInPandas(batches, schema)
