@@ -52,6 +52,12 @@ def _classes() -> np.ndarray:
     return out
 
 
+@functools.cache
+def letters() -> np.ndarray:
+    """Is a code point a letter?"""
+    return _classes() == _LETTER
+
+
 def boundaries(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Where pre-tokens start among the code points of several texts; ``firsts`` are the places where texts begin."""
     n = len(points)

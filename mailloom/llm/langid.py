@@ -7,7 +7,6 @@ costs the length of the profile. The language with the smallest sum is predicted
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,76 +16,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailloom.llm.bpe import letters
 from mailloom.llm.common import col, fresh
 
 UNKNOWN = "und"
-ORDERS = (1, 2, 3)
-_WORD = re.compile(r"[^\W\d_]+")
-#: Words and n-grams known to a worker before it forgets them all, between texts; bounds its memory.
-_KNOWN = 100_000
-
-
-class _Grown:
-    """A numpy array that grows at its end."""
-
-    def __init__(self, kind):
-        self.data, self.size = np.zeros(1024, kind), 0
-
-    def extend(self, values: list) -> None:
-        end = self.size + len(values)
-        if end > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), end), self.data.dtype)])
-        self.data[self.size : end] = values
-        self.size = end
-
-
-class _Grams(dict):
-    """Words by number, and for each word the dense numbers of its letter n-grams, one list after another. A word is padded
-    by a blank on either side."""
-
-    def __init__(self):
-        super().__init__()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.clear()
-        self.dense: dict[int, int] = {}
-        self.packed, self.grams, self.ends = _Grown(np.int64), _Grown(np.int64), _Grown(np.int64)
-        self.ends.extend([0])
-
-    def __missing__(self, word: str) -> int:
-        letters = "".join(x for x in word if x.isalpha())
-        padded, found = [32, *map(ord, letters), 32], []
-        for n in ORDERS if letters else ():
-            for i in range(len(padded) - n + 1):
-                code = 0
-                for x in padded[i : i + n]:
-                    code = code << 21 | x
-                if code != 32:
-                    if code not in self.dense:
-                        self.dense[code] = len(self.dense)
-                        self.packed.extend([code])
-                    found.append(self.dense[code])
-        self.grams.extend(found)
-        self.ends.extend([self.grams.size])
-        self[word] = len(self)
-        return len(self) - 1
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Packed n-grams of the whole text and their counts."""
-        if max(len(self.dense), len(self)) > _KNOWN:
-            self._forget()
-        words = _WORD.findall(text.lower())
-        ids, times = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
-        begins = self.ends.data[ids]
-        sizes = self.ends.data[ids + 1] - begins
-        total = int(sizes.sum())
-        if not total:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.arange(total) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
-        n = np.bincount(self.grams.data[at], np.repeat(times, sizes), len(self.dense))
-        there = np.flatnonzero(n)
-        return self.packed.data[there], n[there].astype(np.int64)
+
+
+def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Packed letter n-grams of the whole text, in order, and their counts. Words are runs of letters, padded by a blank on
+    either side; an n-gram lies in one word."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter = letters()[points]
+    if not letter.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]  # the first of several others stands for the blank
+    x = np.where(letter, points, 32)[kept]
+    x = np.concatenate([[32] * int(x[0] != 32), x, [32] * int(x[-1] != 32)]).astype(np.int64)
+    whole = x[1:-1] != 32
+    grams = np.concatenate([x[x != 32], x[:-1] << 21 | x[1:], (x[:-2] << 42 | x[1:-1] << 21 | x[2:])[whole]])
+    grams.sort()
+    new = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    return grams[new], np.diff(np.append(new, len(grams)))
 
 
 def _top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -131,11 +82,10 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limit).select("lang", "text")
 
     def count(batches):
-        grams = _Grams()
         total: dict[str, Counter] = {}
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, n = grams.counts(value.as_py())
+                found, n = _counts(value.as_py())
                 total.setdefault(name, Counter()).update(dict(zip(found.tolist(), n.tolist(), strict=True)))
         for name, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], ["lang", "gram", "n"])
@@ -177,8 +127,8 @@ def _verdict(profiles: Profiles):
     languages, size = profiles.languages, profiles.size
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])
 
-    def judge(grams: _Grams, value: str | None) -> dict:
-        found, counts = grams.counts(value) if value and languages else ((), ())
+    def judge(value: str | None) -> dict:
+        found, counts = _counts(value) if value and languages else ((), ())
         if not len(found):
             return {"lang_pred": UNKNOWN, "score": 0.0, "margin": 0.0}
         top = _top(found, counts, size)
@@ -192,8 +142,7 @@ def _verdict(profiles: Profiles):
         return {"lang_pred": languages[best], "score": float(1.0 - distance[best] / (size * len(top))), "margin": float(margin)}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        grams = _Grams()
         for texts in batches:
-            yield pa.array([judge(grams, value.as_py()) for value in texts], kind)
+            yield pa.array([judge(value.as_py()) for value in texts], kind)
 
     return F.arrow_udf(run, "lang_pred string, score double, margin double")
