@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task takes into its numpy arrays at once; a longer text is one piece of its own.
 SLICE_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch of whole texts; a task holds some of them on both sides of the pipe to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -20,6 +22,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mailloom-checkpoint-"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Make the Arrow batches of this session small, unless it asks for smaller ones. Results do not depend on it."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
