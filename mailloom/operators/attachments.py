@@ -7,6 +7,8 @@ before they are shuffled.
 from __future__ import annotations
 
 import string
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,7 +83,9 @@ def export_names(
 
     A message with several attachments prefixes their position: ``2_a.pdf``. A taken name gets a
     letter (``2a_a.pdf`` to ``2z_a.pdf``), and later ones are skipped. A single attachment keeps
-    its bare name and replaces an earlier file of that name, so the last message wins.
+    its bare name and replaces an earlier file of that name, so the last message wins. A bare name
+    that looks like a prefixed one takes that name from the prefixed files, so a target stands once
+    per directory. A slash in a name becomes an underscore.
 
     Needs ``internal_date`` for the message order. Popular names are hot keys, so both windows
     keep a fixed number of rows per name, which Spark already applies before the shuffle.
@@ -94,31 +98,43 @@ def export_names(
             "_at": received(),
         }
     ).withColumn("_numbered", F.col("_count") > 1)
-    base = F.concat_ws("_", F.col("_n").cast("string"), F.col(name))
+    file = F.translate(F.col(name), "/", "_")
+    base = F.concat_ws("_", F.col("_n").cast("string"), file)
     processing = [F.desc("_at"), F.asc("uid")]
     reversed_processing = [F.asc("_at"), F.desc("uid")]
 
     taken = F.row_number().over(Window.partitionBy(*directory, "_base").orderBy(*processing))
     letters = F.array(F.lit(""), *[F.lit(c) for c in string.ascii_lowercase])
-    prefixed = (
-        numbered.filter("_numbered")
-        .withColumn("_base", base)
-        .withColumn("_taken", taken)
-        .filter(F.col("_taken") <= 1 + len(string.ascii_lowercase))
-        .withColumn(
-            "target",
-            F.concat(F.col("_n").cast("string"), F.get(letters, F.col("_taken") - 1), F.lit("_"), F.col(name)),
-        )
-        .drop("_base", "_taken")
-    )
     last = F.row_number().over(Window.partitionBy(*directory, "target").orderBy(*reversed_processing))
     bare = (
         numbered.filter(~F.col("_numbered"))
-        .withColumn("target", F.col(name))
+        .withColumn("target", file)
         .withColumn("_last", last)
         .filter(F.col("_last") == 1)
         .drop("_last")
     )
+    shape = r"(?s)^([0-9]+)([a-z]?)_(.*)$"
+    number, letter, rest = (F.regexp_extract("target", shape, i) for i in (1, 2, 3))
+    blocked = (
+        bare.filter(F.col("target").rlike(shape))
+        .select(*[F.col(k).alias(f"_r_{k}") for k in directory], F.concat_ws("_", number, rest).alias("_r_base"), letter.alias("_letter"))
+        .groupBy(*[f"_r_{k}" for k in directory], "_r_base")
+        .agg(F.collect_set("_letter").alias("_blocked"))
+    )
+    claims = (
+        numbered.filter("_numbered")
+        .withColumn("_base", base)
+        .withColumn("_taken", taken)
+        .filter(F.col("_taken") <= 1 + len(string.ascii_lowercase))
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in directory], F.col("_base") == F.col("_r_base"))
+    free = F.array_except(letters, F.coalesce("_blocked", F.array().cast("array<string>")))
+    prefixed = (
+        claims.join(blocked, same, "left")
+        .withColumn("target", F.concat(F.col("_n").cast("string"), F.get(free, F.col("_taken") - 1), F.lit("_"), file))
+        .filter(F.get(free, F.col("_taken") - 1).isNotNull())
+        .drop("_base", "_taken", "_blocked", "_r_base", *[f"_r_{k}" for k in directory])
+    )
     return prefixed.unionByName(bare).drop("_count", "_n", "_at", "_numbered")
 
 

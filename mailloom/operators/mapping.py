@@ -13,6 +13,8 @@ that has to be thrown away, and one busy folder is spread over many join keys.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,7 +188,8 @@ def file_counts(
 ) -> DataFrame:
     """Requests with ``n_files``, zero included; give stored requests.
 
-    Files are counted per block first, so requests meet counts and never single files.
+    Files are counted per block first, so requests meet counts and never single files. Requests
+    without a folder, pattern or range match nothing and stay out of the join.
     """
     per_block = (
         _file_blocks(list_files(files), patterns, ref_date).groupBy(*BLOCK_KEYS).agg(F.count("*").alias("n"))
@@ -197,5 +200,9 @@ def file_counts(
         .groupBy(*RANGE_KEYS)
         .agg(F.sum("n").alias("n_files"))
     )
-    counted = with_bounds(requests).join(per_range, RANGE_KEYS, "left")
-    return counted.select(*requests.columns, F.coalesce("n_files", F.lit(0)).alias("n_files"))
+    bounded = with_bounds(requests)
+    open_ = reduce(or_, [F.col(k).isNull() for k in RANGE_KEYS])
+    counted = bounded.filter(~open_).join(per_range, RANGE_KEYS, "left")
+    others = bounded.filter(open_).withColumn("n_files", F.lit(None).cast("bigint"))
+    n_files = F.coalesce("n_files", F.lit(0)).alias("n_files")
+    return counted.select(*requests.columns, n_files).union(others.select(*requests.columns, n_files))

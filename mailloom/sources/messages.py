@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailloom.functions.text import trim_ws
 
@@ -13,15 +14,23 @@ HEADER_COLUMNS = (
 
 
 def write_messages(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Partitioned by account and folder, so that selecting either prunes directories."""
-    df.write.mode(mode).partitionBy("account", "folder").parquet(path)
+    """Partitioned by account and folder, so that selecting either prunes directories.
+
+    Rows of a folder are brought together first, so there are few files; adaptive execution splits a large folder again.
+    """
+    df.hint("rebalance", F.col("account"), F.col("folder")).write.mode(mode).partitionBy("account", "folder").parquet(path)
 
 
 def read_messages(
     spark: SparkSession, path: str, account: str | None = None, folder: str | None = None, bodies: bool = False
 ) -> DataFrame:
-    """Header scan of one account and folder (all for None); bodies are read only on request."""
-    return select_mailbox(headers(spark.read.parquet(path), bodies), account, folder)
+    """Header scan of one account and folder (all for None); bodies are read only on request.
+
+    Accounts and folders are texts whatever they look like, so "0123" stays what it is.
+    """
+    found = spark.read.parquet(path).schema
+    texts = [T.StructField(f.name, T.StringType()) if f.name in ("account", "folder") else f for f in found]
+    return select_mailbox(headers(spark.read.schema(T.StructType(texts)).parquet(path), bodies), account, folder)
 
 
 def headers(df: DataFrame, bodies: bool = False) -> DataFrame:

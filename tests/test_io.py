@@ -52,6 +52,14 @@ def test_message_table_and_stream(spark, tmp_path):
     assert [r["uid"] for r in spark.table("stops").collect()] == [3]
 
 
+def test_accounts_stay_texts(spark, tmp_path):
+    path = str(tmp_path / "digits")
+    df = spark.createDataFrame([("0123", "1", i) for i in range(8)] + [("123", "1", 8)], "account string, folder string, uid int")
+    src.write_messages(df.repartition(4), path)
+    assert src.read_messages(spark, path, "0123").count() == 8 and src.read_messages(spark, path, "123").count() == 1
+    assert len(list((tmp_path / "digits" / "account=0123").rglob("*.parquet"))) == 1
+
+
 def test_text_and_json(spark, tmp_path):
     df = spark.createDataFrame([(1, "a@x", "b@y, c@z", "d", "s", "false", None)],
                                "email_no int, from string, to string, date string, subject string, attachment string, body string")

@@ -161,6 +161,20 @@ def test_export_names(spark):
     assert (3, 1) not in got and (41, 1) not in got and got[(40, 1)] == "y.pdf"
 
 
+def test_export_targets_are_unique(spark):
+    def row(uid, part, name):
+        return ("a", None, uid, dt.datetime(2024, 1, 1) + dt.timedelta(days=uid), part, name)
+
+    rows = [row(1, 1, "x.pdf"), row(1, 2, "y.pdf"), row(2, 1, "1_x.pdf"), row(3, 1, "1a_x.pdf"), row(4, 1, "2_y.pdf"),
+            row(5, 1, "a/b.txt"), row(6, 1, "a_b.txt"), row(7, 1, "x.pdf"), row(7, 2, "z.pdf")]
+    df = spark.createDataFrame(rows, "account string, folder string, uid int, internal_date timestamp_ntz, part_no int, name string")
+    got = {(r["uid"], r["part_no"]): r["target"] for r in export_names(df).collect()}
+    assert got[(2, 1)] == "1_x.pdf" and got[(3, 1)] == "1a_x.pdf" and got[(4, 1)] == "2_y.pdf"
+    assert got[(7, 1)] == "1b_x.pdf" and got[(1, 1)] == "1c_x.pdf" and got[(1, 2)] == "2a_y.pdf" and got[(7, 2)] == "2_z.pdf"
+    assert (6, 1) not in got or (5, 1) not in got
+    assert len(set(got.values())) == len(got) == 8
+
+
 def test_extension(evaluate):
     assert evaluate(extension, ["a.PDF", "a.tar.gz", ".bashrc", "none", "a."]) == [".pdf", ".gz", "", "", "."]
 
