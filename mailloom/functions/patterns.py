@@ -10,7 +10,8 @@ import datetime as dt
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions.dates import placeholder_values
@@ -50,11 +51,17 @@ def template_pattern(source: str | None, ref_date: dt.date) -> Pattern | None:
         at = m.end()
     regex.append(re.escape(source[at:]))
     plain.append(source[at:])
+    found = Pattern("regex", "".join(regex))
+    return found if _runs(found) else Pattern("text", "".join(plain))
+
+
+def _runs(pattern: Pattern) -> bool:
+    """Does the engine that will run the pattern take it? Evaluated on one literal row by the optimizer, without a job."""
     try:
-        re.compile("".join(regex))
-    except re.error:
-        return Pattern("text", "".join(plain))
-    return Pattern("regex", "".join(regex))
+        SparkSession.active().sql("values ('')").select(pattern.found_in(F.col("col1"))).head()
+    except PySparkException:
+        return False
+    return True
 
 
 def glob_pattern(source: str) -> Pattern:

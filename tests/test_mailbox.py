@@ -175,6 +175,18 @@ def test_export_targets_are_unique(spark):
     assert len(set(got.values())) == len(got) == 8
 
 
+def test_templates_run_on_the_engine_that_checks_them(spark):
+    from mailloom.functions.patterns import template_pattern
+
+    def found(source, text):
+        pattern = template_pattern(source, dt.date(2024, 1, 1))
+        return spark.createDataFrame([(text,)], "t string").select(pattern.found_in("t")).head()[0]
+
+    assert found("Y {{ (?<y>[0-9]{4}) }}", "Y 2024") and not found("Y {{ (?<y>[0-9]{4}) }}", "Y x")
+    assert not found("Y {{ (?P<y>[0-9]) }}", "Y 2") and found("Y {{ (?P<y>[0-9]) }}", "Y (?P<y>[0-9])")
+    assert found("a {{ [ }}", "a [")
+
+
 def test_extension(evaluate):
     assert evaluate(extension, ["a.PDF", "a.tar.gz", ".bashrc", "none", "a."]) == [".pdf", ".gz", "", "", "."]
 
