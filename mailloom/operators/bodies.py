@@ -27,14 +27,16 @@ def parts_of(messages: DataFrame, parts: DataFrame, keys: tuple[str, ...] = MESS
 def refetched(
     messages: DataFrame, raw: DataFrame, body: str = "body", keys: tuple[str, ...] = MESSAGE_KEYS
 ) -> DataFrame:
-    """Fill blank bodies from the raw table with one join.
+    """Fill blank bodies from the raw table.
 
-    Only blank messages need the raw text, but the join is left outer on the message key, so rows
-    keep their partitioning and the raw side is read once.
+    Only blank messages take part in a join, and the raw table is first reduced to their keys, so
+    the raw text of all other messages stays where it is.
     """
-    source = raw.select(*keys, F.col("raw_text").alias("_raw"))
-    filled = F.coalesce(blank_to_null(body), F.col("_raw"))
-    return messages.join(source, list(keys), "left").withColumn(body, filled).drop("_raw")
+    is_blank = blank_to_null(body).isNull()
+    blank = messages.filter(is_blank)
+    wanted = raw.select(*keys, F.col("raw_text").alias("_raw")).join(blank.select(*keys), list(keys), "left_semi")
+    filled = blank.join(wanted, list(keys), "left").withColumn(body, F.col("_raw")).select(*messages.columns)
+    return messages.filter(~is_blank).unionByName(filled)
 
 
 def body_with_fallback(html: Column | str, text: Column | str, raw: Column | str | None = None) -> Column:
