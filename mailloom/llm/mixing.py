@@ -168,6 +168,12 @@ def copies(rate: Column, row: Column, how: str = "draw") -> Column:
     return F.floor(rate + F.pmod(row, F.lit(1 << 30)) / F.lit(float(1 << 30)))
 
 
+def copies_without(rate: Column, posteriors: Column, domain: str) -> Column:
+    """How often a document is taken if ``domain`` is to go: never where it dominates, as in ``without``; else its rate to the
+    nearest number, at least once. The choice rests on the document's own posterior, not on the share of its domain."""
+    return F.when(posteriors[DOMAINS.index(domain)] >= 0.5, F.lit(0)).otherwise(F.greatest(F.lit(1), copies(rate, F.lit(0), "nearest")))
+
+
 def memberships(docs: DataFrame, classifier: Classifier, *, text: str = "text") -> DataFrame:
     """``docs`` with ``tokens`` (words of the whole text) and ``posteriors``; existing columns of these names are replaced."""
     return docs.withColumn("posteriors", classifier.posteriors(col(text))).withColumn("tokens", F.size(words(col(text))).cast("double"))
