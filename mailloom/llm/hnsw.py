@@ -23,8 +23,8 @@ from mailloom.llm.vectors import matrix, usable
 SHARD_ROWS, LEAST_SHARDS, BLOCK_ROWS = 50_000, 8, 16384
 #: Neighbours of a node on the lowest and on other layers, beam while building, beam while searching.
 DEGREE, UPPER_DEGREE, BUILD_BEAM, SEARCH_BEAM = 24, 12, 32, 24
-#: Queries of a block that are audited, and the share of links that they must find.
-AUDIT, RECALL = 48, 0.99
+#: Queries of a block and kind that are audited, the mean share of their links that they must find, and how many links are few.
+AUDIT, RECALL, FEW = 48, 0.99, 8
 _QUERIES, _OPEN, _FRONT = 256, 4, 8192
 
 
@@ -189,49 +189,64 @@ class Graph:
         return _beam(self.layers[-1], self.unit, queries, entry, width)
 
 
-def linked(graph: Graph, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) of cosine ``least`` or more, verified in double precision."""
+def linked(graph: Graph, rows: np.ndarray, ids: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of cosine ``least`` or more between queries (``rows`` with their ``ids``) and other nodes, verified in double
+    precision: for each query the rows that it links to, and a forest of the links as two arrays of ids. Pairs are counted
+    and joined as they come, never held together."""
     exact, own = _unit(graph.rows), _unit(rows)
     short = own.astype(np.float32)
     slack = np.float32(least - 1e-5)
+    every, place = np.unique(np.concatenate([ids, graph.ids]), return_inverse=True)
+    forest = LocalForest(len(every))
+    links, counts = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    hit = np.zeros(len(ids), bool)
     width, wanted = SEARCH_BEAM, np.arange(len(rows))
-    at_query = at_node = np.zeros(0, np.int64)
     while True:
         width = min(width, len(graph.ids))
-        new_query, new_node = _pairs(graph, short, wanted, width, slack)
-        pairs = np.unique(np.append(at_query, new_query) * len(graph.ids) + np.append(at_node, new_node))
-        at_query, at_node = pairs // len(graph.ids), pairs % len(graph.ids)
-        missing = _audit(exact, own, at_query, at_node, least)
+        new_links, new_counts = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for at_query, at_node in _pairs(graph, short, wanted, width, slack):
+            good = np.einsum("ij,ij->i", own[at_query], exact[at_node]) >= least
+            hit[at_query[good]] = True
+            good &= ids[at_query] != graph.ids[at_node]
+            at_query, at_node = at_query[good], at_node[good]
+            np.add.at(new_links, at_query, 1)
+            np.add.at(new_counts, at_query, graph.copies[at_node])
+            forest.add(place[at_query], place[len(ids) + at_node])
+        # A search gives each link once, so the larger of two counts is the nearer one.
+        links, counts = np.maximum(links, new_links), np.maximum(counts, new_counts)
+        missing = _audit(exact, graph.ids, own, ids, links, least)
         if not len(missing) or width == len(graph.ids):
             break
         # Misses of queries that link cost a wider beam for those only; a query without any, for all.
-        some = np.unique(at_query)
-        wanted = some if np.isin(missing, some).all() else np.arange(len(rows))
+        some = np.flatnonzero(hit)
+        wanted = some if hit[missing].all() else np.arange(len(rows))
         width *= 2
-    good = np.concatenate([np.zeros(0, bool), *[np.einsum("ij,ij->i", own[at_query[i : i + 65536]], exact[at_node[i : i + 65536]]) >= least for i in range(0, len(at_node), 65536)]])
-    return at_query[good], at_node[good]
-
-
-def _audit(exact: np.ndarray, own: np.ndarray, at_query: np.ndarray, at_node: np.ndarray, least: float) -> np.ndarray:
-    """Queries that miss links, of some that are held against all vectors, if too many links are missed."""
-    some = np.unique(at_query)
-    chosen = [np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(int) for x in (own, some)]
-    audit = np.unique(np.append(chosen[0], some[chosen[1]]))
-    true, hits, missing = 0, 0, []
-    for q in audit:
-        links = np.flatnonzero(exact @ own[q] >= least)
-        found = np.isin(links, at_node[np.searchsorted(at_query, q) : np.searchsorted(at_query, q, side="right")]).sum()
-        true, hits = true + len(links), hits + found
-        if found < len(links):
-            missing.append(q)
-    return np.array(missing if hits < RECALL * true else [], np.int64)
-
-
-def _pairs(graph: Graph, queries: np.ndarray, which: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of some queries: those of the beam, and all that are reached from them through linked nodes."""
+    x, y = forest.links()
+    return counts, every[x], every[y]
+
+
+def _audit(exact: np.ndarray, node_ids: np.ndarray, own: np.ndarray, ids: np.ndarray, links: np.ndarray, least: float) -> np.ndarray:
+    """Queries that miss links, of some that are held against all vectors, if too many links are missed.
+
+    Recall is the mean of the queries' shares of found links, so a large group does not stand for the others; queries with
+    few links are chosen and judged apart.
+    """
+    kinds = [np.arange(len(own)), np.flatnonzero(links), np.flatnonzero(links <= FEW), np.flatnonzero((links > 0) & (links <= FEW))]
+    audit = np.unique(np.concatenate([x[np.linspace(0, len(x) - 1, min(AUDIT, len(x))).astype(int)] for x in kinds]))
+    true = np.zeros(len(audit), np.int64)
+    for i in range(0, len(audit), 16):
+        q = audit[i : i + 16]
+        true[i : i + 16] = ((exact @ own[q].T >= least) & (node_ids[:, None] != ids[q])).sum(axis=0)
+    share = np.minimum(1.0, links[audit] / np.maximum(true, 1))
+    bad = any(of.any() and share[of].mean() < RECALL for of in ((true > 0) & (true <= FEW), true > FEW))
+    return audit[(share < 1) & (true > 0)] if bad else np.zeros(0, np.int64)
+
+
+def _pairs(graph: Graph, queries: np.ndarray, which: np.ndarray, width: int, least: float):
+    """Linked pairs of some queries, each pair once, in pieces: those of the beam, and all that are reached from them through
+    linked nodes."""
     n = len(graph.ids)
     first, near = graph.both_ways()
-    at_query, at_node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(8, min(_QUERIES, (1 << 24) // (n + 1)))
     for start in range(0, len(which), step):
         part = which[start : start + step]
@@ -243,10 +258,9 @@ def _pairs(graph: Graph, queries: np.ndarray, which: np.ndarray, width: int, lea
         seen[known, ids[known, row]] = True
         while todo:
             q, node = todo.pop()
-            at_query.append(part[q])
-            at_node.append(node)
             for i in range(0, len(q), _FRONT):
                 a, b = q[i : i + _FRONT], node[i : i + _FRONT]
+                yield part[a], b
                 sizes = first[b + 1] - first[b]
                 inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 a, b = np.repeat(a, sizes), near[np.repeat(first[b], sizes) + inner]
@@ -257,7 +271,6 @@ def _pairs(graph: Graph, queries: np.ndarray, which: np.ndarray, width: int, lea
                 good = np.einsum("ij,ij->i", queries[part[a]], graph.unit[b]) >= least
                 if good.any():
                     todo.append((a[good], b[good]))
-    return np.concatenate(at_query), np.concatenate(at_node)
 
 
 def near_vectors(vectors: DataFrame, *, least: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -290,16 +303,9 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.95, vec_id: str = "vec_
             graph: Graph = pickle.loads(base["graph"][0].as_py())
             graph.unit = _unit(graph.rows).astype(np.float32)
             ids = asked["id"].to_numpy()
-            at_query, at_node = linked(graph, matrix(asked["e"]), least)
-            other = ids[at_query] != graph.ids[at_node]
-            at_query, at_node = at_query[other], at_node[other]
-            counts = np.bincount(at_query, graph.copies[at_node], len(ids)).astype(np.int64)
+            counts, x, y = linked(graph, matrix(asked["e"]), ids, least)
             there = np.flatnonzero(counts)
-            every, place = np.unique(np.concatenate([ids, graph.ids]), return_inverse=True)
-            forest = LocalForest(len(every))
-            forest.add(place[at_query], place[len(ids) + at_node])
-            x, y = forest.links()
-            a, b = np.concatenate([ids[there], every[x]]), np.concatenate([ids[there], every[y]])
+            a, b = np.concatenate([ids[there], x]), np.concatenate([ids[there], y])
             n = np.concatenate([counts[there], np.zeros(len(x), np.int64)])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
