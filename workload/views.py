@@ -55,12 +55,12 @@ select uid, part_no,
   case k when 0 then null when 1 then 'Invoice-' || ymd || '.pdf' when 2 then 'photo.jpg' else 'notes: draft.txt' end
     as disp_filename,
   case when k = 0 then 'pdf' else 'octet-stream' end as subtype,
-  case when part_no % 5 = 4 then 'inline' else 'attachment' end as disposition
+  case when part_no % 5 = 4 or uid % 2 = 1 then 'inline' else 'attachment' end as disposition
 from (select l_orderkey as uid, l_partkey % 4 as k,
         cast(row_number() over (partition by l_orderkey
           order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as bigint) as part_no,
         {_YMD.format('l_shipdate')} as ymd
-      from lineitem where l_orderkey % 2 = 0) t"""
+      from lineitem) t"""
 
 PARTS = """
 select uid, 1 as path, 'text' as type, 'plain' as subtype from fx_messages where uid % 3 <> 0
@@ -115,8 +115,9 @@ select r_name as parent, n_name as name, r_name || '/' || n_name as full_path, n
 from nation n join region r on n_regionkey = r_regionkey"""
 
 FILES = f"""
-select distinct 'Invoices' as folder, 'Invoice-' || {_YMD.format('o_orderdate')} || '.pdf' as file_name
-from orders where o_orderkey % 3 = 0"""
+select distinct case o_orderkey % 3 when 0 then 'Invoices' when 1 then 'Statements' else 'Scans' end as folder,
+  'Invoice-' || {_YMD.format('o_orderdate')} || '.pdf' as file_name
+from orders"""
 
 RESULTS = """
 select o_orderkey as request_id, case when o_orderkey % 3 = 0 then 0 else 2 end as n_attachments,
