@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import blockjoin, bpe, chat, hnsw, langid, licenses, mixing, simhash, substring, urls
+from mailloom.llm import alignment, blockjoin, bpe, chat, codes, hnsw, langid, licenses, mixing, simhash, substring, triebpe, urls
+from mailloom.llm.common import bounded_batches
 from mailloom.session import ship_package
+from mailloom.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +200,66 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
 """
+
+
+@_query
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    bounded_batches(spark)
+    whole = _table(spark, sf_dir, "documents").select("doc_id", triebpe.round_trip(F.col("text"), vocabulary).alias("t")).select("doc_id", "t.packed", "t.decoded")
+    return whole.select(
+        "doc_id",
+        F.floor(F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        _sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+@_query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.scores().select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@_query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    codebooks = codes.learn(vectors)
+    coded = staged(codes.encode(vectors, codebooks), "codes")
+    digest = F.lit(None).cast("string")
+    for size in codebooks.books:
+        digest = F.when(F.col("size") == size, F.lit(codebooks.digest(size))).otherwise(digest)
+    return coded.join(codes.label_errors(coded), F.col("label").eqNullSafe(F.col("of_label")) & (codes.salt() == F.col("of_salt"))).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256")
+    )
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Integer k-means step by step: ``a<r>`` assigns each part, ``c<r>`` has the codebooks after r rounds."""
+    steps = [f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x
+  FROM k CROSS JOIN (SELECT unnest(range({parts})) AS p)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM p QUALIFY e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT vec_id, label, p, x, min(s) AS s FROM (
+    SELECT p.vec_id, p.label, p.p, p.x, {{'d': CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': c.e}} AS s
+    FROM p JOIN c{r} c ON c.p = p.p) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT p, e, list(f ORDER BY i) AS x FROM (
+    SELECT p, e, i, CAST((t - ((t % n) + n) % n) // n AS BIGINT) AS f FROM (
+      SELECT p, s.e AS e, i, CAST(sum(x[i]) AS BIGINT) AS t, count(*) AS n FROM (SELECT p, s, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL)) GROUP BY p, e),
+c{r + 1} AS (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON m.p = c.p AND m.e = c.e)""")
+    steps.append(f"""o AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(s.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(s.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})""")
+    return ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o, h"
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
