@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.llm import alignment, blockjoin, bpe, chat, codes, hnsw, langid, licenses, mixing, simhash, substring, triebpe, urls
-from mailloom.llm.common import bounded_batches
 from mailloom.session import ship_package
 from mailloom.sources.staging import staged
 
@@ -205,7 +204,6 @@ FROM f GROUP BY conv_id
 @_query
 def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    bounded_batches(spark)
     whole = _table(spark, sf_dir, "documents").select("doc_id", triebpe.round_trip(F.col("text"), vocabulary).alias("t")).select("doc_id", "t.packed", "t.decoded")
     return whole.select(
         "doc_id",
@@ -217,7 +215,6 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
     return found.scores().select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))

@@ -20,6 +20,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.llm import bpe
-from mailloom.llm.common import SLICE_BYTES
+from mailloom.llm.common import SLICE_BYTES, slices, utf8
 
 #: Words that a worker remembers, and the longest that it does; a longer one than the second has a path instead of a trie.
 _CACHE, _CACHE_BYTES, _TRIE_BYTES = 150_000, 64, 512
@@ -257,43 +258,30 @@ class Words:
             at = found.end()
         return out + words(text[at:])
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit numbers, and its decoded text in UTF-8."""
-        for group in _groups(texts):
-            if len(self.known) >= _CACHE // 2:
-                self.older, self.known = self.known, {}
-            cut = [[self._cut(window) for window in _windows(text)] for text in group]
-            new = set()
-            for windows in cut:
-                for found in windows:
-                    new |= set(found).difference(self.known)
-            self._learn(new)
-            of = self.known.__getitem__
-            for windows in cut:
-                pairs = [list(map(of, found)) for found in windows if found]
-                yield b"".join([x for own in pairs for x, _ in own]), b" ".join([x for own in pairs for _, x in own])
-            for word in new:
-                if len(word) > _CACHE_BYTES:
-                    del self.known[word]
+        if len(self.known) >= _CACHE // 2:
+            self.older, self.known = self.known, {}
+        cut = [[self._cut(window) for window in _windows(text)] for text in texts]
+        new = set()
+        for windows in cut:
+            for found in windows:
+                new |= set(found).difference(self.known)
+        self._learn(new)
+        of, out = self.known.__getitem__, []
+        for windows in cut:
+            pairs = [list(map(of, found)) for found in windows if found]
+            out.append((b"".join([x for own in pairs for x, _ in own]), b" ".join([x for own in pairs for _, x in own])))
+        for word in new:
+            if len(word) > _CACHE_BYTES:
+                del self.known[word]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings, joined by blanks, as the vocabulary has no decoder of its own."""
         return " ".join([self.strings[i] for i in ids])
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in order, about ``SLICE_BYTES`` characters at a time."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > SLICE_BYTES:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
-
-
 def _windows(text: str) -> Iterator[str]:
     """A long text in pieces that begin at a blank, which no word, special token or composition crosses."""
     at = 0
@@ -317,8 +305,11 @@ def _shared(vocabulary: str):
         return SparkSession.active().sparkContext.broadcast(f.read())
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def _slices(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, null as empty, about ``SLICE_BYTES`` at a time; a task never holds the results of a whole batch."""
+    _, offsets = utf8(column)
+    for a, b in slices(offsets):
+        yield [x or "" for x in column[a:b].to_pylist()]
 
 
 def encode(text: Column, vocabulary: str) -> Column:
@@ -333,8 +324,8 @@ def encode(text: Column, vocabulary: str) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _words(shared.value)
-        for column in batches:
-            ids = [np.frombuffer(x, "<u4") for x, _ in own.encode(_texts(column))]
+        for texts in chain.from_iterable(map(_slices, batches)):
+            ids = [np.frombuffer(x, "<u4") for x, _ in own.encode(texts)]
             ends = np.cumsum([0, *map(len, ids)])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))
 
@@ -361,8 +352,8 @@ def round_trip(text: Column, vocabulary: str) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _words(shared.value)
-        for column in batches:
-            found = list(own.encode(_texts(column)))
+        for texts in chain.from_iterable(map(_slices, batches)):
+            found = own.encode(texts)
             decoded = pa.array([x for _, x in found], pa.binary()).cast(pa.string())
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.binary()), decoded], fields=list(kind))
 
