@@ -12,12 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailloom.llm import bpe, jaccard, langid, mixing, substring
-from mailloom.llm.common import bounded_batches, fresh
+from mailloom.llm import bpe, langid, mixing, simhash, substring
+from mailloom.llm.common import bounded_batches
 from mailloom.session import ship_package
 
-#: The targets are the expected tokens of all domains without the documents that this one dominates.
-UNWANTED = "toxic"
+#: Shares of the training tokens; toxic documents go.
+WEIGHTS = {"good": 0.9, "plain": 0.1}
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No SQL can express a trained classifier, chains of similar sets or byte-pair merges; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -29,38 +29,43 @@ def _prepare(spark: SparkSession) -> None:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter or far from every profile go."""
+    """Documents whose language can be told; those without a letter or far from every profile go.
+
+    Null and empty texts go; a word or two stays if its letters are known. Null ids and repeated rows are judged like any other.
+    """
     _prepare(spark)
     return langid.reject_unknown(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, Jaccard 0.8 or more), that with the smallest id."""
+    """One document of each SimHash near-duplicate group (3-word shingles, 3 or fewer differing bits): that with the smallest id.
+
+    Null and wordless texts are one group; of repeated rows one stays; a null id stays only where its group has no other.
+    """
     _prepare(spark)
-    return jaccard.deduplicate(docs, words=5, similarity="0.8")
+    return simhash.deduplicate(docs, words=3, most=3)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 13 words or more that an earlier document has; every document stays."""
+    """Texts without the passages of 13 words or more that an earlier document has; every document stays.
+
+    A null text becomes empty; rows of one id, null too, are one document and take nothing from each other.
+    """
     _prepare(spark)
     found = substring.remove_repeats(docs).drop("n_words", "n_removed", "removed")
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says, to the nearest number; toxic ones go by their posterior, however rare."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows, classifier = mixing.members(docs, labels)
-    fitted = mixing.fit(rows, mixing.without(rows, UNWANTED))
-    own = fresh(docs, "posteriors_")
-    judged = docs.withColumn(own, classifier.posteriors(F.col("text")))
-    times = mixing.copies_without(fitted.rate(F.col(own)), F.col(own), UNWANTED)
-    repeated = judged.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-    return repeated.drop("copy_", own)
+    """Documents mixed to ``WEIGHTS``: toxic ones go, every other stays and is repeated as its fitted rate says, at most 4 times.
+
+    Texts without evidence (null, empty) stay; null ids and repeated rows are rows like any other.
+    """
+    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, unwanted="toxic")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``ids``, ``n_tokens``, and whether decoding gives the text back."""
+    """``doc_id``, ``ids``, ``n_tokens``, and whether decoding gives the text back; a null text counts as empty, each row is encoded."""
     _prepare(spark)
     path = public_tokenizers.path(VOCABULARY)
     whole = docs.select("doc_id", "text", bpe.round_trip(F.col("text"), path).alias("t")).select("doc_id", "text", "t.ids", "t.decoded")
