@@ -20,9 +20,10 @@ from mailloom.llm.bpe import letters
 from mailloom.llm.common import col, fresh
 
 UNKNOWN = "und"
-#: Least score of a document whose language counts as known. The lowest of the labelled rows of sf0.001, sf0.01, sf0.1 and two
-#: larger tables is 0.359; other scripts score 0, random letters mostly under 0.3.
-LEAST_SCORE = 0.3
+#: Least score of a document of ``ENOUGH`` different n-grams or more whose language counts as known; with fewer it falls in
+#: proportion. The lowest of the labelled rows of sf0.001, sf0.01, sf0.1 and two larger tables is 0.359; other scripts score 0,
+#: random letters mostly under 0.3. A word or two has too few n-grams to rank them: there it is enough that a profile has some.
+LEAST_SCORE, ENOUGH = 0.3, 40
 
 
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -119,26 +120,30 @@ def predict(docs: DataFrame, profiles: Profiles, *, text: str = "text") -> DataF
     return judged.select(*[col(x) for x in names], *[F.col(f"{found}.{x}").alias(x) for x in ("lang_pred", "score", "margin")])
 
 
-def reject_unknown(docs: DataFrame, profiles: Profiles, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+def reject_unknown(docs: DataFrame, profiles: Profiles, *, text: str = "text", least: float = LEAST_SCORE, enough: int = ENOUGH) -> DataFrame:
     """The documents whose language is known, with their own columns.
 
-    ``und`` documents go, and those whose score is below ``least``: too few of their n-grams are near their place in any profile.
+    ``und`` documents go, so null texts and those without a letter do, and all if no language was learned. So do those whose
+    score does not exceed ``least``, in proportion for texts of fewer than ``enough`` different n-grams: too few of their
+    n-grams are near their place in any profile. Repeated rows and null ids are judged like any other; an empty table stays
+    empty, and columns of any name stay as they are.
     """
     found = fresh(docs, "verdict")
     judged = docs.withColumn(found, _verdict(profiles)(col(text)))
-    return judged.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least)).drop(found)
+    level = F.lit(least) * F.least(F.lit(1.0), F.col(f"{found}.grams") / F.lit(float(enough)))
+    return judged.where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= level)).drop(found)
 
 
 def _verdict(profiles: Profiles):
-    """A column function: text to its language, score and margin."""
+    """A column function: text to its language, score, margin and how many n-grams decided."""
     grams_known, ranks = profiles.table()
     languages, size = profiles.languages, profiles.size
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("grams", pa.int64())])
 
     def judge(value: str | None) -> dict:
         found, counts = _counts(value) if value and languages else ((), ())
         if not len(found):
-            return {"lang_pred": UNKNOWN, "score": 0.0, "margin": 0.0}
+            return {"lang_pred": UNKNOWN, "score": 0.0, "margin": 0.0, "grams": 0}
         top = _top(found, counts, size)
         where = np.searchsorted(grams_known, top)
         where[grams_known[np.minimum(where, len(grams_known) - 1)] != top] = len(grams_known)
@@ -147,10 +152,10 @@ def _verdict(profiles: Profiles):
         best = int(np.argmin(distance))
         others = np.delete(distance, best)
         margin = 1.0 - distance[best] / others.min() if len(others) and others.min() else 0.0
-        return {"lang_pred": languages[best], "score": float(1.0 - distance[best] / (size * len(top))), "margin": float(margin)}
+        return {"lang_pred": languages[best], "score": float(1.0 - distance[best] / (size * len(top))), "margin": float(margin), "grams": len(top)}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([judge(value.as_py()) for value in texts], kind)
 
-    return F.arrow_udf(run, "lang_pred string, score double, margin double")
+    return F.arrow_udf(run, "lang_pred string, score double, margin double, grams long")

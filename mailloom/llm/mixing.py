@@ -1,6 +1,6 @@
 """Mixing documents to target weights by soft membership, with DataFrame functions only.
 
-A naive Bayes classifier on hashed words, learned from the labelled table, gives each document its posterior over the
+A naive Bayes classifier on hashed words and on the shape of the text (signs, capitals, repeated words), learned from the labelled table, gives each document its posterior over the
 domains. Document rates, 0 or more, are then fitted so that the expected tokens of each domain, the sum of rate x tokens x
 posterior, match the targets: least squares by projected gradient. A step is a number for each domain, and a rate is a
 function of the document's posterior and of the steps so far, so an iteration is one aggregate of a few sums over the
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.llm.common import col, materialised
+from mailloom.llm.common import col, fresh, materialised
 
 #: Domains from the labels, in the order in which they apply.
 DOMAINS = ("toxic", "good", "plain")
@@ -27,8 +27,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda x: x != "")
 
 
+def _shape(text: Column, own: Column) -> Column:
+    """What a text looks like, in steps: its shares of signs and of capitals, and of different words among its words ``own``."""
+    size = F.greatest(F.length(text), F.lit(1))
+    signs = F.floor(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")) * 50 / size)
+    capitals = F.floor(F.regexp_count(text, F.lit(r"\p{Lu}")) * 20 / size)
+    different = F.floor(F.size(F.array_distinct(own)) * 10 / F.greatest(F.size(own), F.lit(1)))
+    told = [F.concat(F.lit(f" {name} "), F.least(x, F.lit(10)).cast("string")) for name, x in (("signs", signs), ("capitals", capitals), ("different", different))]
+    return F.when(F.size(own) > 0, F.array(*told)).otherwise(F.array().cast("array<string>"))
+
+
 def _buckets(text: Column) -> Column:
-    return F.array_distinct(F.transform(words(text), lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")))
+    """The hash buckets of a text's words and of its shape, each once."""
+    text = F.coalesce(text, F.lit(""))
+    hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
+    return _let(words(text), lambda own: F.array_distinct(F.transform(F.concat(own, _shape(text, own)), hashed)))
 
 
 @dataclass(frozen=True)
@@ -89,41 +102,50 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     return Classifier(tuple(priors.tolist()), tuple(weights))
 
 
-def _rate(posteriors: list[Column], pull: list[float]) -> Column:
-    """1 plus the pull of the document's domains, projected to 0 or more."""
-    return F.greatest(F.lit(0.0), sum((F.lit(float(y)) * p for y, p in zip(pull, posteriors, strict=True)), F.lit(1.0)))
+def _free(posteriors: list[Column], pull: list[float]) -> Column:
+    """1 plus the pull of the document's domains."""
+    return sum((F.lit(float(y)) * p for y, p in zip(pull, posteriors, strict=True)), F.lit(1.0))
+
+
+def _rate(posteriors: list[Column], pull: list[float], least: float, most: float) -> Column:
+    """1 plus the pull of the document's domains, projected to ``least`` .. ``most``."""
+    return F.least(F.lit(most), F.greatest(F.lit(least), _free(posteriors, pull)))
 
 
 @dataclass(frozen=True)
 class Fit:
-    """The pull of each domain on the rate, the targets, and the expected tokens of each domain that the rates reach."""
+    """The pull of each domain on the rate, the targets, the expected tokens of each domain that the rates reach, and their bounds."""
 
     pull: list[float]
     targets: list[float]
     reached: list[float]
+    least: float = 0.0
+    most: float = float("inf")
 
     def rate(self, posteriors: Column) -> Column:
-        return _let(posteriors, lambda p: _rate([F.element_at(p, k + 1) for k in range(len(DOMAINS))], self.pull))
+        return _let(posteriors, lambda p: _rate([F.element_at(p, k + 1) for k in range(len(DOMAINS))], self.pull, self.least, self.most))
 
 
-def totals(rows: DataFrame, where: Column | None = None) -> list[float]:
-    """Expected tokens of each domain, in all rows or those of a condition."""
-    weight = F.col("tokens") if where is None else F.when(where, F.col("tokens")).otherwise(0.0)
-    return [float(x or 0) for x in rows.agg(*[F.sum(weight * F.col("posteriors")[k]) for k in range(len(DOMAINS))]).first()]
+def totals(rows: DataFrame) -> list[float]:
+    """Expected tokens of each domain."""
+    return [float(x or 0) for x in rows.agg(*[F.sum(F.col("tokens") * F.col("posteriors")[k]) for k in range(len(DOMAINS))]).first()]
 
 
-def without(rows: DataFrame, domain: str) -> list[float]:
-    """Targets: the expected tokens of all domains in the documents which ``domain`` does not dominate."""
-    return totals(rows, F.col("posteriors")[DOMAINS.index(domain)] < 0.5)
+def by_share(shares: dict[str, float]) -> list[float]:
+    """The shares in the order of ``DOMAINS``, adding up to 1; a domain that is not named has none."""
+    if not set(shares) <= set(DOMAINS) or any(x < 0 for x in shares.values()) or not sum(shares.values()) > 0:
+        raise ValueError(f"shares must be 0 or more for domains of {DOMAINS}, and not all 0: {shares}")
+    return [shares.get(d, 0.0) / sum(shares.values()) for d in DOMAINS]
 
 
-def fit(rows: DataFrame, targets: list[float], *, ridge: float = 1e-3, rounds: int = 25, tolerance: float = 1e-7) -> Fit:
+def fit(rows: DataFrame, targets: list[float], *, least: float = 0.0, most: float = float("inf"), ridge: float = 1e-7, rounds: int = 60, tolerance: float = 1e-5) -> Fit:
     """Rates for ``rows (tokens, posteriors)`` whose expected domain tokens match ``targets``, tokens in the order of ``DOMAINS``.
 
     Minimises the squared gaps of the domains (as shares of all tokens) plus ``ridge`` times the token-weighted squared
-    distance of the rates from 1, over rates of 0 or more. A round is a projected gradient step, scaled by the Gram matrix
-    of the documents whose rate is not at its bound; it is halved while the optimality gap grows. Rates are then
-    max(0, 1 + pull of the domains), so equal posteriors have equal rates. Targets out of reach give the nearest rates.
+    distance of the rates from 1, over rates of ``least`` (0) to ``most``. A round is a projected gradient step, scaled by the
+    Gram matrix of the documents whose rate is not at a bound; it is halved while the optimality gap grows. Rates are then
+    1 + pull of the domains within the bounds, so equal posteriors have equal rates. The ridge only chooses among rates that
+    reach the targets. Targets out of reach give the nearest rates; no rows, or none with tokens, keep a pull of 0.
     """
     k = len(DOMAINS)
     rows = rows.select("tokens", *[F.col("posteriors")[i].alias(f"p{i}") for i in range(k)])
@@ -131,8 +153,8 @@ def fit(rows: DataFrame, targets: list[float], *, ridge: float = 1e-3, rounds: i
     wanted = np.array(targets, float)
 
     def sums(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rated = rows.withColumn("r", _rate(p, pull.tolist()))
-        free = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0.0)
+        rated = rows.withColumn("r", _rate(p, pull.tolist(), least, most))
+        free = F.when(_free(p, pull.tolist()).between(least, most), F.col("tokens")).otherwise(0.0)
         row = rated.agg(*[F.sum(F.col("r") * F.col("tokens") * x) for x in p], *[F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]).first()
         values = [float(x or 0) for x in row]
         gram = np.zeros((k, k))
@@ -143,7 +165,7 @@ def fit(rows: DataFrame, targets: list[float], *, ridge: float = 1e-3, rounds: i
     reached, gram = sums(pull)
     total = reached.sum()
     if not total:
-        return Fit(pull.tolist(), wanted.tolist(), reached.tolist())
+        return Fit(pull.tolist(), wanted.tolist(), reached.tolist(), least, most)
     gap = wanted - reached
     for _ in range(rounds):
         if np.linalg.norm(gap) <= tolerance * total:
@@ -157,28 +179,14 @@ def fit(rows: DataFrame, targets: list[float], *, ridge: float = 1e-3, rounds: i
             scale /= 2
             if scale < 1e-4:
                 break
-    return Fit(pull.tolist(), wanted.tolist(), reached.tolist())
+    return Fit(pull.tolist(), wanted.tolist(), reached.tolist(), least, most)
 
 
-def copies(rate: Column, row: Column, how: str = "draw") -> Column:
-    """How often a document is taken: its rate rounded up or down, by a hash of the row so that the mean is the rate
-    (``draw``), or to the nearest number (``nearest``)."""
-    if how == "nearest":
-        return F.floor(rate + 0.5)
+def copies(rate: Column, row: Column) -> Column:
+    """How often a document is taken: its rate rounded up or down, by a hash of the row so that the mean is the rate."""
     return F.floor(rate + F.pmod(row, F.lit(1 << 30)) / F.lit(float(1 << 30)))
 
 
-def copies_without(rate: Column, posteriors: Column, domain: str) -> Column:
-    """How often a document is taken if ``domain`` is to go: never where it dominates, as in ``without``; else its rate to the
-    nearest number, at least once. The choice rests on the document's own posterior, not on the share of its domain."""
-    return F.when(posteriors[DOMAINS.index(domain)] >= 0.5, F.lit(0)).otherwise(F.greatest(F.lit(1), copies(rate, F.lit(0), "nearest")))
-
-
-def memberships(docs: DataFrame, classifier: Classifier, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``tokens`` (words of the whole text) and ``posteriors``; existing columns of these names are replaced."""
-    return docs.withColumn("posteriors", classifier.posteriors(col(text))).withColumn("tokens", F.size(words(col(text))).cast("double"))
-
-
 def members(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Classifier]:
     """``doc_id``, ``tokens`` (words of the whole text), ``posteriors`` and ``row`` (a hash) of every row, and the classifier.
 
@@ -191,11 +199,37 @@ def members(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: s
     return materialised(rows), classifier
 
 
-def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], *, text: str = "text", doc_id: str = "doc_id", ridge: float = 1e-3) -> tuple[DataFrame, Fit]:
+def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], *, text: str = "text", doc_id: str = "doc_id", ridge: float = 1e-7) -> tuple[DataFrame, Fit]:
     """``members`` with ``rate`` and ``copies``, so that each domain of ``shares`` has its share of all tokens; and the fit.
+
+    Shares need not add up to 1, and a domain that is not named has none. Rows without tokens have a rate too, which moves
+    nothing; repeated rows are drawn alike. An empty table gives no rows and a fit that reaches nothing.
     """
+    wanted = by_share(shares)
     rows, _ = members(docs, labels, text=text, doc_id=doc_id)
     total = sum(totals(rows))
-    fitted = fit(rows, [total * shares[d] / sum(shares.values()) for d in DOMAINS], ridge=ridge)
+    fitted = fit(rows, [total * x for x in wanted], ridge=ridge)
     out = rows.withColumn("rate", fitted.rate(F.col("posteriors")))
     return out.withColumn("copies", copies(F.col("rate"), F.col("row"))).drop("row"), fitted
+
+
+def resample(docs: DataFrame, labels: DataFrame, shares: dict[str, float], *, unwanted: str = "toxic", most: float = 4.0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` mixed to ``shares`` by repeating rows, without the documents that ``unwanted`` dominates.
+
+    A document whose posterior of ``unwanted`` is 0.5 or more goes, however rare it is. All others stay: their rates lie
+    between 1 and ``most``, and are fitted to the smallest totals that have the shares and take nothing from a domain. A row
+    is repeated as its rate says, the fraction drawn by a hash of id and text. ``unwanted`` and domains without a share keep
+    the expected tokens that the other documents carry. Null and empty texts have no evidence and stay, null ids and
+    repeated rows are rows like any other, an empty table stays empty; the columns are those of ``docs``, whatever their names.
+    """
+    wanted = [0.0 if d == unwanted else x for d, x in zip(DOMAINS, by_share(shares), strict=True)]
+    bad = DOMAINS.index(unwanted)
+    rows, classifier = members(docs, labels, text=text, doc_id=doc_id)
+    good = rows.where(F.col("posteriors")[bad] < 0.5)
+    own = totals(good)
+    total = max(x / share for x, share in zip(own, wanted, strict=True) if share)
+    fitted = fit(good, [total * share if share else x for x, share in zip(own, wanted, strict=True)], least=1.0, most=most)
+    mark, copy = fresh(docs, "posteriors_"), fresh(docs, "copy_")
+    times = F.when(F.col(mark)[bad] >= 0.5, F.lit(0)).otherwise(copies(fitted.rate(F.col(mark)), F.xxhash64(col(doc_id), col(text))))
+    judged = docs.withColumn(mark, classifier.posteriors(col(text)))
+    return judged.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop(copy, mark)

@@ -92,9 +92,11 @@ TARGETS = {"good": 0.84, "plain": 0.1, "toxic": 0.06}
 @_query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows, _ = mixing.mix(docs, _table(spark, sf_dir, "labels"), TARGETS)
+    rows, fitted = mixing.mix(docs, _table(spark, sf_dir, "labels"), TARGETS)
+    total = max(1.0, sum(fitted.targets))
+    sums = [F.lit(x / total).alias(f"{name}_{d}") for name, own in (("target", fitted.targets), ("reached", fitted.reached)) for d, x in zip(mixing.DOMAINS, own, strict=True)]
     posteriors = [F.col("posteriors")[k].alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
-    return rows.select("doc_id", F.col("tokens").cast("long").alias("n_tokens"), *posteriors, "rate", F.col("copies").cast("long").alias("copies"))
+    return rows.select("doc_id", F.col("tokens").cast("long").alias("n_tokens"), *posteriors, "rate", F.col("copies").cast("long").alias("copies"), *sums)
 
 
 @_query

@@ -91,7 +91,7 @@ def _search(bits: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray,
     """
     n = len(bits)
     forest = LocalForest(n)
-    starts, parents = [], None
+    starts = []
     for level in _LEVELS:
         lead = bits >> np.uint64(64 - level)
         new = np.ones(n, bool)
@@ -99,10 +99,7 @@ def _search(bits: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray,
         starts.append(np.flatnonzero(new))
     # children of node i on level k: first[k][i] .. first[k][i + 1]
     first = [np.append(np.searchsorted(starts[k + 1], starts[k]), len(starts[k + 1])) for k in range(len(_LEVELS) - 1)]
-    del parents
-    roots = np.flatnonzero(np.diff(first[0]) > 1)  # a lone node without inner choices has no pair
-    many = np.diff(np.append(starts[0], n)) > 1
-    roots = np.flatnonzero(many)
+    roots = np.flatnonzero(np.diff(np.append(starts[0], n)) > 1)  # a lone fingerprint has no pair
     stack = [(0, roots, roots)]
     while stack:
         level, u, v = stack.pop()
@@ -196,7 +193,8 @@ def _plain(bits: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 3, most: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)``, a row for each row of ``docs``: the smallest id that it reaches by links.
+    """``(doc_id, fp, component_id, group)``, a row for each row of ``docs``: the smallest id that it reaches by links, and its
+    group's smallest fingerprint, which names the group where all ids are null.
 
     Texts are taken whole. Null or wordless texts have fingerprint 0 and link like any other; repeated rows and equal texts
     share a fingerprint and so a component. A null id is never the smallest; a component of null ids only has a null
@@ -207,19 +205,20 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     reached = components(links(firsts.select("fp"), most)).select(F.col("node").alias("fp"), "component")
     grouped = materialised(firsts.join(reached, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("label")))
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = grouped.join(smallest, "label").select("fp", "component_id")
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = grouped.join(smallest, "label").select("fp", "component_id", F.col("label").alias("group"))
+    return own.join(ids, "fp").select("doc_id", "fp", "component_id", "group")
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 3, most: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id.
+    """``docs`` with one row of each near-duplicate group: the one with the smallest id, a null id last.
 
     If that id stands in several rows, one with the smallest fingerprint stays; rows equal in both are repeats, and one of
-    them stays. All columns are kept as they are.
+    them stays. An empty table stays empty. All columns are kept as they are, whatever their names.
     """
     found = near_duplicates(docs, text=text, doc_id=doc_id, words=words, most=most)
     mark, key = fresh(docs, "fingerprint_"), fresh(docs, "kept_id_")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("fp").alias(mark)).select(F.col("doc_id").alias(key), mark)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    kept = found.groupBy("group").agg(first).select(F.col("first.doc_id").alias(key), F.col("first.fp").alias(mark))
     rows = docs.withColumn(mark, fingerprints(col(text), words))
     joined = rows.join(kept, (rows[mark] == kept[mark]) & col(doc_id).eqNullSafe(kept[key]), "left_semi")
     return joined.dropDuplicates([doc_id, mark]).drop(mark)

@@ -80,6 +80,9 @@ def test_simhash(spark):
     assert sorted((str(r["doc_id"]), r["fp"], str(r["component_id"])) for r in found) == sorted(want)
     kept = simhash.deduplicate(table(spark, texts)).collect()
     assert len(kept) == len({w[2] if w[2] != "None" else w for w in want}) and kept[0]["n_words"] == 2
+    lost = table(spark, [(None, base), (None, base), (None, prose(900, 60)), (1, prose(901, 60)), (None, prose(901, 60)), (2, None)])
+    assert sorted(map(str, (r["doc_id"] for r in simhash.deduplicate(lost).collect()))) == ["1", "2", "None", "None"]
+    assert simhash.deduplicate(lost.limit(0)).count() == 0
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
@@ -135,6 +138,39 @@ def test_language_profiles(spark):
     assert langid.reject_unknown(docs, langid.learn(docs)).count() == len(rows) + 2
 
 
+def test_language_distances_equal_brute_force(spark):
+    """Ranks, distances, scores and margins by counting n-grams of words one by one."""
+    own = {"aa": "mano pelo tarde noche", "bb": "stein wasser himmel garten", "cc": "stone river window garden"}
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(own[name].split()) + rng.choice(["", "s", ", ", "1"]) for _ in range(rng.randrange(3, 25))), name) for k, name in enumerate(list(own) * 12)]
+    rows += [(100, "Garten? garden! GARTEN", None), (101, "s", None), (102, "garten " * 3000, None), (103, "ñandú río", None)]
+
+    def ranked(texts, size):
+        count = {}
+        for text in texts:
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                grams = list(word) + [f" {word} "[k : k + 2] for k in range(len(word) + 1)] + [f" {word} "[k : k + 3] for k in range(len(word))]
+                for g in grams:
+                    count[g] = count.get(g, 0) + 1
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+        return sorted(count, key=lambda g: (-count[g], code(g)))[:size]
+
+    size = 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.learn(docs, size=size)
+    assert profiles.languages == ("aa", "bb", "cc")
+    known = {name: {g: k for k, g in enumerate(ranked([t for _, t, x in rows if x == name], size))} for name in own}
+    found = {r["doc_id"]: r for r in langid.predict(docs, profiles).collect()}
+    for i, text, _ in rows:
+        top = ranked([text], size)
+        cost = {name: sum(abs(ranks[g] - k) if g in ranks else size for k, g in enumerate(top)) for name, ranks in known.items()}
+        best = min(sorted(cost), key=cost.get)
+        second = min(x for name, x in cost.items() if name != best)
+        r = found[i]
+        assert r["lang_pred"] == best and abs(r["score"] - (1 - cost[best] / (size * len(top)))) < 1e-12
+        assert abs(r["margin"] - (1 - cost[best] / second if second else 0)) < 1e-12
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     kinds = {"toxic": "scorn", "good": "lucid", "plain": "filler"}
@@ -153,14 +189,60 @@ def test_mixing(spark):
     p, t, r = (np.array([x[c] for x in out]) for c in ("posteriors", "tokens", "rate"))
     assert np.allclose(p.sum(axis=1), 1) and (r >= 0).all() and sum(x["tokens"] == 0 for x in out) == 4
     reached = (r * t) @ p
-    assert np.allclose(reached, fitted.reached) and np.allclose(reached / t.sum(), [0.02, 0.6, 0.38], atol=0.02)
+    assert np.allclose(reached, fitted.reached) and np.allclose(reached / t.sum(), [0.02, 0.6, 0.38], rtol=0.01)
+    assert {x["copies"] - int(x["rate"]) for x in out} <= {0, 1}
     # The same least squares by plain projected gradient, small steps.
+    members = spark.createDataFrame([(float(n), x.tolist()) for n, x in zip(t, p, strict=True)], "tokens double, posteriors array<double>")
+    ridged = mixing.fit(members, fitted.targets, ridge=1e-3)
+    found = members.select(ridged.rate(F.col("posteriors")).alias("r"), "tokens").collect()
     want, plain = np.array(fitted.targets), np.ones(len(t))
     for _ in range(20000):
         plain = np.maximum(0, plain - 0.5 * (p @ ((plain * t) @ p - want) / t.sum() + 1e-3 * (plain - 1)))
-    assert np.allclose(plain, r, atol=0.02)
-    assert {x["copies"] - int(x["rate"]) for x in out} <= {0, 1}
+    assert np.allclose(sorted(plain), sorted(x["r"] for x in found), atol=0.02)
     assert mixing.mix(table(spark, []), given, shares)[0].count() == 0
+    assert mixing.by_share({"good": 3, "plain": 1}) == [0, 0.75, 0.25]
+    for wrong in ({"good": -1.0}, {"other": 1.0}, {}, {"good": 0.0}):
+        with pytest.raises(ValueError, match="shares"):
+            mixing.by_share(wrong)
+
+
+def test_mixing_classifier_equals_naive_bayes(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for k in range(240):
+        kind = k % 3
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(8, 40))] + (["scorn"] if kind == 0 else [])
+        docs.append((k, " ".join(w.upper() + "!!" if kind == 2 else w for w in words)))
+        labels.append((k, int(kind == 1), int(kind == 0)))
+
+    def features(text):
+        own = re.findall(r"[^\W\d_]+", text.lower())
+        if not own:
+            return set()
+        shape = (sum(not c.isalnum() and not c.isspace() for c in text) * 50 // len(text), sum(c.isupper() for c in text) * 20 // len(text), len(set(own)) * 10 // len(own))
+        return {*own, *[(name, min(10, x)) for name, x in zip(("signs", "capitals", "different"), shape, strict=True)]}
+
+    domain = np.array([0 if t else 1 if q else 2 for _, q, t in labels])
+    seen = [features(t) for _, t in docs]
+    n = np.bincount(domain, minlength=3).astype(float)
+    prior, weight = np.log((n + 1) / (n.sum() + 3)), [{} for _ in n]
+    for f in set().union(*seen):
+        c = np.bincount(domain[[f in s for s in seen]], minlength=3).astype(float)
+        for k in range(3):
+            i, o, n_i, n_o = c[k] + 0.5, c.sum() - c[k] + 0.5, n[k] + 1, n.sum() - n[k] + 1
+            odds = np.log(i / n_i) - np.log(o / n_o)
+            error = np.sqrt(max(1 / i - 1 / n_i + 1 / o - 1 / n_o, 1e-9))
+            if abs(odds) >= max(1.5, 4 * error) and min(i / n_i, o / n_o) < 0.5:
+                absent = np.log1p(-i / n_i) - np.log1p(-o / n_o)
+                weight[k][f] = odds - absent
+                prior[k] += absent
+    assert weight[0] and weight[2]
+    rows = table(spark, [*docs, *EMPTY])
+    own = mixing.learn(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for r in rows.select("text", own.posteriors(F.col("text")).alias("p")).collect():
+        score = np.array([prior[k] + sum(weight[k].get(f, 0) for f in features(r["text"] or "")) for k in range(3)])
+        odds = np.exp(score - score.max())
+        assert np.allclose(r["p"], odds / odds.sum(), atol=1e-3)
 
 
 VECTORS = [(900, None), (901, []), (902, [0.0] * 6), (903, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (904, [float("nan")] * 6), (905, [float("inf")] * 6), (None, [1.0] * 6), (906, [1.0, 2.0])]
