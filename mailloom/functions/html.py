@@ -56,7 +56,7 @@ def decode_entities(c: Column) -> Column:
         hexed = F.regexp_extract(name, r"^#[xX]0*([0-9a-fA-F]+)$", 1)
         number = F.when(digits != "", digits.try_cast("bigint"))
         number = F.coalesce(number, F.when((hexed != "") & (F.length(hexed) <= 8), F.conv(hexed, 16, 10).try_cast("bigint")))
-        whole = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)  # else no character: the text stays
+        whole = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)  # else no character: the text stays
         char = F.when(whole, F.decode(F.unhex(F.lpad(F.hex(F.when(whole, number)), 8, "0")), "UTF-32"))
         value = F.coalesce(F.try_element_at(named, name), char)
         rest = F.substring(piece, F.length(name) + 3, F.length(piece))

@@ -30,11 +30,13 @@ def refetched(
     """Fill blank bodies from the raw table.
 
     Only blank messages take part in a join, and the raw table is first reduced to their keys, so
-    the raw text of all other messages stays where it is.
+    the raw text of all other messages stays where it is. If the raw table has a key several times, the smallest of its
+    texts that are not blank stands, and the message still comes once.
     """
     is_blank = blank_to_null(body).isNull()
     blank = messages.filter(is_blank)
     wanted = raw.select(*keys, F.col("raw_text").alias("_raw")).join(blank.select(*keys), list(keys), "left_semi")
+    wanted = wanted.groupBy(*keys).agg(F.coalesce(F.min(F.when(blank_to_null("_raw").isNotNull(), F.col("_raw"))), F.min("_raw")).alias("_raw"))
     filled = blank.join(wanted, list(keys), "left").withColumn(body, F.col("_raw")).select(*messages.columns)
     return messages.filter(~is_blank).unionByName(filled)
 

@@ -145,13 +145,61 @@ def first_processed(df: DataFrame, n: int, keep: Column | None = None, **kw) ->
     return newest(df if keep is None else df.filter(keep), n, name="_nth", **_but_name(kw)).drop("_nth")
 
 
-def first_matches(df: DataFrame, predicate: Column, n: int, pool: int | None = None, **kw) -> DataFrame:
-    """First ``n`` matches among the newest ``pool`` (all for None), with their mailbox numbers."""
-    name = kw.get("name", "email_no")
-    numbered = with_numbers(df, **kw) if pool is None else newest(df, pool, **kw)
-    keys = kw.get("keys", FOLDER_KEYS)
-    nth_match = F.row_number().over(Window.partitionBy(*keys).orderBy(name))
-    return numbered.filter(predicate).withColumn("_nth", nth_match).filter(F.col("_nth") <= n).drop("_nth")
+def first_matches(
+    df: DataFrame,
+    predicate: Column,
+    n: int,
+    pool: int | None = None,
+    keys: tuple[str, ...] = FOLDER_KEYS,
+    date: str = "internal_date",
+    uid: str = "uid",
+    name: str = "email_no",
+    matches: DataFrame | None = None,
+) -> DataFrame:
+    """First ``n`` matches among the newest ``pool`` (all for None), with their mailbox numbers.
+
+    Filters first: a map task hands on the first ``n`` matches of a folder, and only these get a number, by counting.
+    ``matches`` gives the matching messages directly, say from a join; ``df`` then only counts.
+    """
+    found = df.filter(predicate) if matches is None else matches
+    nth_match = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order(date, uid)))
+    chosen = found.withColumn("_nth", nth_match).filter(F.col("_nth") <= n).drop("_nth")
+    numbered = numbers_of(chosen, df, keys, date, uid, name)
+    return numbered if pool is None else numbered.filter(F.col(name) <= pool)
+
+
+def numbers_of(
+    chosen: DataFrame,
+    df: DataFrame,
+    keys: tuple[str, ...] = FOLDER_KEYS,
+    date: str = "internal_date",
+    uid: str = "uid",
+    name: str = "email_no",
+) -> DataFrame:
+    """Add the mailbox number within ``df`` to a few chosen messages of each folder, by counting the rows ahead of them.
+
+    Rows are counted as coarsely as they can be: by day, by second only on days of a chosen message, by block of UIDs only in
+    its second, and one by one only in its block. These counts are added up in message order. No row of ``df`` moves; what
+    a map task hands on are counts, and a folder has some 86,400 of them for each chosen message at most, and one a day.
+    """
+    k = list(keys)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        slim = rows.select(*k, received(date).alias("_at"), F.col(uid).alias("_uid"))
+        return slim.withColumns({"_day": F.to_date("_at"), "_block": F.shiftright("_uid", UID_BLOCK_BITS)})
+
+    wanted = placed(chosen).groupBy(*k, "_day").agg(F.collect_set("_at").alias("_seconds"), F.collect_set(F.struct("_at", "_block")).alias("_blocks"))
+    wanted = wanted.withColumnsRenamed({c: f"_w_{c}" for c in (*k, "_day")})
+    rows = placed(df)
+    near = rows.join(wanted, reduce(and_, [rows[c].eqNullSafe(wanted[f"_w_{c}"]) for c in (*k, "_day")]), "left")
+    second = F.when(F.col("_seconds").isNotNull(), F.col("_at"))
+    block = F.when(F.array_contains("_seconds", F.col("_at")), F.col("_block"))
+    one = F.when(F.array_contains("_blocks", F.struct("_at", "_block")), F.col("_uid"))
+    counts = near.groupBy(*k, "_day", second.alias("_at"), block.alias("_block"), one.alias("_uid")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*k).orderBy(F.desc("_day"), F.desc("_at"), "_block", "_uid").rowsBetween(Window.unboundedPreceding, 0)
+    numbers = counts.select(*[F.col(c).alias(f"_c_{c}") for c in k], F.col("_uid").alias("_c_uid"), F.sum("_n").over(order).alias(name)).filter("_c_uid is not null")
+    match = reduce(and_, [chosen[c].eqNullSafe(numbers[f"_c_{c}"]) for c in k] + [chosen[uid] == numbers["_c_uid"]])
+    return chosen.join(numbers, match).select(*[chosen[c] for c in chosen.columns], name)
 
 
 def _but_name(kw: dict) -> dict:

@@ -24,13 +24,25 @@ def write_messages(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
 def read_messages(
     spark: SparkSession, path: str, account: str | None = None, folder: str | None = None, bodies: bool = False
 ) -> DataFrame:
-    """Header scan of one account and folder (all for None); bodies are read only on request.
+    """Header scan of one account and folder (all for None); bodies are read only on request."""
+    return select_mailbox(headers(read_table(spark, path), bodies), account, folder)
 
-    Accounts and folders are texts whatever they look like, so "0123" stays what it is.
-    """
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a message table. Accounts and folders are texts whatever they look like, so "0123" stays what it is."""
     found = spark.read.parquet(path).schema
     texts = [T.StructField(f.name, T.StringType()) if f.name in ("account", "folder") else f for f in found]
-    return select_mailbox(headers(spark.read.schema(T.StructType(texts)).parquet(path), bodies), account, folder)
+    return spark.read.schema(T.StructType(texts)).parquet(path)
+
+
+def drop_partition(spark: SparkSession, path: str, **keys: str | None) -> None:
+    """Delete the files of one partition of a table, on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    utils = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for name, value in keys.items():
+        path = f"{path.rstrip('/')}/{utils.getPartitionPathString(name, value)}"
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def headers(df: DataFrame, bodies: bool = False) -> DataFrame:

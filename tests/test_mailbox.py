@@ -1,6 +1,8 @@
 """Positions, filters, counts and bodies on the seven-message mailbox."""
 
 import datetime as dt
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,10 +14,13 @@ from mailloom.functions.html import columns_map, decode_entities, grid_columns,
 from mailloom.functions.mime import extension
 from mailloom.operators import counts, filters, numbering
 from mailloom.operators.attachments import attachment_parts, export_names
-from mailloom.operators.bodies import body_with_fallback
+from mailloom.operators.bodies import body_with_fallback, refetched
+from mailloom.operators.counts import count_by_folder, position_pieces
 from mailloom.operators.filters import criteria
-from mailloom.operators.folders import flatten_tree, move_messages, resolve_folders
+from mailloom.operators.folders import flatten_tree, move_in_table, move_messages, moved_messages, resolve_folders, target_folder
+from mailloom.operators.numbering import first_matches
 from mailloom.plans.search import matching_positions, search
+from mailloom.sources.messages import read_messages, write_messages
 
 
 @pytest.fixture(scope="module")
@@ -120,7 +125,7 @@ def test_html(evaluate):
     assert text[0] == ("Your answers at a glance:\n| Question | Answer |\n| Guest | Mira Olsen |\n| Breakfast | No |\n"
                        "| Nights | 3 nights |\nHarbour Hotel")
     assert "| Item | Choice |" in text[1] and text[1].endswith("See you there,\nPoll Desk")
-    assert evaluate(html_to_text, ["a &#9999999; &#xD800; &#99999999999999999999; &#00000000065; &#x0000000041;"]) == ["a &#9999999; &#xD800; &#99999999999999999999; A A"]
+    assert evaluate(html_to_text, ["&#0; a &#9999999; &#xD800; &#99999999999999999999; &#00000000065; &#x0000000041;"]) == ["&#0; a &#9999999; &#xD800; &#99999999999999999999; A A"]
     assert text[2:] == ["a &lt; é &bogus; €", "x\ny\n\nT\n\nz", None]
 
 
@@ -201,6 +206,10 @@ def test_folders(spark):
     assert [r["full_path"] for r in flat.collect()] == [
         "INBOX", "invoices", "Sent", "Drafts", "[Gmail]", "[Gmail]/Sent Mail", "[Gmail].All Mail"]
     listed = flat.withColumn("ord", F.col("listing"))
+    deep = [(str(k), str(k - 1) if k else None, f"f{k}", None, [], 10**12 + k) for k in range(7)] + [("z", None, "last", "|", [], 10**13), ("y", None, "first", "|", [], 9), ("loop", "loop", "l", "/", [], 1)]
+    deep = flatten_tree(spark.createDataFrame(deep, "node string, parent string, name string, delimiter string, attribs array<string>, ord bigint"), ".")
+    assert [(r["full_path"], r["depth"]) for r in deep.orderBy("listing").collect()] == [
+        ("first", 1), *[(".".join(f"f{i}" for i in range(k + 1)), k + 1) for k in range(7)], ("last", 1)]
     found = {r["target"]: r["full_path"] for r in resolve_folders(listed, ["SENT", "all", "draft", "voice", "zzz"]).collect()}
     assert found == {"SENT": "Sent", "all": "[Gmail].All Mail", "draft": "Drafts", "voice": "invoices"}
 
@@ -208,8 +217,88 @@ def test_folders(spark):
 def test_move(spark, box):
     known = spark.createDataFrame([("invoices",)], "full_path string")
     moved = move_messages(box, "invoices", criteria(subject="invoice"), known)
-    assert sorted(r["uid"] for r in moved.filter("folder = 'invoices'").collect()) == [4] and moved.count() == 7
+    assert sorted(r["uid"] for r in moved.filter("folder = 'invoices'").collect()) == [1] and moved.count() == 7 and moved.filter("uid = 4").isEmpty()
     with pytest.raises(ValueError):
         move_messages(box, "invoices", None)
     with pytest.raises(ValueError):
         move_messages(box, "nowhere", criteria(subject="x"), known)
+
+
+def message(uid, folder="INBOX", subject="invoice", account="a", second=0):
+    return (account, folder, uid, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=second), subject)
+
+
+MAIL = "account string, folder string, uid bigint, internal_date timestamp_ntz, subject string"
+
+
+def test_moves_keep_uids_unique(spark):
+    rows = [message(1), message(2), message(70000), message(3, subject="other"), message(1, "Old"), message(1, "Invoices"), message(5, "Invoices", "x"),
+            message(1, account="b"), message(9, None), message(4, account=None)]
+    df = spark.createDataFrame(rows, MAIL)
+    moved = moved_messages(df, "Invoices", criteria(subject="invoice")).collect()
+    got = {(r["account"], r["from_folder"], r["from_uid"]): r["uid"] for r in moved}
+    assert got == {("a", None, 9): 6, ("a", "INBOX", 1): 7, ("a", "INBOX", 2): 8, ("a", "INBOX", 70000): 9, ("a", "Old", 1): 10, ("b", "INBOX", 1): 1, (None, "INBOX", 4): 1}
+    after = move_messages(df, "Invoices", criteria(subject="invoice")).collect()
+    keys = [(r["account"], r["folder"], r["uid"]) for r in after]
+    assert len(keys) == len(set(keys)) == len(rows) and ("a", "INBOX", 3) in keys
+    listed = spark.createDataFrame([("Bills", "Work/Bills", [], 0), ("x", "x", ["\\Archive"], 1)], "name string, full_path string, attribs array<string>, ord int")
+    assert target_folder(listed, "bill") == "Work/Bills" and target_folder(listed, "archive") == "x" and target_folder(listed, "Work/Bills") == "Work/Bills"
+
+
+def test_move_in_table_writes_touched_partitions_only(spark, tmp_path):
+    rows = [message(k, subject="invoice" if k % 2 else "note") for k in range(1, 9)]
+    rows += [message(k, "Full", "invoice") for k in range(1, 4)] + [message(k, "Quiet", "note") for k in range(1, 4)] + [message(7, "Bills", "old"), message(2, account="b", subject="note")]
+    path = str(tmp_path / "mail")
+    write_messages(spark.createDataFrame(rows, MAIL), path)
+    files = lambda: {str(f.relative_to(path)) for f in Path(path).rglob("*.parquet")}
+    before = files()
+    touched = move_in_table(spark, path, "Bills", criteria(subject="invoice"))
+    assert sorted(touched) == [("a", "Full"), ("a", "INBOX")]
+    after = files()
+    kept = {f for f in before if "folder=Quiet" in f or "folder=Bills" in f or "account=b" in f}
+    assert kept <= after and not any("folder=Full" in f for f in after) and not before & after - kept
+    found = read_messages(spark, path).collect()
+    assert len(found) == len(rows)
+    assert sorted((r["uid"]) for r in found if r["folder"] == "Bills") == [7, 8, 9, 10, 11, 12, 13, 14]
+    assert sorted(r["uid"] for r in found if r["folder"] == "INBOX" and r["account"] == "a") == [2, 4, 6, 8]
+    assert move_in_table(spark, path, "Bills", criteria(subject="invoice")) == [] and files() == after
+
+
+def test_numbers_by_counting(spark):
+    rng = random.Random(6)
+    rows, seen = [], set()
+    for _ in range(900):
+        account, folder, uid = rng.choice(["a", "b", None]), rng.choice(["INBOX", None]), rng.choice([rng.randrange(40), rng.randrange(1 << 22)])
+        if (account, folder, uid) not in seen:
+            seen.add((account, folder, uid))
+            rows.append(message(uid, folder, rng.choice(["invoice", "x", "x"]), account, rng.choice([0, 1, 86400, rng.randrange(400000)])))
+    rows.append((None, None, 5_000_000, None, "invoice"))
+    df = spark.createDataFrame(rows, MAIL)
+    numbers = {}
+    for place in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == place), key=lambda r: (-(r[3] or dt.datetime(1970, 1, 1)).timestamp(), r[2]))
+        numbers |= {(*place, r[2]): k for k, r in enumerate(own, 1)}
+    hits = sorted(((*r[:2], r[2]) for r in rows if r[4] == "invoice"), key=lambda x: numbers[x])
+    for n, pool in ((3, None), (500, None), (4, 9)):
+        want = {}
+        for place in {x[:2] for x in hits}:
+            want |= {x: numbers[x] for x in [h for h in hits if h[:2] == place][:n] if pool is None or numbers[x] <= pool}
+        found = first_matches(df, F.col("subject") == "invoice", n, pool)
+        assert {(r["account"], r["folder"], r["uid"]): r["email_no"] for r in found.collect()} == want
+        assert found.columns == [*df.columns, "email_no"]
+    plan = first_matches(df, F.col("subject") == "invoice", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 1
+    places = sorted(str(x[:2]) for x in {h[:2] for h in hits})
+    listed = position_pieces(df, F.col("subject") == "invoice", 50).orderBy("piece").collect()
+    for place in {h[:2] for h in hits}:
+        joined = ",".join(r["positions"] for r in listed if (r["account"], r["folder"]) == place)
+        assert joined == ",".join(str(numbers[h]) for h in hits if h[:2] == place)
+    assert len(places) == 6 and {(r["piece"], r["positions"]) for r in position_pieces(df, F.col("subject") == "none").collect()} == {(1, "")}
+    total = {(r["account"], r["folder"]): r["n"] for r in count_by_folder(df, F.col("subject") == "invoice", "1-20").collect()}
+    assert total == {p: sum(numbers[h] <= 20 for h in hits if h[:2] == p) for p in {r[:2] for r in rows}}
+
+
+def test_refetch_takes_one_raw_row(spark):
+    mail = spark.createDataFrame([(1, " "), (2, "kept"), (3, None), (4, "")], "uid int, body string")
+    raw = spark.createDataFrame([(1, " "), (1, "b"), (1, "a"), (2, "other"), (3, None), (3, None)], "uid int, raw_text string")
+    assert sorted((r["uid"], r["body"]) for r in refetched(mail, raw, keys=("uid",)).collect()) == [(1, "a"), (2, "kept"), (3, None), (4, None)]

@@ -13,7 +13,7 @@ from mailloom.functions.text import has_text, preview, trim_ws
 from mailloom.operators import counts, filters, numbering
 from mailloom.operators.bodies import body_with_fallback, parts_of, refetched, render, shown_body
 from mailloom.operators.filters import all_of, criteria
-from mailloom.operators.folders import move_messages
+from mailloom.operators.folders import move_messages, moved_messages
 from mailloom.plans.search import matching_positions, search
 from mailloom.sources import messages as src
 from mailloom.sources import sinks
@@ -63,7 +63,9 @@ def s04(v: Views) -> DataFrame:
 def s05(v: Views) -> DataFrame:
     blank = F.when(F.col("uid") % 6 == 1, F.lit(" \n")).when(F.col("uid") % 6 == 2, F.lit(None)).otherwise(F.col("body"))
     fetched = v.messages.select("uid", blank.alias("body"))
+    # Every third raw row comes twice, once blank.
     raw = v.messages.select("uid", F.concat(F.lit("raw "), "subject").alias("raw_text"))
+    raw = raw.unionByName(raw.filter("uid % 3 = 1").withColumn("raw_text", F.lit(" ")))
     return refetched(fetched, raw, keys=("uid",))
 
 
@@ -100,12 +102,27 @@ def s10(v: Views) -> DataFrame:
     return _records(v).select("uid", sinks.json_record().alias("value"))
 
 
+_MOVED_SQL = """select account, folder as from_folder, uid as from_uid,
+  coalesce((select max(t.uid) from fx_messages t where t.account = m.account and t.folder = 'Archive'), 0)
+    + row_number() over (partition by account order by folder, uid) as uid
+  from fx_messages m where folder <> 'Archive' and contains(lower(subject), 'invoice')"""
+
+
 @query("s12_move_messages", duck(
-    """select account, uid, case when lower(subject) like '%invoice%' then 'Invoices' else folder end as folder
-       from fx_messages""", "fx_messages"))
+    """select account, folder, uid, subject from fx_messages where folder = 'Archive' or not contains(lower(subject), 'invoice')
+       union all select moved.account, 'Archive', moved.uid, m.subject
+       from moved join fx_messages m on m.account = moved.account and m.folder = from_folder and m.uid = from_uid""",
+    "fx_messages", moved=_MOVED_SQL))
 def s12(v: Views) -> DataFrame:
-    moved = move_messages(v.messages, "Invoices", filters.subject_contains("invoice"))
-    return moved.select("account", "uid", "folder")
+    listed = v.spark.createDataFrame([("INBOX", "INBOX", [], 0), ("Archive", "Archive", ["\\Archive"], 1)],
+                                     "name string, full_path string, attribs array<string>, ord int")
+    return move_messages(v.messages, "archive", filters.subject_contains("invoice"), listed).select(*FOLDER, "uid", "subject")
+
+
+@query("s12_moved_numbers", duck("select account, from_folder, from_uid, uid from moved", "fx_messages", moved=_MOVED_SQL))
+def s12_numbers(v: Views) -> DataFrame:
+    moved = moved_messages(v.messages, "Archive", filters.subject_contains("invoice"))
+    return moved.select("account", "from_folder", "from_uid", "uid")
 
 
 # --- projections ---------------------------------------------------------------------------------
@@ -430,10 +447,8 @@ def l07(v: Views) -> DataFrame:
          from numbered m where exists (select 1 from fx_attachments a where a.uid = m.uid)) where n = 1""",
     "numbered", "fx_attachments"))
 def l08(v: Views) -> DataFrame:
-    marked = _inbox(v).join(
-        v.attachments.select("uid").distinct().withColumn("has_attachment", F.lit(True)), "uid", "left"
-    )
-    return numbering.first_matches(marked, F.col("has_attachment"), 1).select(*_NUM)
+    with_parts = _inbox(v).join(v.attachments.select("uid").distinct(), "uid", "left_semi")
+    return numbering.first_matches(_inbox(v), F.lit(True), 1, matches=with_parts).select(*_NUM)
 
 
 # --- counts --------------------------------------------------------------------------------------
@@ -465,6 +480,14 @@ def a02_list(v: Views) -> DataFrame:
     return counts.position_list(_inbox(v), filters.subject_contains("invoice"), 100)
 
 
+@query("a02_position_pieces", duck(
+    """select account, folder, cast((email_no - 1) // 500 + 1 as bigint) as piece, string_agg(email_no, ',' order by email_no) as positions
+       from numbered where contains(lower(subject), 'invoice') group by all
+       union all select account, folder, 1, '' from numbered group by all having not bool_or(contains(lower(subject), 'invoice'))""", "numbered"))
+def a02_pieces(v: Views) -> DataFrame:
+    return counts.position_pieces(_inbox(v), filters.subject_contains("invoice"), 500)
+
+
 @query("a03_any_match", duck("select bool_or(contains(lower(subject), 'ticket #77')) as found from fx_messages", "fx_messages"))
 def a03(v: Views) -> DataFrame:
     return counts.any_match(v.messages, filters.subject_contains("ticket #77"))
