@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +66,45 @@ def resolve_recipient(
     return F.coalesce(chain.cast("struct<email: string, file: string, resolved: boolean>"), unresolved)
 
 
+def _with_rules(df: DataFrame, rules: DataFrame, kind: str, keys: tuple[str, ...]) -> DataFrame:
+    """``df`` and its rules of one kind as one array in file order; null where there is no map.
+
+    A map is one small document, so its rules are one row for each key. That side is broadcast when its measured size allows,
+    and an equi-join otherwise, whose hot keys adaptive execution splits. Null keys meet null keys.
+    """
+    rule = F.struct("pos", "name", "target", "file")
+    own = rules.filter(F.col("kind") == kind).groupBy(*[F.col(k).alias(f"_map_{k}") for k in keys]).agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_map_{k}")) for k in keys], F.lit(True))
+    return df.join(own, match, "left").drop(*[f"_map_{k}" for k in keys])
+
+
+def resolve_documents(df: DataFrame, doc_type: str, rules: DataFrame, *keys: str) -> DataFrame:
+    """Add ``document`` as :func:`resolve_document` gives it, by rules held as rows: one map for each value of ``keys``.
+
+    ``rules`` is what ``map_rules`` gives: kind, pos, name, target and file.
+    """
+    text = F.lower(doc_type)
+    fits = F.filter("_rules", lambda r: (r["name"] == "*") | F.contains(text, F.lower(r["name"])))
+    found = F.get(fits, F.lit(0))
+    empty = lambda c: F.when(c != "", c)
+    document = F.when(found.isNotNull(), F.struct(found["name"].alias("name"), empty(found["target"]).alias("folder"), empty(found["file"]).alias("file")))
+    return _with_rules(df, rules, "document", keys).withColumn("document", document).drop("_rules")
+
+
+def resolve_recipients(df: DataFrame, who: str, rules: DataFrame, *keys: str) -> DataFrame:
+    """Add ``contact`` as :func:`resolve_recipient` gives it, by rules held as rows: one map for each value of ``keys``."""
+    display = F.lower(F.col(who)["display"])
+
+    def fit(r: Column) -> Column:
+        name = F.lower(r["name"])
+        return (r["name"] == REQUESTOR) | F.contains(display, name) | F.contains(name, display)
+
+    found = F.get(F.filter("_rules", fit), F.lit(0))
+    empty = lambda c: F.when(c != "", c)
+    contact = F.struct(empty(found["target"]).alias("email"), empty(found["file"]).alias("file"), found.isNotNull().alias("resolved"))
+    return _with_rules(df, rules, "recipient", keys).withColumn("contact", contact).drop("_rules")
+
+
 def list_files(files: DataFrame, folder: str | None = None) -> DataFrame:
     """Files of a listing, directories left out."""
     plain = files.filter(~F.coalesce(F.col("is_dir"), F.lit(False))) if "is_dir" in files.columns else files

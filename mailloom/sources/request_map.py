@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailloom.functions.filenames import FilePattern
@@ -56,13 +56,27 @@ class RequestMap:
         return [FilePattern.parse(s) for s in dict.fromkeys([*sources, *extra])]
 
 
-def load_map(path: str) -> RequestMap | None:
-    """Read the configuration file; a missing or broken one gives None."""
+def load_map(path: str | None) -> RequestMap | None:
+    """Read a configuration file of the driver; no path gives no map, a missing or broken file is an error."""
+    if path is None:
+        return None
     try:
         with open(path, encoding="utf-8") as f:
             return RequestMap.from_json(f.read())
-    except (OSError, ValueError, TypeError, AttributeError):
-        return None
+    except (OSError, ValueError, TypeError, AttributeError) as problem:
+        raise ValueError(f"cannot read the request map {path}: {problem}") from problem
+
+
+def read_map_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of map files in any storage that Spark reads (a file, a folder, a pattern): ``source`` and :func:`map_rules`.
+
+    An address that cannot be reached is an error, and so is a file that holds no map.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("doc"))
+    readable = F.from_json("doc", MAP_SCHEMA)
+    has_rules = readable["documents"].isNotNull() | readable["recipients"].isNotNull()
+    checked = F.when(has_rules, F.col("doc")).otherwise(F.raise_error(F.concat(F.lit("not a request map: "), "source")).cast("string"))
+    return map_rules(whole.withColumn("doc", checked), "doc", "source")
 
 
 def map_rules(df: DataFrame, document: str, *keys: str) -> DataFrame:

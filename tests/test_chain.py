@@ -26,8 +26,8 @@ SIGNED = "\n".join([
 
 
 def test_thank_you_texts(evaluate):
-    yes = ["Thank you!", "Thanks", "Thank you, all clear now!", "Received. Thanks", "Got it, thanks!",
-           "Much appreciated!", SIGNED]
+    yes = ["Thank you, Ilse!", "Thanks, crew", "Thank you, all clear now!", "Received the charts. Thanks", "Got it, thanks, Ilse!",
+           "Your help is much appreciated!", SIGNED]
     no = ["Thanks for the fee sheets. Could you send the berth plans as well.",
           "Thanks, could you forward the tide table?",
           "Thanks for the sketch. The second mast seems too short to me. We should measure it again. "

@@ -10,11 +10,13 @@ from mailloom.operators.mapping import (
     matching_files,
     request_files,
     resolve_document,
+    resolve_documents,
     resolve_recipient,
+    resolve_recipients,
     wanted_ranges,
 )
 from mailloom.plans.requests import read_requests, resolve_requests
-from mailloom.sources.request_map import DocumentRule, RecipientRule, RequestMap, load_map, map_rules
+from mailloom.sources.request_map import DocumentRule, RecipientRule, RequestMap, load_map, map_rules, read_map_rules
 from pyspark.sql import functions as F
 
 
@@ -83,13 +85,13 @@ def test_second_range_reader(evaluate):
 
 def test_recipient(evaluate):
     got = evaluate(R.recipient, [
-        "send me reports", "send John Smith the reports", "send accounting the reports", "forward it to Sarah Lee now",
-        "mail x.y+z@host-a.org", "reports to John M. Smith", "to Accounting", "to the board", "Send John Smith the", "hi",
+        "send me reports", "send Priya Raman the reports", "send accounting the reports", "forward it to Tomas Berg now",
+        "mail x.y+z@host-a.org", "reports to Priya K. Raman", "to Accounting", "to the board", "Send Priya Raman the", "hi",
         None])
     assert [tuple(r) for r in got] == [
-        ("sender", "Back to sender (requestor)"), ("named", 'by name "John Smith"'),
-        ("department", 'by department "accounting"'), ("named", 'by name "Sarah Lee"'),
-        ("email", "x.y+z@host-a.org"), ("named", 'by name "John M. Smith"'), ("department", 'by department "Accounting"'),
+        ("sender", "Back to sender (requestor)"), ("named", 'by name "Priya Raman"'),
+        ("department", 'by department "accounting"'), ("named", 'by name "Tomas Berg"'),
+        ("email", "x.y+z@host-a.org"), ("named", 'by name "Priya K. Raman"'), ("department", 'by department "Accounting"'),
         ("department", 'by department "board"'), ("unknown", "Recipient not identified"),
         ("unknown", "Recipient not identified"), ("unknown", "Recipient not identified")]
 
@@ -115,32 +117,36 @@ def test_file_dates(evaluate):
 
 
 RULES = RequestMap(
-    documents=(DocumentRule("invoice", "Inv", "Invoice-{% date(<yyyy>-<mm>-<dd>) %}.pdf"),
+    documents=(DocumentRule("invoice", "Inv", "Billing_{% date(<yyyy>-<mm>-<dd>) %}.pdf"),
                DocumentRule("statement", "St", "Monthly-.*"), DocumentRule("report", "Rep")),
-    recipients=(RecipientRule("accounting", "acc@example.com"),
-                RecipientRule("John Smith", "john@example.com", "Reports-for-John-.*"), RecipientRule("%requestor%")),
+    recipients=(RecipientRule("accounting", "ledger@example.net"),
+                RecipientRule("Priya Raman", "priya@example.net", "Extracts_Priya_.*"), RecipientRule("%requestor%")),
 )
 
 
 def test_rules(spark):
     df = spark.createDataFrame(
-        [("invoice", "x"), ("tax report", 'by name "John Smith"'), (None, 'by department "accounting"')], "t string, d string")
+        [("invoice", "x"), ("tax report", 'by name "Priya Raman"'), (None, 'by department "accounting"')], "t string, d string")
     rows = df.select(
         resolve_document("t", RULES)["folder"].alias("folder"),
         resolve_recipient(F.struct(F.lit("a").alias("type"), F.col("d").alias("display")), RULES).alias("c"),
     ).collect()
     assert [r["folder"] for r in rows] == ["Inv", "Rep", None]
     assert [(r["c"]["email"], r["c"]["resolved"]) for r in rows] == [
-        (None, True), ("john@example.com", True), ("acc@example.com", True)]
+        (None, True), ("priya@example.net", True), ("ledger@example.net", True)]
     task = resolve_recipient(F.struct(F.lit("a").alias("type"), F.lit("zz").alias("display")), RULES, F.lit("t@example.com"))
     assert df.select(task["email"]).first()[0] == "t@example.com"
 
 
 def test_map_file(tmp_path, spark):
-    assert load_map(str(tmp_path / "none.json")) is None
+    assert load_map(None) is None
     bad = tmp_path / "bad.json"
     bad.write_text("{")
-    assert load_map(str(bad)) is None
+    for path in (bad, tmp_path / "none.json"):
+        with pytest.raises(ValueError, match=path.name):
+            load_map(str(path))
+        with pytest.raises(Exception, match=path.name):
+            read_map_rules(spark, str(path)).collect()
     text = '{"documents": [{"name": "a", "file": "f"}, {"name": "*"}], "recipients": [{"name": "%requestor%"}]}'
     good = tmp_path / "good.json"
     good.write_text(text)
@@ -149,22 +155,42 @@ def test_map_file(tmp_path, spark):
     assert sorted(tuple(r) for r in map_rules(df, "doc", "id").collect()) == [
         (1, "document", 0, "a", None, "f"), (1, "document", 1, "*", None, None),
         (1, "recipient", 0, "%requestor%", None, None)]
+    rules = read_map_rules(spark, str(good)).drop("source")
+    assert sorted(map(tuple, rules.collect())) == sorted(tuple(r)[1:] for r in map_rules(df, "doc", "id").collect())
+
+
+def test_rule_rows_equal_literal_rules(spark):
+    """One map per account, a null account, an account without a map; the first fitting rule in file order wins."""
+    def rows(account, own):
+        out = [(account, "document", k, r.name, r.folder, r.file) for k, r in enumerate(own.documents)]
+        return out + [(account, "recipient", k, r.name, r.email, r.file) for k, r in enumerate(own.recipients)]
+
+    other = RequestMap((DocumentRule("*", "All", ""),), (RecipientRule("Priya Raman", ""),))
+    rules = spark.createDataFrame([*rows("a", RULES)[::-1], *rows(None, other)], "account string, kind string, pos bigint, name string, target string, file string")
+    asked = [(k, a, t, d) for a in ("a", None, "none") for k, (t, d) in enumerate([("invoice", "x"), ("tax report", 'by name "Priya Raman"'), (None, 'by department "accounting"'), ("zz", None)])]
+    df = spark.createDataFrame(asked, "k int, account string, doc_type string, display string").withColumn("who", F.struct(F.lit("a").alias("type"), "display"))
+    found = resolve_recipients(resolve_documents(df, "doc_type", rules, "account"), "who", rules, "account").collect()
+    assert len(found) == len(asked)
+    for account, own in (("a", RULES), (None, other), ("none", RequestMap())):
+        here = df.filter(F.col("account").eqNullSafe(account))
+        want = {r["k"]: (r["d"], r["c"]) for r in here.select("k", resolve_document("doc_type", own).alias("d"), resolve_recipient("who", own).alias("c")).collect()}
+        assert {r["k"]: (r["document"], r["contact"]) for r in found if r["account"] == account} == want
 
 
 @pytest.fixture(scope="module")
 def files(spark):
     first = dt.date(2025, 1, 1)
-    names = [("Inv", f"Invoice-{first + dt.timedelta(days=9 * i)}.pdf", False) for i in range(60)]
-    names += [("Inv", "Invoice-2026-01-05.pdf.d", True), ("Inv", "notes.txt", False), ("St", "Monthly-a", False),
-              ("St", "Monthly-b", False), ("Rep", "Reports-for-John-1.pdf", False), ("Other", "Invoice-2026-01-05.pdf", False),
-              ("Inv", "Invoice-1969-01-05.pdf", False)]
+    names = [("Inv", f"Billing_{first + dt.timedelta(days=9 * i)}.pdf", False) for i in range(60)]
+    names += [("Inv", "Billing_2026-01-05.pdf.d", True), ("Inv", "notes.txt", False), ("St", "Monthly-a", False),
+              ("St", "Monthly-b", False), ("Rep", "Extracts_Priya_1.pdf", False), ("Other", "Billing_2026-01-05.pdf", False),
+              ("Inv", "Billing_1969-01-05.pdf", False)]
     return spark.createDataFrame(names, "folder string, file_name string, is_dir boolean")
 
 
 def test_interval_join_against_brute_force(spark, files):
     bounds = [(None, dt.date(2025, 5, 5)), (dt.date(2025, 1, 10), dt.date(2025, 1, 10)),
               (dt.date(2025, 3, 1), dt.date(2026, 2, 27)), (dt.date(2026, 1, 1), None), (dt.date(2026, 1, 2), dt.date(2025, 1, 1))]
-    dated = "Invoice-{% date(<yyyy>-<mm>-<dd>) %}.pdf"
+    dated = "Billing_{% date(<yyyy>-<mm>-<dd>) %}.pdf"
     rows = [(i, "Inv", dated, b) for i, b in enumerate(bounds)]
     rows += [(10, "St", "Monthly-.*", bounds[0]), (11, "St", "Monthly-.*", None), (12, None, dated, bounds[0])]
     asked = spark.createDataFrame(rows, "id int, folder string, pattern string, range struct<start: date, end: date>")
@@ -174,7 +200,7 @@ def test_interval_join_against_brute_force(spark, files):
     expected = {(10, "Monthly-a"), (10, "Monthly-b")}
     for i, (start, end) in enumerate(bounds):
         for folder, name, is_dir in listed:
-            if folder == "Inv" and name.startswith("Invoice-") and not is_dir:
+            if folder == "Inv" and name.startswith("Billing_") and not is_dir:
                 day = dt.date.fromisoformat(name[8:18])
                 if (start or dt.date(1970, 1, 1)) <= day <= (end or dt.date.max):
                     expected.add((i, name))
@@ -187,11 +213,11 @@ def test_interval_join_against_brute_force(spark, files):
 
 def test_request_flow(spark, files):
     df = spark.createDataFrame([
-        (1, "send me invoice reports for last 3 months"), (2, "send John Smith the reports for this year"), (3, "hello")],
+        (1, "send me invoice reports for last 3 months"), (2, "send Priya Raman the reports for this year"), (3, "hello")],
         "id int, body string")
     rows = {r["id"]: r for r in resolve_requests(df, "body", files, RULES, REF_DATE, "id").collect()}
     assert rows[1]["verdict"]["valid"] and rows[1]["n_files"] == 10 and rows[1]["who"]["type"] == "sender"
-    assert rows[2]["n_files"] == 1 and rows[2]["contact"]["email"] == "john@example.com"
+    assert rows[2]["n_files"] == 1 and rows[2]["contact"]["email"] == "priya@example.net"
     assert rows[3]["verdict"]["code"] == "NO_DATE_RANGE" and rows[3]["n_files"] == 0
     assert "12/12/2025 to 03/12/2026" in rows[1]["summary"]
     task = read_requests(df, "body", RULES, REF_DATE, F.lit("t@example.com"), F.lit("T.pdf")).orderBy("id").first()

@@ -251,11 +251,11 @@ def u01(v: Views) -> DataFrame:
 
 
 @query("s07_file_listing", duck(
-    "select folder, file_name from fx_files union all select 'Reports', 'r' || o_orderkey from orders where o_orderkey % 10 = 1",
+    "select folder, file_name from fx_files union all select 'Summaries', 'r' || o_orderkey from orders where o_orderkey % 10 = 1",
     "fx_files"))
 def s07(v: Views) -> DataFrame:
     extra = v.table("orders").select(
-        F.lit("Reports").alias("folder"),
+        F.lit("Summaries").alias("folder"),
         F.concat(F.lit("r"), "o_orderkey").alias("file_name"),
         (F.col("o_orderkey") % 10 != 1).alias("is_dir"),
     )

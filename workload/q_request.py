@@ -12,34 +12,80 @@ from mailloom.functions import request as R
 from mailloom.functions.filenames import FilePattern
 from mailloom.operators import mapping as M
 from mailloom.plans.requests import read_requests, resolve_requests
-from mailloom.sources.request_map import DocumentRule, RecipientRule, RequestMap
+from mailloom.sources.request_map import DocumentRule, RecipientRule, RequestMap, map_rules
 from mailloom.sources.staging import staged
 from workload.registry import query
 from workload.views import REF, REF_DATE, Views, duck
 
 RULES = RequestMap(
     documents=(
-        DocumentRule("invoice", "Invoices", "Invoice-{% date(<yyyy>-<mm>-<dd>) %}.pdf"),
-        DocumentRule("report", "Reports"),
+        DocumentRule("invoice", "Bills", "Billing_{% date(<yyyy>-<mm>-<dd>) %}.pdf"),
+        DocumentRule("report", "Summaries"),
         DocumentRule("*"),
     ),
     recipients=(
-        RecipientRule("accounting", "accounting@example.com"),
-        RecipientRule("John Smith", "john.smith@example.com", "Reports-for-John-.*"),
+        RecipientRule("accounting", "ledger@example.net"),
+        RecipientRule("Priya Raman", "priya.raman@example.net", "Extracts_Priya_.*"),
         RecipientRule("%requestor%"),
     ),
 )
-PATTERN = "Invoice-{% date(<yyyy>-<mm>-<dd>) %}.pdf"
+PATTERN = "Billing_{% date(<yyyy>-<mm>-<dd>) %}.pdf"
+
+# Fixed values, stated again so that the checks do not read them from what they check: number words, words that combine,
+# document types and their wording in dictionary order.
+_NUMBERS = {
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
+    "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18,
+    "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "ninety": 90, "tow": 2, "tre": 3,
+    "fore": 4, "foor": 4, "fiv": 5, "sic": 6, "nein": 9, "elevin": 11, "twelv": 12, "tweleve": 12,
+}
+_TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "ninety")
+_UNITS = (
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "tow", "tre", "fore", "foor", "fiv", "sic",
+)
+_TYPES = (
+    ("invoice", "invoice|invoices|inv|invioce|invoce"),
+    ("receipt", "receipt|receipts|reciept|recipt"),
+    ("balance sheet", "balance sheet|balance sheets|balancesheet"),
+    ("income statement", "income statement|profit and loss|p&l|pnl"),
+    ("expense report", "expense report|expense reports|expenses"),
+    ("budget report", "budget report|budget|budgets|budgit"),
+    ("financial report", "financial report|financial reports|finance report|financials"),
+    ("payroll report", "payroll|payroll report|payrol|pay roll"),
+    ("tax report", "tax report|tax returns|tax filing|taxes"),
+    ("report", "report|reports|log|logs|fule report|feul report|usage|consumption|petrol report|diesel report"),
+    ("maintenance report", "maintenance report|maintenance reports|service report|repair report|maintenence report"),
+    ("production report", "production report|production reports|output report|yield report"),
+    ("inventory report", "inventory report|inventory|stock report|invetory|inventoy"),
+    ("safety report", "safety report|incident report|hazard report|safty report"),
+    ("equipment report", "equipment report|equipment log|asset report|equipement report"),
+    ("harvest report", "harvest report|crop report|yield report|harvist report"),
+    ("field report", "field report|field reports|feild report"),
+    ("livestock report", "livestock report|animal report|herd report|livstock report"),
+    ("sales report", "sales report|sales reports|sales data|revenue report|slaes report"),
+    ("marketing report", "marketing report|campaign report|marketing data|markting report"),
+    ("performance report", "performance report|kpi report|metrics report|preformance report"),
+    ("audit report", "audit report|audit|auidt report|compliance report"),
+    ("quarterly report", "quarterly report|quarterly reports|q1|q2|q3|q4|quarter report"),
+    ("annual report", "annual report|yearly report|year end report|anual report"),
+    ("media report", "media report|press report|coverage report"),
+    ("analytics report", "analytics report|analytics|web report|traffic report|analytic report"),
+    ("report", "report|reports|reprot|reort|document|documents|doc|docs|summary|summaries|data|file|files|records|record|log|logs"),
+    ("statement", "statement|statements|statment"),
+    ("contract", "contract|contracts|agreement|agreements"),
+    ("proposal", "proposal|proposals|proposel"),
+    ("spreadsheet", "spreadsheet|spreadsheets|excel|sheet|sheets"),
+)
 
 # --- SQL pieces ----------------------------------------------------------------------------------
 
 
 def digits(c: str) -> str:
-    units = "|".join(R.UNITS)
+    units = "|".join(_UNITS)
     s = f"lower({c})"
-    for word in R.TENS:
-        s = rf"regexp_replace({s}, '\b{word}\s+({units})\b', '{R.NUMBER_WORDS[word] // 10}' || chr(1) || '\1', 'g')"
-    for word, value in R.NUMBER_WORDS.items():
+    for word in _TENS:
+        s = rf"regexp_replace({s}, '\b{word}\s+({units})\b', '{_NUMBERS[word] // 10}' || chr(1) || '\1', 'g')"
+    for word, value in _NUMBERS.items():
         s = rf"regexp_replace({s}, '\b{word}\b', '{value}', 'g')"
     return f"replace({s}, chr(1), '')"
 
@@ -137,8 +183,8 @@ def r01(v: Views) -> DataFrame:
 
 _ALIASES = ", ".join(
     f"({rank}, '{canonical}', '{alias}')"
-    for rank, (canonical, aliases) in enumerate(sorted(R.DOCUMENT_TYPES, key=lambda d: -len(d[0])))
-    for alias in aliases
+    for rank, (canonical, aliases) in enumerate(sorted(_TYPES, key=lambda d: -len(d[0])))
+    for alias in aliases.split("|")
 )
 _TYPES_SQL = f"""select uid, arg_min(canonical, rank) as doc_type from fx_messages left join (values {_ALIASES}) a(rank, canonical, alias)
   on contains(lower(body), alias) group by uid"""
@@ -396,11 +442,11 @@ def r21(v: Views) -> DataFrame:
 
 # --- rules and files -----------------------------------------------------------------------------
 
-_DOC = """case when contains(doc_type, 'invoice') then 'Invoices' when contains(doc_type, 'report') then 'Reports' end"""
-_EMAIL = """case when contains(lower(display), 'accounting') or contains('accounting', lower(display)) then 'accounting@example.com'
-  when contains(lower(display), 'john smith') or contains('john smith', lower(display)) then 'john.smith@example.com' end"""
+_DOC = """case when contains(doc_type, 'invoice') then 'Bills' when contains(doc_type, 'report') then 'Summaries' end"""
+_EMAIL = """case when contains(lower(display), 'accounting') or contains('accounting', lower(display)) then 'ledger@example.net'
+  when contains(lower(display), 'priya raman') or contains('priya raman', lower(display)) then 'priya.raman@example.net' end"""
 _REQUESTS = f"""select s.uid, ty.doc_type, s.start, s."end", s.description, {who('s.body', 'type')} as type, {who('s.body', 'display')} as display,
-    {_DOC} as folder, {_EMAIL} as email, case when email like 'john%' then 'Reports-for-John-.*'
+    {_DOC} as folder, {_EMAIL} as email, case when email like 'priya%' then 'Extracts_Priya_.*'
       when contains(doc_type, 'invoice') then '{PATTERN}' end as pattern
   from s join ty on s.uid = ty.uid"""
 _REQ = {**_TEXTS, "s": _spans_sql(), "ty": _TYPES_SQL, "q": _REQUESTS}
@@ -429,13 +475,49 @@ def j03(v: Views) -> DataFrame:
     return found.select("uid", "doc_type", F.col("d.name").alias("rule"), "d.folder")
 
 
-@query("j04_recipient_rule", request_sql("select uid, display, email, case when email like 'john%' then 'Reports-for-John-.*' end as file from q"))
+@query("j04_recipient_rule", request_sql("select uid, display, email, case when email like 'priya%' then 'Extracts_Priya_.*' end as file from q"))
 def j04(v: Views) -> DataFrame:
     asked = v.messages.select("uid", R.recipient("body").alias("who"))
     found = asked.withColumn("c", M.resolve_recipient("who", RULES))
     return found.select("uid", "who.display", "c.email", "c.file")
 
 
+_MAPS = """select 'acct0' as account, [{'n': 'invoice', 't': 'Bills'}, {'n': 'report', 't': 'Summaries'}, {'n': '*', 't': null}] as docs,
+    [{'n': 'accounting', 't': 'ledger@example.net'}, {'n': 'Priya Raman', 't': 'priya.raman@example.net'}] as people
+  union all select 'acct1', [{'n': 'REPORT', 't': 'Mixed'}, {'n': 'invoice', 't': 'Bills'}], [{'n': '%requestor%', 't': 'desk@example.net'}]"""
+
+
+def _rule_rows(v: Views) -> DataFrame:
+    """One map per account, as rows; the third account has none."""
+    maps = [
+        ("acct0", '{"documents": [{"name": "invoice", "folder": "Bills"}, {"name": "report", "folder": "Summaries"}, {"name": "*"}], "recipients": '
+                  '[{"name": "accounting", "email": "ledger@example.net"}, {"name": "Priya Raman", "email": "priya.raman@example.net"}]}'),
+        ("acct1", '{"documents": [{"name": "REPORT", "folder": "Mixed"}, {"name": "invoice", "folder": "Bills"}], '
+                  '"recipients": [{"name": "%requestor%", "email": "desk@example.net"}]}'),
+    ]
+    return map_rules(v.spark.createDataFrame(maps, "account string, doc string"), "doc", "account")
+
+
+@query("j03_document_rule_rows", duck(
+    f"""select m.account, m.uid, (list_filter(docs, lambda x: x.n = '*' or contains(doc_type, lower(x.n)))[1]).n as rule,
+          (list_filter(docs, lambda x: x.n = '*' or contains(doc_type, lower(x.n)))[1]).t as folder
+        from fx_messages m join ty on ty.uid = m.uid left join ({_MAPS}) r on r.account = m.account""", "fx_messages", ty=_TYPES_SQL))
+def j03_rows(v: Views) -> DataFrame:
+    typed = v.messages.select("account", "uid", R.document_type("body").alias("doc_type"))
+    found = M.resolve_documents(typed, "doc_type", _rule_rows(v), "account")
+    return found.select("account", "uid", F.col("document.name").alias("rule"), "document.folder")
+
+
+@query("j04_recipient_rule_rows", duck(
+    f"""select account, uid, (fits[1]).t as email, len(fits) > 0 as resolved from (
+          select m.account, m.uid, list_filter(coalesce(people, []), lambda x: x.n = '%requestor%' or contains(d, lower(x.n)) or contains(lower(x.n), d)) as fits
+          from (select *, lower({who('body', 'display')}) as d from fx_messages) m left join ({_MAPS}) r on r.account = m.account)""", "fx_messages"))
+def j04_rows(v: Views) -> DataFrame:
+    asked = v.messages.select("account", "uid", R.recipient("body").alias("who"))
+    found = M.resolve_recipients(asked, "who", _rule_rows(v), "account")
+    return found.select("account", "uid", "contact.email", "contact.resolved")
+
+
 @query("j05_request_files", request_sql("select uid, file_name, strftime(file_date, '%Y-%m-%d') as file_date from p", p=_PAIRS))
 def j05(v: Views) -> DataFrame:
     pairs = M.request_files(_requests(v), v.files, RULES.file_patterns(), REF_DATE, "uid")

@@ -16,17 +16,17 @@ _SUBJECT = """case o_orderkey % 6
     when 0 then 'Invoice #' || cast(o_orderkey as string)
     when 1 then 'Monthly Report - ' || cast(year(o_orderdate) as string)
     when 2 then 'STOP'
-    when 3 then 'Urgent survey response'
-    when 4 then 'Re: Your support ticket #' || cast(o_orderkey % 1000 as string)
+    when 3 then 'Urgent: berth plan'
+    when 4 then 'Re: mooring ticket #' || cast(o_orderkey % 1000 as string)
     else 'Please stop sending' end"""
 _BODY = """case o_orderkey % 12
     when 0 then 'Please send me the invoice from ' || mdy || ' to 12/31/' || yy || ' total $1,204.50'
-    when 1 then 'please send John Smith the reports for the last three months'
+    when 1 then 'please send Priya Raman the reports for the last three months'
     when 2 then 'Forward the payroll data year to date to accounting'
     when 3 then 'I need the budget summary after ' || md
     when 4 then 'Could you send the safety records before ' || mdy
     when 5 then 'The harvest report ' || mdy || ' to 12/31/' || yy
-    when 6 then 'Contract for March ' || yy || ' to Sarah Johnson'
+    when 6 then 'Contract for March ' || yy || ' to Tomas Lindqvist'
     when 7 then 'usage ' || md || '-12/31 for ops@example.org'
     when 8 then 'Thanks, have a great day!'
     when 9 then 'Audit quarter to date, or this month'
@@ -70,7 +70,7 @@ union all select uid, 2 + part_no as path, 'application' as type, subtype from f
 TURNS = """
 select conv_id, turn, role, trim(text) || chr(10) || case turn % 6
   when 0 then 'Any update?'
-  when 1 then 'Please find the attached statement from 02/01/2026 to 03/23/2026'
+  when 1 then 'Please find the attached statement from 04/07/2025 to 05/19/2025'
   when 2 then 'Could you provide the numbers'
   when 3 then 'Are you able to join? yes'
   when 4 then '[cid:img' || cast(turn as string) || ']' || chr(10) || 'Thank you!'
@@ -89,11 +89,11 @@ from fx_turns group by conv_id"""
 
 SHORT = """
 select uid, case uid % 5
-  when 0 then 'Thank you so much!' || chr(10) || 'Jane Doe' || chr(10) || '123 Main Street' || chr(10)
-    || '(555) 123-4567 office'
-  when 1 then 'Thanks. Can you also send the docs from last week.'
-  when 2 then 'Thanks for it. One. Two. Three. Four.'
-  when 3 then 'Got it, thanks!' else 'See you at noon' end as body
+  when 0 then 'Thank you, that settles it!' || chr(10) || 'Ilse Brandt' || chr(10) || '7 Quarry Street' || chr(10)
+    || '(555) 010-7788 desk'
+  when 1 then 'Thanks. Could you send the tide tables of May too.'
+  when 2 then 'Thanks for it. First. Second. Third. Fourth.'
+  when 3 then 'Got it, thanks a lot!' else 'See you at noon' end as body
 from fx_messages"""
 
 HTML_SPARK = """
@@ -115,15 +115,15 @@ select r_name as parent, n_name as name, r_name || '/' || n_name as full_path, n
 from nation n join region r on n_regionkey = r_regionkey"""
 
 FILES = f"""
-select distinct case o_orderkey % 3 when 0 then 'Invoices' when 1 then 'Statements' else 'Scans' end as folder,
-  'Invoice-' || {_YMD.format('o_orderdate')} || '.pdf' as file_name
+select distinct case o_orderkey % 3 when 0 then 'Bills' when 1 then 'Tables' else 'Scans' end as folder,
+  'Billing_' || {_YMD.format('o_orderdate')} || '.pdf' as file_name
 from orders"""
 
 RESULTS = """
 select o_orderkey as request_id, case when o_orderkey % 3 = 0 then 0 else 2 end as n_attachments,
-  case when o_orderkey % 5 <> 0 then '02/01/2026 to 03/23/2026' end as date_range,
+  case when o_orderkey % 5 <> 0 then '04/07/2025 to 05/19/2025' end as date_range,
   case when o_orderkey % 7 <> 0 then 'ops@example.org' else '  ' end as recipient,
-  case when o_orderkey % 2 = 0 then 'Contoso Ltd' end as cardholder
+  case when o_orderkey % 2 = 0 then 'Maple Freight' end as cardholder
 from orders"""
 
 BLOCKS = """
