@@ -149,9 +149,11 @@ _TOLD = [("block", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())]
 
 
 def _to_parts(keys: np.ndarray, ids: np.ndarray, block: int, parts: int) -> pa.Table:
-    """Sorted keys cut into ranges of the hash space, a row for each that has any."""
-    bounds = np.searchsorted(keys, np.array([(p << 64) // parts for p in range(parts)], np.uint64)).tolist() + [len(keys)]
-    rows = [(p, block, keys[a:b].tobytes(), ids[a:b].tobytes()) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+    """Sorted keys cut into ranges of the hash space, a row for each that has any; a key's range follows from its upper bits."""
+    at = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(firsts[1:], len(keys))
+    rows = [(int(at[x]), block, keys[x:y].tobytes(), ids[x:y].tobytes()) for x, y in zip(firsts.tolist(), ends.tolist(), strict=True)]
     return _packed(rows, _ASKED)
 
 

@@ -237,7 +237,7 @@ def test_mixing_classifier_equals_naive_bayes(spark):
                 weight[k][f] = odds - absent
                 prior[k] += absent
     assert weight[0] and weight[2]
-    rows = table(spark, [*docs, *EMPTY])
+    rows = table(spark, [*docs, *[(i and i + 1000, t) for i, t in EMPTY]])
     own = mixing.learn(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     for r in rows.select("text", own.posteriors(F.col("text")).alias("p")).collect():
         score = np.array([prior[k] + sum(weight[k].get(f, 0) for f in features(r["text"] or "")) for k in range(3)])
