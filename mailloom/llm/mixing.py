@@ -27,21 +27,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda x: x != "")
 
 
-def _shape(text: Column, own: Column) -> Column:
-    """What a text looks like, in steps: its shares of signs and of capitals, and of different words among its words ``own``."""
+def _hashed(words_: Column) -> Column:
+    return F.transform(words_, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
+
+
+def _shape(text: Column, count: Column, different: Column) -> Column:
+    """Hash buckets of what a text looks like, in steps: its shares of signs, of capitals, and of different words."""
     size = F.greatest(F.length(text), F.lit(1))
     signs = F.floor(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")) * 50 / size)
     capitals = F.floor(F.regexp_count(text, F.lit(r"\p{Lu}")) * 20 / size)
-    different = F.floor(F.size(F.array_distinct(own)) * 10 / F.greatest(F.size(own), F.lit(1)))
-    told = [F.concat(F.lit(f" {name} "), F.least(x, F.lit(10)).cast("string")) for name, x in (("signs", signs), ("capitals", capitals), ("different", different))]
-    return F.when(F.size(own) > 0, F.array(*told)).otherwise(F.array().cast("array<string>"))
+    own = F.floor(different * 10 / F.greatest(count, F.lit(1)))
+    told = [F.concat(F.lit(f" {name} "), F.least(x, F.lit(10)).cast("string")) for name, x in (("signs", signs), ("capitals", capitals), ("different", own))]
+    return F.when(count > 0, _hashed(F.array(*told))).otherwise(F.array().cast("array<int>"))
 
 
-def _buckets(text: Column) -> Column:
-    """The hash buckets of a text's words and of its shape, each once."""
+def _read(text: Column) -> Column:
+    """``tokens``, the number of words, and ``buckets``, those of the words and of the text's shape, each once; cut only once."""
     text = F.coalesce(text, F.lit(""))
-    hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
-    return _let(words(text), lambda own: F.array_distinct(F.transform(F.concat(own, _shape(text, own)), hashed)))
+
+    def counted(h: Column, once: Column) -> Column:
+        buckets = F.array_union(once, _shape(text, F.size(h), F.size(once)))
+        return F.struct(F.size(h).cast("double").alias("tokens"), buckets.alias("buckets"))
+
+    return _let(_hashed(words(text)), lambda h: _let(F.array_distinct(h), lambda once: counted(h, once)))
 
 
 @dataclass(frozen=True)
@@ -53,7 +61,14 @@ class Classifier:
 
     def posteriors(self, text: Column) -> Column:
         """An array of the probability of each domain of ``DOMAINS``."""
-        return _let(_buckets(text), lambda b: _let(F.array(*[self._score(k, b) for k in range(len(self.priors))]), _softmax))
+        return _let(_read(text), self._posteriors)
+
+    def judged(self, text: Column) -> Column:
+        """A struct of ``tokens``, the words of the whole text, and its ``posteriors``."""
+        return _let(_read(text), lambda r: F.struct(r["tokens"].alias("tokens"), self._posteriors(r).alias("posteriors")))
+
+    def _posteriors(self, read: Column) -> Column:
+        return _let(F.array(*[self._score(k, read["buckets"]) for k in range(len(self.priors))]), _softmax)
 
     def _score(self, k: int, buckets: Column) -> Column:
         own = F.split(F.lit(",".join(f"{x:.6g}" for x in self.weights[k])), ",").cast("array<double>")
@@ -80,7 +95,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     share = min(1 << 30, (1 << 30) * train_docs // max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("quality").alias("q"))
     chosen = chosen.select(F.col("doc_id").alias("labelled"), F.when(F.col("t") > 0, 0).when(F.col("q") > 0, 1).otherwise(2).alias("domain"))
-    texts = docs.join(F.broadcast(chosen), col(doc_id) == F.col("labelled")).select("domain", _buckets(col(text)).alias("b"))
+    texts = docs.join(F.broadcast(chosen), col(doc_id) == F.col("labelled")).select("domain", _read(col(text))["buckets"].alias("b"))
     each = [F.sum((F.col("domain") == k).cast("long")).alias(f"n{k}") for k in range(len(DOMAINS))]
     sizes = texts.agg(*each).first()
     total = np.array([x or 0 for x in sizes], float)
@@ -195,8 +210,8 @@ def members(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: s
     """
     classifier = learn(docs, labels, text=text, doc_id=doc_id)
     own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text_"))
-    rows = own.select("doc_id", F.size(words(F.col("text_"))).cast("double").alias("tokens"), classifier.posteriors(F.col("text_")).alias("posteriors"), F.xxhash64("doc_id", "text_").alias("row"))
-    return materialised(rows), classifier
+    rows = own.select("doc_id", classifier.judged(F.col("text_")).alias("own"), F.xxhash64("doc_id", "text_").alias("row"))
+    return materialised(rows).select("doc_id", "own.tokens", "own.posteriors", "row"), classifier
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], *, text: str = "text", doc_id: str = "doc_id", ridge: float = 1e-7) -> tuple[DataFrame, Fit]:
