@@ -18,6 +18,7 @@ INVALID_RESULT = "INVALID_RESULT"
 ATTACHMENTS_REASON = "No attachments found or matched for the extracted date range"
 DATE_RANGE_REASON = "No date range could be extracted from the email"
 RECIPIENT_REASON = "No recipient was resolved from the email"
+RESULT_REASON = "Result is null or not an object"
 CARDHOLDER_REASON = "No cardholder / account name was provided"
 GATE_DATE_REASON = "No date range extracted from the email body"
 GATE_FILES_REASON = "No files matched the extracted date range"
@@ -35,8 +36,12 @@ def result_errors(
     recipient: Column | str,
     cardholder: Column | str,
     require_attachments: bool = True,
+    result: Column | str | None = None,
 ) -> Column:
-    """``array<struct<field, code, reason>>`` of what is missing, in this fixed field order."""
+    """``array<struct<field, code, reason>>`` of what is missing, in this fixed field order.
+
+    Where ``result``, the whole result as a struct, is null, that alone is the error.
+    """
     n = F.coalesce(as_col(n_attachments), F.lit(0))
     checks = [
         _failure(~has_text(date_range), "dateRange", NO_DATE_RANGE, DATE_RANGE_REASON),
@@ -45,7 +50,11 @@ def result_errors(
     ]
     if require_attachments:
         checks.insert(0, _failure(n == 0, "attachments", EMPTY_ATTACHMENTS, ATTACHMENTS_REASON))
-    return F.array_compact(F.array(*checks))
+    found = F.array_compact(F.array(*checks))
+    if result is None:
+        return found
+    nothing = as_col(result).isNull()
+    return F.when(nothing, F.array(_failure(nothing, "result", INVALID_RESULT, RESULT_REASON))).otherwise(found)
 
 
 def wrap_block(name: str, content: Column | str) -> Column:

@@ -114,6 +114,10 @@ def test_results(spark):
     e = Q.result_errors("n", "r", "who", "card")
     rows = [r[0] for r in df.select(F.transform(e, lambda x: x["field"])).collect()]
     assert rows == [[], ["attachments", "dateRange", "recipient"], ["attachments"]]
+    given = df.withColumn("whole", F.when(F.col("who").isNotNull(), F.struct("n", "r")))
+    for r in given.select("whole", Q.result_errors("n", "r", "who", "card", result="whole").alias("a"), e.alias("b")).collect():
+        missing = [("result", "INVALID_RESULT", "Result is null or not an object")]
+        assert [tuple(x) for x in r["a"]] == (missing if r["whole"] is None else [tuple(x) for x in r["b"]])
     relaxed = Q.result_errors("n", "r", "who", "card", require_attachments=False)
     assert [r[0] for r in df.select(F.size(relaxed)).collect()] == [0, 2, 0]
     block = df.select(Q.result_error(e)).collect()[1][0]

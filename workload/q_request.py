@@ -594,6 +594,17 @@ def q01(v: Views) -> DataFrame:
     return errors.select("request_id", F.array_join("e.field", ",").alias("fields"), F.array_join("e.code", ",").alias("codes"))
 
 
+@query("q01_null_result", duck(
+    f"""select request_id, case when request_id % 4 = 0 then 'result' else array_to_string({_failed(1)}, ',') end as fields,
+          case when request_id % 4 = 0 then 'INVALID_RESULT' else array_to_string({_failed(2)}, ',') end as codes,
+          case when request_id % 4 = 0 then 'Result is null or not an object' else array_to_string({_failed(3)}, ',') end as reasons
+        from fx_results""", "fx_results"))
+def q01_null(v: Views) -> DataFrame:
+    whole = F.when(F.col("request_id") % 4 != 0, F.struct(*_FIELDS))
+    errors = v.results.select("request_id", Q.result_errors(*_FIELDS, result=whole).alias("e"))
+    return errors.select("request_id", *[F.array_join(f"e.{x}", ",").alias(f"{x}s") for x in ("field", "code", "reason")])
+
+
 @query("q02_error_block", duck(
     f"""select request_id, case when len(f) > 0 then '-??EXTRACTION_ERROR' || chr(10) || 'CODE: ' || c[1] || chr(10) || 'REASON: ' || r[1]
           || case when len(f) > 1 then chr(10) || 'DETAIL: Additional failures: ' || array_to_string(f[2:], ', ') else '' end
