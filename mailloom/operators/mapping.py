@@ -3,30 +3,28 @@
 Rules come from one ordered configuration document (see :mod:`mailloom.sources.request_map`) and
 become literal expressions, so resolving them moves no rows.
 
-Files and requests meet in :func:`matching_files`, an exact interval join. A date range is cut
-into dyadic blocks of days (2, 4, 8, ... days, aligned), at most two per size, and every file
-lists the one block of each size that holds its date. Range and file share exactly one block when
-the date is inside and none otherwise, so a plain equi-join gives the answer: no pair is formed
-that has to be thrown away, and one busy folder is spread over many join keys.
+Files and requests meet by calendar. The listing is counted by folder, pattern and day first, and every folder and pattern
+gets one row of arrays over its days: at any day, how many files and how many distinct days lie ahead of it. A request reads
+both ends of its range from that row, which gives its number of files without a file or a range being moved, and the days
+that have files for it, which then meet the files in an equi-join without false pairs. The arrays are bounded by the days
+between the first and the last file, whatever the number of files.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailloom.functions.filenames import FilePattern
 from mailloom.functions.text import as_col, let
 from mailloom.sources.request_map import REQUESTOR, RequestMap
 
-# Days are counted from year 1; four-digit years need 22 bits.
-DAY_BITS = 22
-# Level of files and requests whose pattern carries no date.
-UNDATED = -1
+# Day of files and requests whose pattern carries no date; days are counted from year 1.
+UNDATED = 0
 
 
 def resolve_document(doc_type: Column | str, rules: RequestMap) -> Column:
@@ -115,54 +113,47 @@ def _day_number(d: Column) -> Column:
     return F.datediff(d, F.make_date(F.lit(1), F.lit(1), F.lit(1)))
 
 
-def _blocks_of_day(day: Column) -> Column:
-    """The block of every size that contains the day."""
-    return F.array(
-        *[
-            F.struct(F.lit(level).alias("level"), F.shiftright(day, level).alias("block"))
-            for level in range(DAY_BITS + 1)
-        ]
-    )
-
-
-def _blocks_of_range(first: Column, last: Column) -> Column:
-    """Disjoint blocks that cover ``[first, last]`` exactly; an empty range has none."""
-
-    def at_level(level: int, low: Column, high: Column) -> list[Column]:
-        odd_low = low.bitwiseAND(F.lit(1)) == 1
-        start = F.when(odd_low, low + 1).otherwise(low)
-        odd_high = (high.bitwiseAND(F.lit(1)) == 1) & (start < high)
-        return [
-            F.when((low < high) & odd_low, F.struct(F.lit(level).alias("level"), low.alias("block"))),
-            F.when(odd_high, F.struct(F.lit(level).alias("level"), (high - 1).alias("block"))),
-        ]
-
-    chosen = []
-    for level in range(DAY_BITS + 1):
-        low = F.shiftright(first + ((1 << level) - 1), level)
-        high = F.shiftright(last + 1, level)
-        chosen += at_level(level, low, high)
-    return F.array_compact(F.array(*chosen))
-
-
-def _file_blocks(files: DataFrame, patterns: list[FilePattern], ref_date: dt.date) -> DataFrame:
-    """(folder, pattern, level, block, file_name, file_date) for every pattern a file matches."""
+def _dated_files(files: DataFrame, patterns: list[FilePattern], ref_date: dt.date) -> DataFrame:
+    """(folder, pattern, day, file_name, file_date) for every pattern a file matches."""
     hits = []
     for p in patterns:
         date = p.date_of("file_name", ref_date)
         usable = p.matches("file_name") & (date.isNotNull() if p.dated else F.lit(True))
         hits.append(F.when(usable, F.struct(F.lit(p.source).alias("pattern"), date.alias("file_date"))))
-    blocks = F.when(F.col("file_date").isNull(), _undated()).otherwise(
-        let(_day_number(F.col("file_date")), _blocks_of_day)
-    )
-    return (
-        files.select("folder", "file_name", F.inline(F.array_compact(F.array(*hits))))
-        .select("folder", "pattern", "file_name", "file_date", F.inline(blocks))
-    )
+    found = files.select("folder", "file_name", F.inline(F.array_compact(F.array(*hits))))
+    return found.withColumn("day", F.coalesce(_day_number(F.col("file_date")), F.lit(UNDATED)))
 
 
-def _undated() -> Column:
-    return F.array(F.struct(F.lit(UNDATED).alias("level"), F.lit(0).alias("block")))
+def _calendars(listed: DataFrame) -> DataFrame:
+    """(folder, pattern, first, days, days_ahead, files_ahead), one row for each folder and pattern of the listing.
+
+    ``days`` are the distinct days in order; element i of the other arrays counts the days and files ahead of ``first`` + i,
+    from the first day to the one after the last.
+    """
+    by_day = listed.groupBy("folder", "pattern", "day").agg(F.count("*").alias("n"))
+    calendar = Window.partitionBy("folder", "pattern").orderBy("day")
+    entry = F.struct(
+        "day",
+        "n",
+        F.coalesce(F.sum("n").over(calendar.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("files"),
+        (F.row_number().over(calendar) - 1).alias("days"),
+        F.coalesce(F.col("day") - F.lag("day").over(calendar), F.lit(1)).alias("gap"),
+    )
+    entries = by_day.select("folder", "pattern", entry.alias("e")).groupBy("folder", "pattern").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    last = F.get("e", F.size("e") - 1)
+
+    def ahead(field: str, total: Column) -> Column:
+        spread = F.flatten(F.transform("e", lambda e: F.array_repeat(e[field], e["gap"])))
+        return F.concat(spread, F.array(total))
+
+    return entries.select(
+        "folder",
+        "pattern",
+        F.get("e", F.lit(0))["day"].alias("first"),
+        F.col("e.day").alias("days"),
+        ahead("days", F.size("e")).alias("days_ahead"),
+        ahead("files", last["files"] + last["n"]).alias("files_ahead"),
+    )
 
 
 def with_bounds(requests: DataFrame) -> DataFrame:
@@ -178,24 +169,50 @@ def with_bounds(requests: DataFrame) -> DataFrame:
 
 
 RANGE_KEYS = ["folder", "pattern", "start", "end"]
-BLOCK_KEYS = ["folder", "pattern", "level", "block"]
 
 
 def wanted_ranges(requests: DataFrame) -> DataFrame:
     """Distinct ranges of the requests that can match a file: folder, pattern and dates known.
 
-    Requests repeat, so every range is matched once for all of them.
+    Requests repeat, so every range is matched once for all of them. What is known is told behind the grouping: a filter on the
+    keys themselves would be moved below it and read every text again.
+    """
+    known = reduce(and_, [F.col(k).isNotNull() for k in RANGE_KEYS])
+    ranges = with_bounds(requests).select(*RANGE_KEYS, known.alias("_known")).groupBy(*RANGE_KEYS).agg(F.max("_known").alias("_known"))
+    return ranges.filter("_known").drop("_known")
+
+
+def _on_calendar(bounded: DataFrame, listed: DataFrame, patterns: list[FilePattern]) -> DataFrame:
+    """``bounded`` rows with the calendar of their folder and pattern, and what lies ahead of both ends: ``_low``, ``_high``.
+
+    Rows without a folder, pattern or range keep nulls there, so does a range that ends before it starts.
     """
-    return with_bounds(requests).select(*RANGE_KEYS).dropna().distinct()
+    dated = F.col("pattern").isin(*[p.source for p in patterns if p.dated])
+    low = F.when(dated, _day_number(F.col("start"))).otherwise(UNDATED)
+    high = F.when(dated, _day_number(F.col("end"))).otherwise(UNDATED) + 1
+    ends = F.when(F.col("start").isNotNull() & F.col("end").isNotNull() & (low < high), F.struct(low.alias("low"), high.alias("high")))
 
+    def ahead(end: str) -> Column:
+        at = F.least(F.greatest(F.col("_ends")[end] - F.col("first"), F.lit(0)), F.size("files_ahead") - 1)
+        return let(at, lambda i: F.struct(F.get("days_ahead", i).alias("days"), F.get("files_ahead", i).alias("files")))
 
-def _range_blocks(wanted: DataFrame, patterns: list[FilePattern]) -> DataFrame:
-    dated = [p.source for p in patterns if p.dated]
-    days = F.struct(_day_number(F.col("start")).alias("first"), _day_number(F.col("end")).alias("last"))
-    blocks = F.when(
-        F.col("pattern").isin(*dated), let(days, lambda d: _blocks_of_range(d["first"], d["last"]))
-    ).otherwise(_undated())
-    return wanted.select(*RANGE_KEYS, F.inline(blocks))
+    met = bounded.withColumn("_ends", ends).join(_calendars(listed), ["folder", "pattern"], "left")
+    return met.withColumns({"_low": ahead("low"), "_high": ahead("high")})
+
+
+def _wanted_days(bounded: DataFrame, listed: DataFrame, patterns: list[FilePattern], *columns: str) -> DataFrame:
+    """``columns`` with one row for every day in the range that has files."""
+    n_days = F.greatest(F.col("_high.days") - F.col("_low.days"), F.lit(0))
+    own = F.slice("days", F.col("_low.days") + 1, n_days)
+    return _on_calendar(bounded, listed, patterns).select(*columns, F.explode_outer(own).alias("day")).filter("day is not null")
+
+
+def _of_day(days: DataFrame, listed: DataFrame) -> DataFrame:
+    """Days with what the listing has for them. One struct is the key, since the optimizer would filter bare keys where they come
+    from, and they come from texts that are costly to read twice."""
+    key = F.struct("folder", "pattern", "day").alias("_at")
+    own = [c for c in listed.columns if c not in ("folder", "pattern", "day")]
+    return days.withColumn("_at", key).join(listed.select(key, *own), "_at").drop("_at")
 
 
 def matching_files(
@@ -205,43 +222,61 @@ def matching_files(
 
     A name must match the pattern and, if the pattern has a date, carry a date in the range.
     """
-    listed = _file_blocks(list_files(files), patterns, ref_date)
-    return (
-        _range_blocks(wanted, patterns).join(listed, BLOCK_KEYS).select(*RANGE_KEYS, "file_name", "file_date")
-    )
+    listed = _dated_files(list_files(files), patterns, ref_date)
+    days = _wanted_days(wanted.select(*RANGE_KEYS), listed, patterns, *RANGE_KEYS)
+    return _of_day(days, listed).select(*RANGE_KEYS, "file_name", "file_date")
 
 
 def request_files(
     requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date, *keys: str
 ) -> DataFrame:
-    """One row per request and matching file.
+    """One row per request and matching file; no step before has more rows than that, and the requests are read once."""
+    listed = _dated_files(list_files(files), patterns, ref_date)
+    named = {k: f"_key_{k}" for k in keys}
+    bounded = with_bounds(requests).select(*[F.col(k).alias(n) for k, n in named.items()], *RANGE_KEYS)
+    days = _wanted_days(bounded, listed, patterns, *named.values(), "folder", "pattern")
+    found = _of_day(days, listed)
+    own = [F.col(n).alias(k) for k, n in named.items()]
+    return found.select(*own, *[c for c in ("folder", "file_name", "file_date") if c not in keys])
 
-    Give requests that are stored, not computed: they are read for their ranges and for the result.
+
+def file_counts(
+    requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date
+) -> DataFrame:
+    """Requests with ``n_files``, zero included; the requests are read once and meet one row for each folder and pattern."""
+    listed = _dated_files(list_files(files), patterns, ref_date)
+    kept = [F.col(c).alias(f"_own_{c}") for c in requests.columns]
+    met = _on_calendar(with_bounds(requests).select(*RANGE_KEYS, *kept), listed, patterns)
+    n_files = F.coalesce(F.col("_high.files") - F.col("_low.files"), F.lit(0)).cast("bigint")
+    return met.select(*[F.col(f"_own_{c}").alias(c) for c in requests.columns], n_files.alias("n_files"))
+
+
+def file_lists(
+    files: DataFrame, wanted: DataFrame, patterns: list[FilePattern], ref_date: dt.date
+) -> DataFrame:
+    """``file_names`` of every (folder, pattern, start, end) in ``wanted`` that has files, by date and name.
+
+    Names are put together once for each day and then for each range, never for each request; a list is as long as the
+    files it names.
     """
-    found = matching_files(files, wanted_ranges(requests), patterns, ref_date)
-    return with_bounds(requests).join(found, RANGE_KEYS).select(*keys, "folder", "file_name", "file_date")
+    listed = _dated_files(list_files(files), patterns, ref_date)
+    by_day = listed.groupBy("folder", "pattern", "day").agg(F.array_sort(F.collect_list("file_name")).alias("names"))
+    days = _wanted_days(wanted.select(*RANGE_KEYS), listed, patterns, *RANGE_KEYS)
+    whole = _of_day(days, by_day).groupBy(*RANGE_KEYS).agg(F.array_sort(F.collect_list(F.struct("day", "names"))).alias("d"))
+    return whole.select(*RANGE_KEYS, F.flatten("d.names").alias("file_names"))
 
 
-def file_counts(
+def with_file_lists(
     requests: DataFrame, files: DataFrame, patterns: list[FilePattern], ref_date: dt.date
 ) -> DataFrame:
-    """Requests with ``n_files``, zero included; give stored requests.
+    """Requests with ``file_names`` and ``folder_found``; give stored requests, which are read for their ranges and for the result.
 
-    Files are counted per block first, so requests meet counts and never single files. Requests
-    without a folder, pattern or range match nothing and stay out of the join.
+    ``file_names`` is null without a match. ``folder_found`` is null unless folder, pattern and range are known, and tells
+    whether the listing has the folder; a directory in the listing is enough.
     """
-    per_block = (
-        _file_blocks(list_files(files), patterns, ref_date).groupBy(*BLOCK_KEYS).agg(F.count("*").alias("n"))
-    )
-    per_range = (
-        _range_blocks(wanted_ranges(requests), patterns)
-        .join(per_block, BLOCK_KEYS)
-        .groupBy(*RANGE_KEYS)
-        .agg(F.sum("n").alias("n_files"))
-    )
-    bounded = with_bounds(requests)
-    open_ = reduce(or_, [F.col(k).isNull() for k in RANGE_KEYS])
-    counted = bounded.filter(~open_).join(per_range, RANGE_KEYS, "left")
-    others = bounded.filter(open_).withColumn("n_files", F.lit(None).cast("bigint"))
-    n_files = F.coalesce("n_files", F.lit(0)).alias("n_files")
-    return counted.select(*requests.columns, n_files).union(others.select(*requests.columns, n_files))
+    lists = file_lists(files, wanted_ranges(requests), patterns, ref_date)
+    there = files.select("folder").distinct().withColumn("_there", F.lit(True))
+    met = with_bounds(requests).join(lists, RANGE_KEYS, "left").join(there, ["folder"], "left")
+    known = F.col("pattern").isNotNull() & F.col("folder").isNotNull() & F.col("range").isNotNull()
+    found = F.when(known, F.coalesce("_there", F.lit(False))).alias("folder_found")
+    return met.select(*requests.columns, "file_names", found)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailloom.functions.quality import request_gate
 from mailloom.functions.request import as_dates, date_range_in_digits, document_type, recipient, words_to_digits
 from mailloom.operators.chains import narrowed_body
-from mailloom.operators.mapping import file_counts, resolve_document, resolve_recipient
+from mailloom.operators.mapping import file_counts, resolve_document, resolve_recipient, with_file_lists
 from mailloom.sources.request_map import RequestMap
 from mailloom.sources.staging import staged
 
@@ -54,8 +54,8 @@ def read_requests(
     )
 
 
-def summary() -> Column:
-    """Readable summary of a resolved request without its file list."""
+def summary(file_names: Column | None = None, folder_found: Column | None = None) -> Column:
+    """Readable summary of a resolved request, with its files or the missing folder where they are given."""
     span = F.col("range_text")
     document = F.coalesce(
         F.concat(F.lit('"'), F.col("folder"), F.lit('"')), F.col("doc_type"), F.lit("could not be determined")
@@ -64,23 +64,43 @@ def summary() -> Column:
         F.coalesce(span["start"], F.lit("null")), F.lit(" to "), span["end"], F.lit("  ("), span["description"], F.lit(")")
     )
     contact = F.coalesce(F.concat(F.lit('"'), F.col("contact.email"), F.lit('"')), F.col("who.display"))
-    return F.concat_ws(
-        "\n",
+    lines = [
         F.concat(F.lit("Document: "), document),
         F.concat(F.lit("Date Range: "), F.coalesce(dates, F.lit("none"))),
         F.concat(F.lit("Recipient: "), contact),
-    )
+    ]
+    if file_names is not None:
+        found = F.concat(F.lit("Files matching:\n   "), F.array_join(file_names, "\n   "))
+        lines.append(F.when(F.size(file_names) > 0, found))
+    if folder_found is not None:
+        lines.append(F.when(~folder_found, F.concat(F.lit("Error: Folder not found: "), F.col("folder"))))
+    return F.concat_ws("\n", *lines)
 
 
 def resolve_requests(
     df: DataFrame, body: str, files: DataFrame, rules: RequestMap, ref_date: dt.date, *keys: str
 ) -> DataFrame:
-    """Requests with their number of matching files, summary and verdict.
+    """Requests with their number of matching files, the files, a summary that names them, and the verdict.
 
-    What the texts ask for is staged once, without the texts, and then joined to the files.
+    What the texts ask for is staged once, without the texts, because it is read for the ranges and for the result.
+    Requests of one range share its list.
     """
-    asked = read_requests(df.select(*keys, body), body, rules, ref_date).drop(body)
-    counted = file_counts(staged(asked, "requests"), files, rules.file_patterns(), ref_date)
-    return counted.withColumns(
-        {"summary": summary(), "verdict": request_gate(F.col("range").isNotNull(), "n_files")}
+    asked = staged(read_requests(df.select(*keys, body), body, rules, ref_date).drop(body), "requests")
+    listed = with_file_lists(asked, files, rules.file_patterns(), ref_date)
+    n_files = F.coalesce(F.array_size("file_names"), F.lit(0)).cast("bigint")
+    return listed.withColumns(
+        {
+            "n_files": n_files,
+            "summary": summary(F.col("file_names"), F.col("folder_found")),
+            "verdict": request_gate(F.col("range").isNotNull(), n_files),
+        }
     )
+
+
+def gated_requests(
+    df: DataFrame, body: str, files: DataFrame, rules: RequestMap, ref_date: dt.date, *keys: str
+) -> DataFrame:
+    """Requests with their number of matching files and the verdict only: texts are read once and nothing is written."""
+    asked = read_requests(df.select(*keys, body), body, rules, ref_date).drop(body)
+    counted = file_counts(asked, files, rules.file_patterns(), ref_date)
+    return counted.withColumn("verdict", request_gate(F.col("range").isNotNull(), "n_files"))

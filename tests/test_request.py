@@ -14,8 +14,9 @@ from mailloom.operators.mapping import (
     resolve_recipient,
     resolve_recipients,
     wanted_ranges,
+    with_file_lists,
 )
-from mailloom.plans.requests import read_requests, resolve_requests
+from mailloom.plans.requests import gated_requests, read_requests, resolve_requests
 from mailloom.sources.request_map import DocumentRule, RecipientRule, RequestMap, load_map, map_rules, read_map_rules
 from pyspark.sql import functions as F
 
@@ -211,6 +212,39 @@ def test_interval_join_against_brute_force(spark, files):
     assert lists.count() == len(expected)  # every range of the fixture is asked for once
 
 
+def test_calendars_on_odd_listings(spark):
+    """Null folders, gaps, many files a day, undated patterns, an empty listing, requests with own columns of the same names."""
+    dated, plain = "F_{% date(<yyyy>-<mm>-<dd>) %}", "^a"
+    patterns = [FilePattern.parse(dated), FilePattern.parse(plain)]
+    names = [("x", f"F_2025-01-0{d}{i}") for d in (1, 2, 7) for i in "abc"] + [("x", "F_0001-01-01"), ("x", "F_9999-12-31"), ("x", "a1"), (None, "F_2025-01-01")]
+    files = spark.createDataFrame(names, "folder string, file_name string")
+    day = dt.date
+    rows = [("x", dated, (day(2025, 1, 2), day(2025, 1, 6)), 3), ("x", dated, (day(2025, 1, 3), day(2025, 1, 6)), 0), ("x", dated, (day(1, 1, 1), day(9999, 12, 31)), 11),
+            ("x", dated, (day(2025, 1, 7), day(2025, 1, 1)), 0), ("x", plain, (day(2025, 1, 7), day(2025, 1, 1)), 1), ("x", dated, None, 0),
+            (None, dated, (None, None), 0), ("y", dated, (None, None), 0), ("x", dated, (None, None), 10), ("x", "other", (None, None), 0)]
+    schema = "n int, folder string, pattern string, range struct<start: date, end: date>, day string, file_name string, want bigint"
+    asked = spark.createDataFrame([(k, f, p, r, "d", "own", w) for k, (f, p, r, w) in enumerate(rows)], schema)
+    counted = file_counts(asked, files, patterns, REF_DATE)
+    assert counted.columns == [*asked.columns, "n_files"]
+    assert all(r["n_files"] == r["want"] for r in counted.collect())
+    per = {r["n"]: r["c"] for r in request_files(asked, files, patterns, REF_DATE, "n").groupBy("n").agg(F.count("*").alias("c")).collect()}
+    assert per == {k: r[3] for k, r in enumerate(rows) if r[3]}
+    whole = {r["n"]: r for r in with_file_lists(asked, files, patterns, REF_DATE).collect()}
+    assert len(whole) == len(rows) and {k: len(r["file_names"] or []) for k, r in whole.items()} == {k: r[3] for k, r in enumerate(rows)}
+    assert whole[0]["file_names"] == ["F_2025-01-02a", "F_2025-01-02b", "F_2025-01-02c"]
+    assert [whole[k]["folder_found"] for k in (0, 5, 6, 7)] == [True, None, None, False]
+    assert [r["n_files"] for r in file_counts(asked, files.limit(0), patterns, REF_DATE).collect()] == [0] * len(rows)
+    assert request_files(asked.limit(0), files, patterns, REF_DATE, "n").count() == 0
+
+
+def test_file_join_reads_texts_once(spark, files):
+    """No filter on what a text gives is moved below its reading, and nothing is expanded by levels."""
+    df = spark.createDataFrame([(1, "send me invoice reports for last 3 months")], "id int, body string")
+    asked = read_requests(df, "body", RULES, REF_DATE)
+    plan = request_files(asked, files, RULES.file_patterns(), REF_DATE, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "rlike" in line.lower() and "body" in line]
+
+
 def test_request_flow(spark, files):
     df = spark.createDataFrame([
         (1, "send me invoice reports for last 3 months"), (2, "send Priya Raman the reports for this year"), (3, "hello")],
@@ -220,5 +254,10 @@ def test_request_flow(spark, files):
     assert rows[2]["n_files"] == 1 and rows[2]["contact"]["email"] == "priya@example.net"
     assert rows[3]["verdict"]["code"] == "NO_DATE_RANGE" and rows[3]["n_files"] == 0
     assert "12/12/2025 to 03/12/2026" in rows[1]["summary"]
+    assert rows[1]["summary"].count("\n   Billing_") == 10 and "Extracts_Priya_1.pdf" in rows[2]["summary"] and "Files" not in rows[3]["summary"]
+    lost = {r["id"]: r for r in resolve_requests(df, "body", files.filter("folder <> 'Inv'"), RULES, REF_DATE, "id").collect()}
+    assert lost[1]["summary"].endswith("Error: Folder not found: Inv") and lost[1]["verdict"]["code"] == "NO_FILES_MATCHED"
+    few = {r["id"]: r["verdict"] for r in gated_requests(df, "body", files, RULES, REF_DATE, "id").collect()}
+    assert few == {k: r["verdict"] for k, r in rows.items()}
     task = read_requests(df, "body", RULES, REF_DATE, F.lit("t@example.com"), F.lit("T.pdf")).orderBy("id").first()
     assert task["contact"]["email"] == "t@example.com" and task["pattern"] == "T.pdf"

@@ -11,9 +11,8 @@ from mailloom.functions import quality as Q
 from mailloom.functions import request as R
 from mailloom.functions.filenames import FilePattern
 from mailloom.operators import mapping as M
-from mailloom.plans.requests import read_requests, resolve_requests
+from mailloom.plans.requests import gated_requests, read_requests, resolve_requests
 from mailloom.sources.request_map import DocumentRule, RecipientRule, RequestMap, map_rules
-from mailloom.sources.staging import staged
 from workload.registry import query
 from workload.views import REF, REF_DATE, Views, duck
 
@@ -461,9 +460,9 @@ def request_sql(sql: str, **ctes: str) -> str:
 
 
 def _requests(v: Views) -> DataFrame:
-    """Parsed requests without their texts, stored once for the file join."""
+    """Parsed requests without their texts."""
     parsed = read_requests(v.messages.select("uid", "body"), "body", RULES, REF_DATE).drop("body")
-    return staged(parsed.select("uid", "folder", "pattern", "range"), "requests")
+    return parsed.select("uid", "folder", "pattern", "range")
 
 
 @query("j03_document_rule", request_sql(
@@ -541,6 +540,16 @@ def a09_lists(v: Views) -> DataFrame:
     )
 
 
+# What a request's summary says: its files by date and name, or that the listing lacks its folder.
+_SUMMARY = """select z.uid, n_files, missing,
+    'Document: ' || coalesce('"' || folder || '"', doc_type, 'could not be determined')
+      || chr(10) || 'Date Range: ' || coalesce(coalesce(start, 'null') || ' to ' || "end" || '  (' || description || ')', 'none')
+      || chr(10) || 'Recipient: ' || coalesce('"' || email || '"', display)
+      || coalesce(chr(10) || 'Files matching:' || chr(10) || '   ' || names, '')
+      || case when missing then chr(10) || 'Error: Folder not found: ' || folder else '' end as summary
+  from (select *, folder is not null and pattern is not null and description is not null
+      and folder not in (select folder from fx_files) as missing from z) z
+    left join (select uid, string_agg(file_name, chr(10) || '   ' order by file_date, file_name) as names from p group by uid) l on l.uid = z.uid"""
 _RESOLVED = """select q.*, n.n_files, case when description is null then 'NO_DATE_RANGE' when n_files = 0 then 'NO_FILES_MATCHED' else '' end as code
   from q join (select q.uid, count(p.file_name) as n_files from q left join p on q.uid = p.uid group by q.uid) n on q.uid = n.uid"""
 
@@ -558,13 +567,21 @@ def r20(v: Views) -> DataFrame:
     )
 
 
+@query("r20_request_summary", request_sql(
+    "select uid, n_files, missing, length(summary) as n_chars, md5(summary) as summary_md5 from t", p=_PAIRS, z=_RESOLVED, t=_SUMMARY))
+def r20_summary(v: Views) -> DataFrame:
+    """The whole summary with its file list, by length and digest."""
+    found = resolve_requests(v.messages, "body", v.files, RULES, REF_DATE, "uid")
+    missing = F.coalesce(~F.col("folder_found"), F.lit(False)).alias("missing")
+    return found.select("uid", "n_files", missing, F.length("summary").cast("bigint").alias("n_chars"), F.md5("summary").alias("summary_md5"))
+
+
 @query("q03_request_gate", request_sql(
     "select folder, code, code = '' as valid, count(*) as n from z group by folder, code", p=_PAIRS, z=_RESOLVED))
 def q03(v: Views) -> DataFrame:
-    counted = M.file_counts(_requests(v), v.files, RULES.file_patterns(), REF_DATE)
-    gate = Q.request_gate(F.col("range").isNotNull(), "n_files")
+    gated = gated_requests(v.messages.select("uid", "body"), "body", v.files, RULES, REF_DATE, "uid")
     return (
-        counted.select("folder", gate.alias("g"))
+        gated.select("folder", F.col("verdict").alias("g"))
         .groupBy("folder", F.col("g.code").alias("code"), F.col("g.valid").alias("valid"))
         .agg(F.count("*").alias("n"))
     )
