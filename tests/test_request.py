@@ -212,6 +212,18 @@ def test_interval_join_against_brute_force(spark, files):
     assert lists.count() == len(expected)  # every range of the fixture is asked for once
 
 
+def test_document_type_against_every_alias(spark):
+    """The cut-out places give what a search of the whole text for every alias gives, overlapping words and line breaks too."""
+    ranked = sorted(R.DOCUMENT_TYPES, key=lambda d: -len(d[0]))
+    pieces = ["report", "tax", "yield ", "reportax report", "crop\nreport", "inv", "inventory", "asset report", "q1", "", " ", "é", "sales", "data", "reports"]
+    texts = [a for _, aliases in ranked for a in aliases] + [f"{x}{gap}{y}" for x in pieces for y in pieces for gap in ("", " ", " report ")]
+    texts += ["x" * 50 + "Harvest REPORT", "harvest  report", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", R.document_type("t").alias("d")).collect()
+    for row in got:
+        low = (texts[row["k"]] or "").lower()
+        assert row["d"] == next((name for name, aliases in ranked if any(a in low for a in aliases)), None), low
+
+
 def test_calendars_on_odd_listings(spark):
     """Null folders, gaps, many files a day, undated patterns, an empty listing, requests with own columns of the same names."""
     dated, plain = "F_{% date(<yyyy>-<mm>-<dd>) %}", "^a"
