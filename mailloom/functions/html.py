@@ -22,12 +22,22 @@ VOID_TAGS = (
 )
 BLOCK_TAGS = ("p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "form")
 WIDE_BLOCK_TAGS = ("h1", "h2", "ul", "ol", "blockquote", "pre", "h4", "h5", "h6")
+# The line of a rule, elements in capitals, and the digits of Roman numbers.
+RULE_LINE = "-" * 40
+CAPITAL_TAGS = ("h4", "h5", "h6")
+ROMAN = (
+    ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"),
+    ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"),
+    ("", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"),
+)
 
 _HIDDEN = r"(?is)<!--.*?-->|<(" + "|".join(HIDDEN_TAGS) + r")(?:\s[^>]*)?>.*?</\1\s*>"
 _VOID = r"(?i)<(?:" + "|".join(VOID_TAGS) + r")(?:\s[^>]*)?/?>"
 _SPACES = r"[ \t\r\f\x{200b}]+"
 # Control characters that stand for one line break, a blank line, and a forced line break.
 _BREAK, _GAP, _FORCED = "\x01", "\x02", "\x03"
+# A space that stays, the ends of an item's label, and the ends of text in capitals.
+_PAD, _LABEL, _LABELLED, _UPPER, _LOWER = "\x05", "\x0e", "\x0f", "\x06", "\x07"
 
 
 def _tags(names: tuple[str, ...], close: str = "/?") -> str:
@@ -71,6 +81,90 @@ def visible_html(c: Column | str) -> Column:
     return F.regexp_replace(as_col(c), _HIDDEN, "")
 
 
+def _counter(kind: Column, n: Column) -> Column:
+    """``n`` as the list's type writes it: digits, letters or Roman digits; other types and numbers below 1 as digits."""
+
+    def letter(i: Column) -> Column:
+        return F.char((F.lit(97) + i % 26).cast("bigint"))
+
+    letters = F.concat(F.when(n > 702, letter(F.floor((n - 703) / 676))).otherwise(""), F.when(n > 26, letter(F.floor((n - 27) / 26))).otherwise(""), letter(n - 1))
+    digits = [F.get(F.array(*map(F.lit, row)), F.floor(n / 10**k).cast("int") % 10) for k, row in enumerate(ROMAN)]
+    roman = F.concat(F.repeat(F.lit("m"), F.floor(n / 1000).cast("int")), *digits[::-1])
+    low = F.when(F.lower(kind) == "a", letters).when(F.lower(kind) == "i", roman)
+    return F.coalesce(F.when((n > 0) & (n <= 18278), F.when(kind == F.upper(kind), F.upper(low)).otherwise(low)), n.cast("string"))
+
+
+_LIST_STATE = (
+    "struct<stack: array<struct<id: int, kind: string, next: bigint>>, n: int, "
+    "out: array<struct<text: string, step: string, above: array<int>, label: string>>>"
+)
+
+
+def _list_step(state: Column, piece: Column) -> Column:
+    """One list tag: ``stack`` holds the open lists, ``out`` what was read with the lists around it and an item's label."""
+    stack, tag = state["stack"], piece["tag"]
+    top, depth = F.get(stack, F.size(stack) - 1), F.size(stack)
+    opened = F.array_append(stack, F.struct(state["n"].alias("id"), piece["kind"].alias("kind"), piece["start"].alias("next")))
+    counted = F.concat(F.slice(stack, F.lit(1), depth - 1), F.array(F.struct(top["id"].alias("id"), top["kind"].alias("kind"), (top["next"] + 1).alias("next"))))
+    opens, item, closes = tag.isin("ol", "ul"), tag == "li", tag.isin("/ol", "/ul") & (depth > 0)
+    lead = F.when(depth > 1, "").otherwise(" ")
+    label = F.when(item, F.when((depth == 0) | (top["kind"] == ""), F.concat(lead, F.lit("* "))).otherwise(F.concat(lead, _counter(top["kind"], top["next"]), F.lit(". "))))
+    step = F.when(opens, F.when(depth > 0, _BREAK).otherwise(_GAP)).when(tag.isin("/ol", "/ul"), F.when(depth > 1, _BREAK).otherwise(_GAP))
+    read = F.struct(piece["rest"].alias("text"), step.when(tag != "", _BREAK).otherwise("").alias("step"), F.transform(stack, lambda x: x["id"]).alias("above"), label.alias("label"))
+    left = F.when(opens, opened).when(item & (depth > 0), counted).when(closes, F.slice(stack, F.lit(1), depth - 1)).otherwise(stack)
+    return F.struct(left.alias("stack"), (state["n"] + opens.cast("int")).alias("n"), F.array_append(state["out"], read).alias("out")).cast(_LIST_STATE)
+
+
+def _with_labels(c: Column) -> Column:
+    """List tags to break marks and labels: bullets, or numbers by ``start`` and ``type``.
+
+    A list inside another starts on the next line, indented by the labels around it; the labels of a list are as wide as its widest.
+    Later lines of one item are not indented.
+    """
+    pieces = split_at(c, r"(?i)(?=</?(?:ol|ul|li)(?:\s[^>]*)?/?>)")
+
+    def parse(p: Column) -> Column:
+        tag = F.lower(F.regexp_extract(p, r"(?i)^<(/?(?:ol|ul|li))(?:\s[^>]*)?/?>", 1))
+        whole = F.when(tag == "", "").otherwise(F.regexp_extract(p, r"^<[^>]*>", 0))
+        start = F.regexp_extract(whole, r"(?i)\sstart\s*=\s*[\"']?(-?\d+)", 1).try_cast("bigint")
+        kind = F.regexp_extract(whole, r"(?i)\stype\s*=\s*[\"']?([1ai])(?![^\s\"'>])", 1)
+        return F.struct(
+            tag.alias("tag"), F.substring(p, F.length(whole) + 1, F.length(p)).alias("rest"), F.coalesce(start, F.lit(1)).alias("start"),
+            F.when(tag == "ol", F.when(kind == "", "1").otherwise(kind)).otherwise("").alias("kind"),
+        )
+
+    def laid_out(out: Column) -> Column:
+        labelled = F.filter(out, lambda o: o["label"].isNotNull())
+
+        def width(list_id: Column) -> Column:
+            own = F.filter(labelled, lambda o: F.get(o["above"], F.size(o["above"]) - 1) == list_id)
+            return F.coalesce(F.array_max(F.transform(own, lambda o: F.length(o["label"]))), F.lit(0))
+
+        def text(o: Column) -> Column:
+            depth = F.size(o["above"])
+            outer = F.aggregate(F.slice(o["above"], F.lit(1), F.greatest(depth - 1, F.lit(0))), F.lit(0), lambda n, i: n + width(i))
+            own = F.when(depth > 0, width(F.get(o["above"], depth - 1))).otherwise(3)
+            padded = F.concat(F.repeat(F.lit(_PAD), outer), F.translate(F.rpad(o["label"], F.greatest(own, F.length(o["label"])), " "), " ", _PAD))
+            marked = F.coalesce(F.concat(F.lit(_LABEL), padded, F.lit(_LABELLED)), F.lit(""))
+            return F.concat(o["step"], marked, o["text"])
+
+        return F.array_join(F.transform(out, text), "")
+
+    start = F.expr("struct(array(), 0, array())").cast(_LIST_STATE)
+    scanned = F.aggregate(F.transform(pieces, parse), start, _list_step, lambda state: state["out"])
+    flat = _replace(
+        c,
+        [
+            (_tags(("ul", "ol")), _GAP),
+            (_tags(("li",), close=""), f"{_BREAK}{_LABEL}{_PAD}*{_PAD}{_LABELLED}"),
+            (_tags(("li",), close="/"), _BREAK),
+        ],
+    )
+    # Bullets on one level need no state; only numbers and nested lists are worth the scan.
+    nested = r"(?i)<ol[\s/>]|<ul[\s/>][^<]*+(?:<(?!/?ul[\s/>])[^<]*+)*+<ul[\s/>]"
+    return F.when(c.rlike(nested), let(scanned, laid_out)).otherwise(flat)
+
+
 def _fragment_text(c: Column) -> Column:
     """Tags to break marks; the marks are resolved once the fragments are joined again."""
     return _replace(
@@ -78,11 +172,12 @@ def _fragment_text(c: Column) -> Column:
         [
             (_SPACES, " "),
             (r"(?i)<br(?:\s[^>]*)?/?>", _FORCED),
+            (r"(?i)<hr(?:\s[^>]*)?/?>", f"{_GAP}{RULE_LINE}{_GAP}"),
+            (_tags(CAPITAL_TAGS, close=""), f"{_GAP}{_UPPER}"),
+            (_tags(CAPITAL_TAGS, close="/"), f"{_LOWER}{_GAP}"),
             (_tags(("h3",), close=""), _GAP),
             (_tags(("h3", *BLOCK_TAGS)), _BREAK),
             (_tags(WIDE_BLOCK_TAGS), _GAP),
-            (_tags(("li",), close=""), f"{_BREAK} * "),
-            (_tags(("li",), close="/"), _BREAK),
             (r"(?s)<[^>]*>", ""),
         ],
     )
@@ -99,29 +194,43 @@ def _row_lines(table: Column) -> Column:
     )
 
 
+def _in_capitals(c: Column) -> Column:
+    """Upper-case what stands between the marks; the text in front of the first mark stays."""
+    cut = F.split(c, _UPPER)
+    upper = F.transform(
+        cut,
+        lambda piece, i: F.when(i == 0, piece).otherwise(
+            F.concat(F.upper(F.substring_index(piece, _LOWER, 1)), F.substring(piece, F.length(F.substring_index(piece, _LOWER, 1)) + 1, F.length(piece)))
+        ),
+    )
+    return F.when(F.contains(c, F.lit(_UPPER)), F.translate(F.array_join(upper, ""), _LOWER, "")).otherwise(F.translate(c, _LOWER, ""))
+
+
 def html_to_text(c: Column | str) -> Column:
-    """Readable text: line breaks for blocks, link text only, tables as piped lines, no wrapping."""
-    marked = F.regexp_replace(visible_html(c), r"(?i)</table\s*>", "\x04")
+    """Readable text: line breaks for blocks, link text only, lists with labels, rules, tables as piped lines, no wrapping."""
+    listed = let(F.translate(visible_html(c), _PAD + _LABEL + _LABELLED + _UPPER + _LOWER, ""), _with_labels)
+    marked = F.regexp_replace(listed, r"(?i)</table\s*>", "\x04")
     fragments = split_at(marked, r"(?i)<table(?:\s[^>]*)?>")
 
     def fragment(part: Column, i: Column) -> Column:
         inside = F.substring_index(part, "\x04", 1)
         after = F.substring(part, F.length(inside) + 2, F.length(part))
-        in_table = F.concat(F.lit(_BREAK), _row_lines(inside), F.lit(_BREAK), _fragment_text(after))
+        cells = F.regexp_replace(inside, f"{_LABEL}[^{_LABELLED}]*{_LABELLED}|[{_BREAK}{_GAP}]", "")
+        in_table = F.concat(F.lit(_BREAK), _row_lines(cells), F.lit(_BREAK), _fragment_text(after))
         return F.when(i == 0, _fragment_text(part)).otherwise(in_table)
 
     joined = F.array_join(F.transform(fragments, fragment), "")
     laid_out = _replace(
         joined,
         [
-            (r" *([\x01\x02\x03\x04\n]) *(?!\* )", "$1"),
+            (r" *([\x01\x02\x03\x04\x0f\n]) *", "$1"),
             (r"[\x01\n]*\x02[\x01\x02\n]*", "\n\n"),
             (r"\n*\x01[\x01\n]*", "\n"),
             (r"\n*\x03", "\n"),
-            ("\x04", ""),
         ],
     )
-    return let(F.btrim(laid_out, F.lit(" \n")), decode_entities)
+    spaced = F.translate(laid_out, f"{_PAD}\x04{_LABEL}{_LABELLED}", " ")
+    return let(let(F.btrim(spaced, F.lit(" \n")), decode_entities), _in_capitals)
 
 
 def tables(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.functions.html import by_tag, columns_map, grid_columns, html_to_text, leaf_elements, table_grid
-from mailloom.functions.text import as_col, blank_to_null, preview
+from mailloom.functions.text import as_col, blank_to_null, let, preview
 from mailloom.operators.filters import MESSAGE_KEYS
 
 
@@ -46,7 +46,8 @@ def body_with_fallback(html: Column | str, text: Column | str, raw: Column | str
 
     Filters leave out the raw text.
     """
-    options = [F.when(blank_to_null(html).isNotNull(), blank_to_null(html_to_text(html))), blank_to_null(text)]
+    rendered = let(F.when(blank_to_null(html).isNotNull(), html_to_text(html)), blank_to_null)
+    options = [rendered, blank_to_null(text)]
     if raw is not None:
         options.append(blank_to_null(raw))
     return F.coalesce(*options, F.lit(""))

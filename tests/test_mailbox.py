@@ -129,6 +129,24 @@ def test_html(evaluate):
     assert text[2:] == ["a &lt; é &bogus; €", "x\ny\n\nT\n\nz", None]
 
 
+def test_html_lists(evaluate):
+    """Numbers, nesting, widths, start and type; rules and capitals; lists in cells, broken markup, control characters."""
+    pages = {
+        "<p>a</p><ul><li>x</li><li>y</li></ul><p>b</p>": "a\n\n * x\n * y\n\nb",
+        "<ol><li>x<ul><li>u</li><li>v<ol><li>w</li></ol></li></ul></li><li>y</li></ol>z": "1. x\n    * u\n    * v\n      1. w\n 2. y\n\nz",
+        "a<ol start=9><li>b<li>c</ol>": "a\n\n 9.  b\n 10. c",
+        "k<OL type='a' start=26><li>p</li><li>q</li></OL><ol type=I start=\"4\"><li>r</li></ol>": "k\n\n z.  p\n aa. q\n\n IV. r",
+        "a<hr>b<h4>caf&eacute; <b>x</b></h4>c": "a\n\n" + "-" * 40 + "\n\nb\n\nCAFÉ X\n\nc",
+        "<table><tr><td><ol><li>q</li></ol></td><td>r</td></tr></table>": "| q | r |",
+        "</ul>a</ol><li>b": "a\n\n * b",
+        "a\x05\x06b\x0e": "ab",
+        "a</h5>b": "a\n\nb",
+    }
+    assert dict(zip(pages, evaluate(html_to_text, list(pages)))) == pages
+    many = "a<ol>" + "".join(f"<li>i{k}</li>" for k in range(1, 1001)) + "</ol>"
+    assert evaluate(html_to_text, [many])[0].splitlines()[-1] == " 1000. i1000"
+
+
 def test_html_tables(evaluate):
     columns = evaluate(lambda c: columns_map(grid_columns(table_grid(c))), [
         mailbox.SURVEY_TABLE, mailbox.SURVEY_CELLS,
