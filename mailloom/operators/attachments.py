@@ -1,4 +1,4 @@
-"""Attachments: part choice, summaries, export names and manifests.
+"""Attachments: summaries, export names and manifests.
 
 Groups are single messages, whose size the mail format bounds, or are cut to 27 rows per name
 before they are shuffled.
@@ -19,14 +19,6 @@ from mailloom.operators.filters import MESSAGE_KEYS, all_of, not_ignored_attachm
 from mailloom.operators.numbering import FOLDER_KEYS, received
 
 
-def first_part(parts: DataFrame, subtype: str, keys: tuple[str, ...] = MESSAGE_KEYS) -> DataFrame:
-    """First ``text/<subtype>`` leaf of each message by its path in the part tree."""
-    leaf = (F.lower("type") == "text") & (F.lower("subtype") == subtype)
-    columns = [c for c in parts.columns if c not in keys]
-    chosen = F.min_by(F.struct(*columns), "path").alias("part")
-    return parts.filter(leaf).groupBy(*keys).agg(chosen).select(*keys, "part.*")
-
-
 def attachment_parts(parts: DataFrame, with_size: bool = False) -> DataFrame:
     """Attachment leaves of a part table with their resolved ``name``."""
     have = set(parts.columns)

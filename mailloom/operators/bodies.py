@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailloom.functions.html import by_tag, columns_map, grid_columns, html_to_text, leaf_elements, table_grid
@@ -10,12 +10,25 @@ from mailloom.functions.text import as_col, blank_to_null, let, preview
 from mailloom.operators.filters import MESSAGE_KEYS
 
 
+def first_part(parts: DataFrame, subtype: str, keys: tuple[str, ...] = MESSAGE_KEYS) -> DataFrame:
+    """First ``text/<subtype>`` leaf of each message by its path in the part tree.
+
+    The path is chosen from keys and paths alone; contents come in by a join for the chosen leaf, so a message moves one
+    content, whatever the number of its parts. A path listed twice gives one of its rows. Parts without a path or with a
+    null key belong to no message.
+    """
+    leaf = parts.filter((F.lower("type") == "text") & (F.lower("subtype") == subtype))
+    first = leaf.groupBy(*keys).agg(F.min("path").alias("_first"))
+    rows = leaf.join(first, list(keys)).filter(F.col("path") <= F.col("_first"))
+    nth = F.count(F.lit(1)).over(Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_first", nth).filter(F.col("_first") == 1).select(*keys, *[c for c in parts.columns if c not in keys])
+
+
 def part_bodies(
     messages: DataFrame, parts: DataFrame, subtype: str, name: str, keys: tuple[str, ...] = MESSAGE_KEYS
 ) -> DataFrame:
     """Add the content of the first ``text/<subtype>`` part as column ``name``."""
-    leaf = (F.lower("type") == "text") & (F.lower("subtype") == subtype)
-    chosen = parts.filter(leaf).groupBy(*keys).agg(F.min_by("content", "path").alias(name))
+    chosen = first_part(parts, subtype, keys).select(*keys, F.col("content").alias(name))
     return messages.join(chosen, list(keys), "left")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from mailloom.sources.messages import split_recipients
 
 # Output fields in their order.
 FIELDS = ("from", "to", "date", "subject", "attachment", "body")
+#: Name of the output in a folder target.
+RESPONSE_NAME = "response.txt"
 
 
 def project(df: DataFrame, field: str, *keys: str) -> DataFrame:
@@ -31,9 +34,21 @@ def text_block(number: Column | None = None, fields: tuple[str, ...] = FIELDS) -
     return F.concat_ws("\n", *lines)
 
 
-def write_text(df: DataFrame, path: str, number: Column | None = None) -> None:
-    """Write text blocks; existing output is never replaced."""
-    df.select(text_block(number).alias("value")).write.mode("errorifexists").text(path)
+def output_target(path: str) -> str:
+    """Where output for this path goes: a path whose last name has an extension is the output itself, any other, and one that
+    ends with a separator, is a folder that gets a default name. Spark writes an output as a directory, so the name decides
+    and not what is on the storage."""
+    folder = path.rstrip("/\\")
+    name = re.split(r"[/\\]", folder)[-1]
+    is_output = folder == path and os.path.splitext(name)[1] not in ("", ".")
+    return path if is_output else f"{folder}/{RESPONSE_NAME}"
+
+
+def write_text(df: DataFrame, path: str, number: Column | None = None) -> str:
+    """Write text blocks to the path's ``output_target`` and return that; existing output is never replaced."""
+    target = output_target(path)
+    df.select(text_block(number).alias("value")).write.mode("errorifexists").text(target)
+    return target
 
 
 def json_record(number: str = "email_no") -> Column:

@@ -63,8 +63,8 @@ def test_accounts_stay_texts(spark, tmp_path):
 def test_text_and_json(spark, tmp_path):
     df = spark.createDataFrame([(1, "a@x", "b@y, c@z", "d", "s", "false", None)],
                                "email_no int, from string, to string, date string, subject string, attachment string, body string")
-    sinks.write_text(df, str(tmp_path / "t"), F.col("email_no"))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "t")).collect()][:3] == ["=== Email #1 ===", "From: a@x", "To: b@y, c@z"]
+    assert sinks.write_text(df, str(tmp_path / "t"), F.col("email_no")) == str(tmp_path / "t" / sinks.RESPONSE_NAME)
+    assert [r[0] for r in spark.read.text(str(tmp_path / "t" / sinks.RESPONSE_NAME)).collect()][:3] == ["=== Email #1 ===", "From: a@x", "To: b@y, c@z"]
     with pytest.raises(Exception, match="already exists"):
         sinks.write_text(df, str(tmp_path / "t"))
     sinks.write_json(df, str(tmp_path / "j"))
@@ -72,6 +72,13 @@ def test_text_and_json(spark, tmp_path):
     assert row["Email"] == 1 and row["To"] == ["b@y", "c@z"] and row["Body"] is None
 
 
+@pytest.mark.parametrize(("path", "target"), [
+    ("/out/mail.txt", "/out/mail.txt"), ("s3a://b/out/x.log", "s3a://b/out/x.log"), ("/out", "/out/response.txt"),
+    ("/out/", "/out/response.txt"), ("/out.d/", "/out.d/response.txt"), ("/a.b/out", "/a.b/out/response.txt"), (".hidden", ".hidden/response.txt")])
+def test_folder_targets_have_a_default_name(path, target):
+    assert sinks.output_target(path) == target
+
+
 def test_file_export_and_listing(spark, tmp_path):
     out = str(tmp_path / "out")
     df = spark.createDataFrame([("a.pdf", bytearray(b"1")), ("b/c.pdf", bytearray(b"2"))], "target string, content binary")

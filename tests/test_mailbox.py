@@ -14,7 +14,7 @@ from mailloom.functions.html import columns_map, decode_entities, grid_columns,
 from mailloom.functions.mime import extension
 from mailloom.operators import counts, filters, numbering
 from mailloom.operators.attachments import attachment_parts, export_names
-from mailloom.operators.bodies import body_with_fallback, refetched
+from mailloom.operators.bodies import body_with_fallback, first_part, part_bodies, refetched
 from mailloom.operators.counts import count_by_folder, position_pieces
 from mailloom.operators.filters import criteria
 from mailloom.operators.folders import flatten_tree, move_in_table, move_messages, moved_messages, resolve_folders, target_folder
@@ -320,3 +320,18 @@ def test_refetch_takes_one_raw_row(spark):
     mail = spark.createDataFrame([(1, " "), (2, "kept"), (3, None), (4, "")], "uid int, body string")
     raw = spark.createDataFrame([(1, " "), (1, "b"), (1, "a"), (2, "other"), (3, None), (3, None)], "uid int, raw_text string")
     assert sorted((r["uid"], r["body"]) for r in refetched(mail, raw, keys=("uid",)).collect()) == [(1, "a"), (2, "kept"), (3, None), (4, None)]
+
+
+def test_first_parts(spark):
+    """Smallest path of the wanted kind; a path listed twice gives one row; no sorting aggregate moves contents."""
+    rows = [("a", "I", 1, 2, "text", "PLAIN", "second"), ("a", "I", 1, 1, "TEXT", "plain", "first"), ("a", "I", 1, 0, "text", "html", "<p>"),
+            ("a", "I", 2, 3, "text", "plain", "twice"), ("a", "I", 2, 3, "text", "plain", "twice"), ("a", "I", 3, 1, "image", "png", "x"),
+            ("b", "I", 1, 5, "text", "plain", None), ("b", "I", 4, None, "text", "plain", "no path"), (None, "I", 1, 1, "text", "plain", "no key")]
+    parts = spark.createDataFrame(rows, "account string, folder string, uid int, path int, type string, subtype string, content string")
+    found = first_part(parts, "plain")
+    assert found.columns == parts.columns
+    assert sorted((r["account"], r["uid"], r["path"], r["content"] or "") for r in found.collect()) == [("a", 1, 1, "first"), ("a", 2, 3, "twice"), ("b", 1, 5, "")]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    messages = spark.createDataFrame([("a", "I", u) for u in (1, 2, 3)], "account string, folder string, uid int")
+    assert sorted((r["uid"], r["t"]) for r in part_bodies(messages, parts, "plain", "t").collect() if r["t"]) == [(1, "first"), (2, "twice")]
+    assert part_bodies(messages, parts, "html", "h").count() == 3 and first_part(parts.limit(0), "html").count() == 0

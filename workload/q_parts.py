@@ -71,7 +71,7 @@ def _first_sql(subtype: str) -> str:
 
 
 def _first(v: Views, subtype: str) -> DataFrame:
-    found = A.first_part(v.parts, subtype, ("uid",))
+    found = bodies.first_part(v.parts, subtype, ("uid",))
     return found.select("uid", F.col("path").cast("bigint").alias("path"), "type")
 
 
