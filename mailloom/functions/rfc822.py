@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from mailloom.functions.text import CUT, let
 
 LATIN = "ISO-8859-1"
+#: Length of a substring that goes to the end.
+BIG = 2**31 - 1
 _WRONG_CUT = "\ufffe"
 # Zones that dates may name, in minutes from UTC; any other name counts as UTC.
 ZONES = {"est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420}
@@ -40,24 +42,31 @@ def to_bytes(c: Column) -> Column:
 
 
 def head_and_body(entity: Column) -> Column:
-    """``struct(head, body)`` cut at the first blank line; folded header lines are joined, their blanks kept."""
+    """``struct(head, body)`` cut at the first blank line; folded header lines are joined, their blanks kept.
+
+    Plain searches only: a pattern would step through the text.
+    """
 
     def cut(text: Column) -> Column:
-        head = F.regexp_extract(text, r"(?s)^(.*?)(?:\r?\n\r?\n|\z)", 1)
-        return F.struct(
-            F.regexp_replace(head, r"\r?\n(?=[ \t])|\r(?=\n|\z)", "").alias("head"),
-            F.regexp_extract(text, r"(?s)\n\r?\n(.*)\z", 1).alias("body"),
-        )
+        short, long = F.substring_index(text, "\n\n", 1), F.substring_index(text, "\n\r\n", 1)
+        return let(F.struct(F.length(short).alias("s"), F.length(long).alias("l"), short.alias("short"), long.alias("long")), lambda x: F.struct(
+            _unfolded(F.when(x["s"] <= x["l"], x["short"]).otherwise(x["long"])).alias("head"),
+            F.when(x["s"] < x["l"], F.substring(text, x["s"] + 3, BIG)).when(x["s"] > x["l"], F.substring(text, x["l"] + 4, BIG)).otherwise("").alias("body")))
 
     return let(F.concat(F.lit("\n"), entity), cut)
 
 
+def _unfolded(head: Column) -> Column:
+    lines = F.rtrim(F.replace(head, F.lit("\r\n"), F.lit("\n")), F.lit("\r"))
+    return F.replace(F.replace(lines, F.lit("\n "), F.lit(" ")), F.lit("\n\t"), F.lit("\t"))
+
+
 def header_lines(head: Column) -> Column:
     """``array<struct<name, value>>`` of a joined header block, names in lower case."""
-    lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[!-9;-~]+[ \t]*:"))
+    lines = F.filter(F.split(head, "\n"), lambda x: F.locate(":", x) > 1)
     return F.transform(lines, lambda x: F.struct(
-        F.lower(F.rtrim(F.substring_index(x, ":", 1))).alias("name"),
-        F.btrim(F.substring(x, F.locate(":", x) + 1, F.length(x)), F.lit(" \t\r")).alias("value")))
+        F.lower(F.rtrim(F.substring_index(x, ":", 1), F.lit(" \t"))).alias("name"),
+        F.btrim(F.substring(x, F.locate(":", x) + 1, BIG), F.lit(" \t\r")).alias("value")))
 
 
 def field(head: Column, name: str) -> Column:
@@ -68,7 +77,7 @@ def field(head: Column, name: str) -> Column:
 def parameter(value: Column, name: str) -> Column:
     """A parameter of a header value, quoted or not; empty without it."""
     both = F.regexp_extract(value, rf'(?i)[; \t]{name}[ \t]*=[ \t]*("[^"]*"|[^; \t"]*)', 1)
-    return F.btrim(both, F.lit('"'))
+    return F.when(F.contains(value, F.lit(";")), F.btrim(both, F.lit('"'))).otherwise("")
 
 
 def long_parameter(value: Column, name: str) -> Column:
@@ -76,7 +85,8 @@ def long_parameter(value: Column, name: str) -> Column:
     pieces = F.regexp_extract_all(value, F.lit(rf'(?i)[; \t]{name}\*(?:\d+\*?)?[ \t]*=[ \t]*("[^"]*"|[^; \t"]*)'), F.lit(1))
     joined = F.array_join(F.transform(pieces, lambda x: F.btrim(x, F.lit('"'))), "")
     text = F.regexp_replace(joined, r"^[A-Za-z0-9_-]*'[A-Za-z-]*'", "")
-    return F.coalesce(F.nullif(percent_decoded(text), F.lit("")), F.nullif(parameter(value, name), F.lit("")))
+    extended = F.when(F.contains(value, F.lit("*")), F.nullif(percent_decoded(text), F.lit("")))
+    return F.coalesce(extended, F.nullif(parameter(value, name), F.lit("")))
 
 
 def _hex_decoded(text: Column, sign: str) -> Column:
@@ -84,7 +94,7 @@ def _hex_decoded(text: Column, sign: str) -> Column:
 
     def piece(x: Column, i: Column) -> Column:
         code = F.char(F.conv(F.substring(x, 1, 2), 16, 10).cast("int"))
-        decoded = F.concat(code, F.substring(x, 3, 1 << 30))
+        decoded = F.concat(code, F.substring(x, 3, BIG))
         return F.when(i == 0, x).when(x.rlike("^[0-9A-Fa-f]{2}"), decoded).otherwise(F.concat(F.lit(sign), x))
 
     return F.when(F.contains(text, F.lit(sign)), F.array_join(F.transform(F.split(text, sign), piece), "")).otherwise(text)
@@ -135,7 +145,12 @@ def charset_text(content: Column, charset: Column) -> Column:
 
 def sent_at(date: Column) -> Column:
     """A ``Date`` header in UTC, without zone; null if it names no time. A date without a zone is taken as UTC."""
-    day, month, year, hour, minute, second, zone = (F.regexp_extract(date, _DATE, i) for i in range(1, 8))
+    fields = F.split(F.regexp_replace(date, f"{_DATE}.*", "$1/$2/$3/$4/$5/$6/$7"), "/")
+    return let(F.when(date.rlike(_DATE), fields), _at)
+
+
+def _at(fields: Column) -> Column:
+    day, month, year, hour, minute, second, zone = (F.get(fields, F.lit(i)) for i in range(7))
     number = year.try_cast("int")
     full = F.when(F.length(year) == 4, number).when(number <= 68, number + 2000).otherwise(number + 1900)
     at = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(month)).cast("int")
@@ -165,7 +180,8 @@ def _children(entity: Column) -> Column:
     def entities(pieces: Column) -> Column:
         close = F.array_position(F.transform(pieces, lambda p: F.startswith(p, F.lit("--"))), F.lit(True))
         inner = F.slice(pieces, F.lit(2), F.when(close > 0, close - 2).otherwise(F.size(pieces) - 1).cast("int"))
-        texts = F.transform(inner, lambda p: F.regexp_replace(p, r"^[ \t]*\r?\n|\r\z", ""))
+        texts = F.transform(inner, lambda p: F.when(F.contains(p, F.lit("\n")), F.substring(
+            p, F.locate("\n", p) + 1, F.length(p) - F.locate("\n", p) - F.endswith(p, F.lit("\r")).cast("int"))).otherwise(""))
         return F.when(F.size(pieces) == 1, F.array(F.concat(F.lit("\n"), entity["body"]))).otherwise(texts)
 
     marked = F.replace(F.concat(F.lit("\n"), entity["body"]), line, F.lit(CUT))
@@ -179,25 +195,27 @@ def leaves(message: Column) -> Column:
 
     Every step opens the multipart entities one level deeper; a message has no more levels than boundaries.
     """
-    steps = F.regexp_count(message, F.lit("(?i)boundary"))
-    levels = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    word = "boundary"
+    steps = F.length(message) - F.length(F.replace(F.lower(message), F.lit(word), F.lit(word[1:])))
+    levels = let(steps, lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
 
     def opened(parts: Column, _: Column) -> Column:
         deeper = F.flatten(F.transform(parts, lambda e: F.when(e["boundary"] != "", _children(e)).otherwise(F.array(e))))
         return F.when(F.exists(parts, lambda e: e["boundary"] != ""), deeper).otherwise(parts)
 
-    return F.aggregate(levels, F.array(_entity(message)), opened)
+    return F.when(message.isNotNull(), F.aggregate(levels, F.array(_entity(message)), opened))
 
 
 def part(leaf: Column) -> Column:
     """What a leaf's header block says, and its bytes."""
 
     def described(h: Column) -> Column:
-        kind = F.when(h["type"].rlike(r"^[a-z0-9.+-]+/[a-z0-9.+-]+"), F.regexp_extract(h["type"], r"^[a-z0-9.+/-]+", 0)).otherwise("text/plain")
+        named = F.btrim(F.substring_index(h["type"], ";", 1), F.lit(" \t\r"))
+        kind = F.when(F.contains(named, F.lit("/")), named).otherwise("text/plain")
         name = F.coalesce(long_parameter(h["shown"], "filename"), long_parameter(h["kind"], "name"))
         return F.struct(
             F.substring_index(kind, "/", 1).alias("type"), F.substring_index(kind, "/", -1).alias("subtype"),
-            F.nullif(F.regexp_extract(F.lower(h["shown"]), r"^[a-z]+", 0), F.lit("")).alias("disposition"),
+            F.nullif(F.lower(F.btrim(F.substring_index(h["shown"], ";", 1), F.lit(" \t\r"))), F.lit("")).alias("disposition"),
             utf8_text(to_bytes(name)).alias("name"), F.lower(parameter(h["kind"], "charset")).alias("charset"),
             content_bytes(leaf["body"], h["encoding"]).alias("content"),
         )
