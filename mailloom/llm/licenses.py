@@ -1,6 +1,7 @@
 """License scans: phrases, and license templates with optional and replaceable regions.
 
-A template is written in words with ``[...]`` around an optional region and ``{n}`` for a replaceable one of up to n words.
+A template is written in words with ``[...]`` around an optional region, which may hold others, and ``{n}`` for a replaceable
+one of up to n words.
 It is compiled into an automaton over tokens: a state for each place in the wording, a transition for each word, and a free
 step past an optional region. A text is accepted where its words follow the mandatory wording exactly.
 """
@@ -17,15 +18,32 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels, fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Templates of this library.
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
+    "are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following "
+    "disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+    "disclaimer in the documentation and or other materials provided with the distribution"
+)
+_GNU = "free software you can redistribute it and or modify it under the terms of the gnu"
+#: Templates of this library: short notices, and the operative wording of the licenses themselves.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license [version] 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that {6} conditions are met",
+    "bsd-2-clause": _BSD,
+    "bsd-3-clause": f"{_BSD} [3] neither the name of {{12}} may be used to endorse or promote products derived from this software without specific prior written permission",
     "cc-by-nc-4.0": "licensed under [the] [creative commons] cc by nc 4 0 [license]",
+    "cc-notice": "licensed under [a [new]] creative commons attribution [[non] commercial] [noncommercial] [share alike] [sharealike] [noderivatives] {2} international license",
     "copyright-notice": "copyright [c] {6} all rights reserved",
     "gpl-3.0": "licensed under the gnu general public license [version] 3 [or any later version]",
+    "gpl-notice": f"{_GNU} general public license [version {{1}}] as published by the free software foundation",
+    "isc": "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl-notice": f"{_GNU} lesser general public license [version {{1}}] as published by the free software foundation",
     "mit": "released under the mit license",
+    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of {8} and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of {8} and associated documentation files",
+    "mit-notice": "licensed under the mit license",
+    "mpl-2.0": "subject to the terms of the mozilla public license [v] [version] 2 0",
+    "spdx": "spdx license identifier",
 }
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 ANY = None
@@ -41,27 +59,29 @@ class Automaton:
 
     @classmethod
     def compile(cls, template: str) -> Automaton:
-        pieces = re.findall(r"\[[^\]]*\]|\{\d+\}|\S+", template.lower())
-        while pieces and not pieces[0][0].isalnum():
-            pieces.pop(0)  # a region at either end cannot decide whether a text is accepted
-        while pieces and not pieces[-1][0].isalnum():
-            pieces.pop()
-        lead = []
+        pieces = re.findall(r"\{\d+\}|[\[\]]|[^\s\[\]{}]+", template.lower())
+        depth, first = 0, 0
+        for first, piece in enumerate(pieces):  # a region in front cannot decide whether a text is accepted
+            depth += (piece == "[") - (piece == "]")
+            if not depth and piece[0] not in "]{":
+                break
+        pieces, lead = pieces[first:], []
         for piece in pieces:
-            if not piece[0].isalnum():
+            if piece[0] in "[{":
                 break
             lead.append(piece.encode())
-        out = cls(b" ".join(lead))
+        out, opened = cls(b" ".join(lead)), []
         for piece in pieces:
-            start = len(out.steps) - 1
-            if piece[0] == "{":
+            if piece == "[":
+                opened.append(len(out.steps) - 1)
+            elif piece == "]":
+                start = opened.pop()
+                out.skips[start].append(len(out.steps) - 1)
+            elif piece[0] == "{":
                 for _ in range(int(piece[1:-1])):
                     out._step(ANY, free=True)
             else:
-                for word in piece.strip("[]").split():
-                    out._step(word.encode())
-                if piece[0] == "[":
-                    out.skips[start].append(len(out.steps) - 1)
+                out._step(piece.encode())
         return out
 
     def _step(self, word: bytes | None, free: bool = False) -> None:

@@ -155,11 +155,21 @@ m AS (
     list_filter([
       CASE WHEN regexp_matches(t, ' licensed under the apache license (version )?2 0 ') THEN 'apache-2.0' END,
       CASE WHEN regexp_matches(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that ([^ ]+ ){0,6}conditions are met ') THEN 'bsd' END,
+      CASE WHEN regexp_matches(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer (2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution ') THEN 'bsd-2-clause' END,
+      CASE WHEN regexp_matches(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer (2 )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution (3 )?neither the name of ([^ ]+ ){0,12}may be used to endorse or promote products derived from this software without specific prior written permission ') THEN 'bsd-3-clause' END,
       CASE WHEN regexp_matches(t, ' licensed under (the )?(creative commons )?cc by nc 4 0 ') THEN 'cc-by-nc-4.0' END,
+      CASE WHEN regexp_matches(t, ' licensed under (a (new )?)?creative commons attribution ((non )?commercial )?(noncommercial )?(share alike )?(sharealike )?(noderivatives )?([^ ]+ ){0,2}international license ') THEN 'cc-notice' END,
       CASE WHEN regexp_matches(t, ' copyright (c )?([^ ]+ ){0,6}all rights reserved ') THEN 'copyright-notice' END,
       CASE WHEN regexp_matches(t, ' licensed under the gnu general public license (version )?3 ') THEN 'gpl-3.0' END,
+      CASE WHEN regexp_matches(t, ' free software you can redistribute it and or modify it under the terms of the gnu general public license (version ([^ ]+ )?)?as published by the free software foundation ') THEN 'gpl-notice' END,
+      CASE WHEN regexp_matches(t, ' permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies ') THEN 'isc' END,
+      CASE WHEN regexp_matches(t, ' free software you can redistribute it and or modify it under the terms of the gnu lesser general public license (version ([^ ]+ )?)?as published by the free software foundation ') THEN 'lgpl-notice' END,
       CASE WHEN regexp_matches(t, ' released under the mit license ') THEN 'mit' END,
-      CASE WHEN regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of ([^ ]+ ){0,8}and associated documentation files ') THEN 'mit-grant' END
+      CASE WHEN regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of ([^ ]+ ){0,8}and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice (including the next paragraph )?shall be included in all copies or substantial portions of the software ') THEN 'mit-full' END,
+      CASE WHEN regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of ([^ ]+ ){0,8}and associated documentation files ') THEN 'mit-grant' END,
+      CASE WHEN regexp_matches(t, ' licensed under the mit license ') THEN 'mit-notice' END,
+      CASE WHEN regexp_matches(t, ' subject to the terms of the mozilla public license (v )?(version )?2 0 ') THEN 'mpl-2.0' END,
+      CASE WHEN regexp_matches(t, ' spdx license identifier ') THEN 'spdx' END
     ], lambda x: x IS NOT NULL) AS more
   FROM t)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word,

@@ -299,6 +299,18 @@ def test_hnsw(spark):
         ("copyright a b c d e f g all rights reserved", "reserved", "reserved", [8]),
         ("licensed under licensed under cc by nc 4 0", "cc-by,cc-by-nc-4.0", "cc-by", [4]),
         ("ALL RIGHTS RESERVED É", "reserved", "reserved", [0]),
+        ("Licensed under the MIT License.", "mit-notice", "", []),
+        ("licensed by the MIT license", "", "", []),
+        ("// SPDX-License-Identifier: Zlib", "spdx", "", []),
+        ("It is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl,gpl-notice", "gpl", [18]),
+        ("free software you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2 as published by the free software foundation", "gpl,lgpl-notice", "gpl", [17]),
+        ("free software you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl", "gpl", [12]),
+        ("subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2.0", "", []),
+        ("subject to the terms of the Mozilla Public License, v. 1.1", "", "", []),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc", "", []),
+        ("Permission to use, copy, modify, and distribute this software for any purpose without fee is hereby granted", "", "", []),
+        ("licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-notice", "", []),
+        ("licensed under new Creative Commons Attribution 4.0 International License", "", "", []),
         (None, "", "", []),
         ("", "", "", []),
     ],
@@ -310,6 +322,46 @@ def test_licenses(spark, text, labels, base, places):
     assert got["score"] == (1.0 if labels != base else 0.5 if base else 0.0)
 
 
+def _plain_match(pieces, words, at):
+    """Every end of a template's wording that begins at a word, by trying each choice."""
+    if not pieces:
+        return {at}
+    head, rest = pieces[0], pieces[1:]
+    if isinstance(head, list):
+        return _plain_match(head + rest, words, at) | _plain_match(rest, words, at)
+    if isinstance(head, int):
+        return set().union(*(_plain_match(rest, words, at + k) for k in range(head + 1) if at + k <= len(words)))
+    return _plain_match(rest, words, at + 1) if at < len(words) and words[at] == head else set()
+
+
+def test_license_automata_equal_brute_force():
+    rng = random.Random(8)
+
+    def pieces(depth):
+        return [pieces(depth - 1) if depth and x < 0.25 else rng.randrange(3) if x < 0.35 else rng.choice("ab") for x in (rng.random() for _ in range(rng.randrange(1, 4)))]
+
+    def written(ps):
+        return " ".join(f"[{written(p)}]" if isinstance(p, list) else f"{{{p}}}" if isinstance(p, int) else p for p in ps)
+
+    for _ in range(400):
+        template = ["a", *pieces(3)]
+        automaton = licenses.Automaton.compile(written(template))
+        for _ in range(20):
+            words = [rng.choice("abc") for _ in range(rng.randrange(12))]
+            for at in range(len(words)):
+                assert automaton.accepts([w.encode() for w in words], at) == min(_plain_match(template, words, at), default=None)
+
+
+def test_license_odd_rows(spark):
+    full = " ".join(licenses.TEMPLATES["bsd-3-clause"].replace("[", "").replace("]", "").replace("{12}", "the owner nor the names of its contributors").split())
+    rows = [(1, full.upper()), (1, full), (2, "word " * 300000 + licenses.TEMPLATES["isc"].replace("[or]", "")), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("labels", F.lit("own")).withColumn("score", F.lit(-1))
+    found = docs.select("doc_id", "labels", licenses.scan(F.col("text")).alias("s")).collect()
+    assert sorted((r["doc_id"] or 0, r["s"]["labels"]) for r in found) == [(0, ""), (1, "bsd,bsd-2-clause,bsd-3-clause"), (1, "bsd,bsd-2-clause,bsd-3-clause"), (2, "isc")]
+    assert [m["start"] for r in found if r["doc_id"] == 2 for m in r["s"]["matches"]] == [300000]
+    assert docs.limit(0).select(licenses.scan(F.col("text"))).count() == 0
+
+
 def test_url_filter(spark):
     rules = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
     given = [
