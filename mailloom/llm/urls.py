@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from mailloom.llm.common import col, fresh
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Folds of the labelled urls for the statistics of suffixes.
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digits", "host_digits", "dashes", "parameters", "entropy", "suffix_share", "suffix_seen", "extension")
 
 
@@ -68,12 +70,32 @@ def features(df: DataFrame, url: str, host_: str, path_: str) -> DataFrame:
     })
 
 
+def fold(address: Column) -> Column:
+    """The fold of a url; equal urls are in one fold."""
+    return F.pmod(F.xxhash64(F.lit("fold"), address), F.lit(FOLDS))
+
+
+def with_suffix_shares(rows: DataFrame, labelled: DataFrame, rate: float) -> DataFrame:
+    """``rows`` with the share of allowed urls and the number of urls that ``labelled (host, label, fold)`` has for their suffix.
+
+    A row leaves out the labelled urls of its ``own_fold``, so a training row's statistics do not hold its own label; no
+    fold has the number ``FOLDS``. Shares lean towards ``rate`` by ten urls. The statistics are broadcast: they have at most
+    a row for each labelled url and fold, and the labelled urls are bounded.
+    """
+    sums = labelled.groupBy(suffix(F.col("host")).alias("suffix")).pivot("fold", list(range(FOLDS))).agg(F.sum("label").alias("s"), F.count("label").alias("n"))
+    sums = sums.fillna(0)
+    kept = [(F.col("own_fold") != k, F.col(f"{k}_s"), F.col(f"{k}_n")) for k in range(FOLDS)]
+    allowed, seen = (sum((F.when(use, pair[i]).otherwise(0.0) for use, *pair in kept), F.lit(0.0)) for i in (0, 1))
+    joined = rows.join(F.broadcast(sums), "suffix", "left").fillna(0, [f"{k}_{x}" for k in range(FOLDS) for x in "sn"])
+    return joined.withColumns({"suffix_share": (allowed + 10 * rate) / (seen + 10), "suffix_seen": F.log1p(seen)})
+
+
 def judge(pages: DataFrame, rules: dict[str, str], *, url: str = "url", train_rows: int = 20000, trees: int = 10, depth: int = 3, seed: int = 7) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` (allow or block) and ``score`` (share of allow, 0 to 1).
 
     ``rules`` gives allow or block for each ``host/path``. A url that a rule fits has that rule's verdict; such urls are also
     the labelled ones from which the trees learn, about ``train_rows`` of them, chosen by a hash of the url, so that the
-    statistics of suffixes, which are broadcast, are bounded too. Each other url, a null or empty one included, has the
+    statistics of suffixes, which are broadcast, are bounded too; a training row takes them from the other folds. Each other url, a null or empty one included, has the
     verdict of the trees (allow from 0.5). If the labelled urls hold one verdict only, or none, the trees are left out: that
     verdict, or allow. Repeated rows have equal verdicts; existing columns of the added names are replaced.
     """
@@ -95,16 +117,16 @@ def judge(pages: DataFrame, rules: dict[str, str], *, url: str = "url", train_ro
     share = min(1 << 30, (1 << 30) * train_rows // sum(sizes.values()) + 1)
     chosen = rows.where(F.col("given").isNotNull() & (F.pmod(F.xxhash64(address), F.lit(1 << 30)) < share))
     chosen = chosen.select(address, "host", "path", (F.col("given") == "allow").cast("double").alias("label"))
+    chosen = chosen.withColumn("fold", fold(F.col(address)))
     rate = chosen.agg(F.avg("label")).first()[0] or 0.5
-    stats = chosen.groupBy(suffix(F.col("host")).alias("suffix")).agg(((F.sum("label") + 10 * rate) / (F.count(F.lit(1)) + 10)).alias("suffix_share"), F.log1p(F.count(F.lit(1))).alias("suffix_seen"))
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
-    def ready(df: DataFrame) -> DataFrame:
-        own = features(df.withColumn("suffix", suffix(F.col("host"))), address, "host", "path")
-        own = own.join(F.broadcast(stats), "suffix", "left")
-        return assemble.transform(own.fillna({"suffix_share": rate, "suffix_seen": 0.0}))
+    def ready(df: DataFrame, own_fold: Column) -> DataFrame:
+        own = features(df.withColumns({"suffix": suffix(F.col("host")), "own_fold": own_fold}), address, "host", "path")
+        return assemble.transform(with_suffix_shares(own, chosen, rate))
 
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(ready(chosen).select("features", "label"))
-    judged = model.transform(ready(rows)).withColumn("score", vector_to_array("probability")[1])
+    train = ready(chosen.drop("fold"), fold(F.col(address)))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(train.select("features", "label"))
+    judged = model.transform(ready(rows, F.lit(FOLDS))).withColumn("score", vector_to_array("probability")[1])
     learned = F.when(F.col("score") >= 0.5, "allow").otherwise("block")
     return judged.select(*out, "host", "path", "rule", F.coalesce("given", learned).alias("verdict"), "score")

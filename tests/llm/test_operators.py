@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -382,6 +383,50 @@ def test_url_filter(spark):
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_url_features_equal_brute_force(spark):
+    rng = random.Random(5)
+    given = ["".join(rng.choice("ab1.-/?&=:é9") for _ in range(rng.randrange(30))) for _ in range(200)]
+    given = ["http://" + u for u in given[:150]] + given[150:] + ["", None, "http://x.org/" + "a1/" * 3000 + "f.html"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, url string").withColumns({"h": urls.host(F.col("url")), "p": urls.path(F.col("url"))})
+    for r in urls.features(rows, "url", "h", "p").collect():
+        u = r["url"] or ""
+        after = u.split("://", 1)[1] if "://" in u else ""
+        h = re.split("[/?#]", after)[0]
+        p = re.split("[?#]", after[len(h):])[0] if after else ""
+        assert (r["h"], r["p"]) == (h, p)
+        assert [r["length"], r["host_length"], r["path_length"], r["labels"], r["depth"]] == [len(u), len(h), len(p), h.count("."), p.count("/")]
+        assert [r["digits"], r["host_digits"], r["dashes"]] == pytest.approx([sum(c in "0123456789" for c in u) / max(1, len(u)), sum(c in "0123456789" for c in h) / max(1, len(h)), h.count("-") / max(1, len(h))])
+        assert r["parameters"] == u.count("?") + u.count("&")
+        assert r["entropy"] == pytest.approx(-sum(u.count(c) / len(u) * math.log2(u.count(c) / len(u)) for c in set(u)))
+
+
+def test_suffix_shares_leave_out_the_own_fold(spark):
+    rng = random.Random(6)
+    labelled = [(f"h{k}.{rng.choice(['org', 'com', 'net'])}", float(rng.random() < 0.6), rng.randrange(urls.FOLDS)) for k in range(300)]
+    asked = [(s, f) for s in ("org", "com", "net", "none") for f in range(urls.FOLDS + 1)]
+    rows = spark.createDataFrame(asked, "suffix string, own_fold int")
+    found = urls.with_suffix_shares(rows, spark.createDataFrame(labelled, "host string, label double, fold int"), 0.6).collect()
+    assert len(found) == len(asked)
+    for r in found:
+        own = [label for h, label, f in labelled if h.endswith("." + r["suffix"]) and f != r["own_fold"]]
+        assert (r["suffix_share"], r["suffix_seen"]) == pytest.approx(((sum(own) + 6) / (len(own) + 10), math.log1p(len(own))))
+
+
+def test_trees_judge_held_out_urls(spark):
+    """Labels that follow from the form of the path, so suffixes alone do not tell them; the judged hosts are new."""
+    rng = random.Random(7)
+
+    def url(k, bad):
+        path = "/".join("".join(rng.choice("0123456789" if bad else "abcdefgh") for _ in range(6)) for _ in range(rng.randrange(1, 4)))
+        return f"{path}"
+
+    rules = {"org/": "allow", "com/": "block"}
+    train = [(k, f"http://h{k}.{'com' if k % 2 else 'org'}/{url(k, k % 2)}") for k in range(400)]
+    held = [(1000 + k, f"http://n{k}.net/{url(k, k % 2)}") for k in range(200)]
+    found = urls.judge(spark.createDataFrame(train + held, "page_id long, url string"), rules).where("page_id >= 1000").collect()
+    assert sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in found) >= 190
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(4)
     pieces = ["### ", "</turn>", "\\", "\n", ": ", "user", " ", "é", "### assistant: ", "\n</turn>\n", "%3A"]
