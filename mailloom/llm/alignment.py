@@ -201,6 +201,8 @@ class _Gathered:
             pair = keys >> 24
             for plane in range(-1, int(more.max()).bit_length()):
                 at = np.flatnonzero(more >> plane & 1) if plane >= 0 else np.arange(len(pair))
+                if not len(at):  # no number of further links has this bit
+                    continue
                 own, chunk, low = pair[at], row[at] >> _BITS, row[at] & (1 << _BITS) - 1
                 firsts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (chunk[1:] != chunk[:-1])]))
                 bounds = np.append(firsts, len(own))

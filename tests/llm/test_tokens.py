@@ -142,3 +142,12 @@ def test_containers():
     found = [r for batch in gathered.containers() for r in batch.to_pylist()]
     held = {(r["a"], r["b"], r["chunk"], r["plane"]): np.frombuffer(r["docs"], "<u2").tolist() for r in found}
     assert held == {(3, 9, 0, -1): [5, 6, 7], (3, 9, 1, -1): [0], (4, 9, 0, -1): [5], (3, 9, 0, 0): [5], (3, 9, 1, 0): [0]}
+
+
+def test_containers_skip_planes_without_a_bit():
+    """A pair linked three times, or six: no number of further links has bit 0, or bit 1."""
+    for times, planes in ((3, [1]), (6, [0, 2])):
+        gathered = alignment._Gathered()
+        gathered.add(np.array([4]), alignment._Slice(None, None, None, np.zeros(times, int), np.full(times, 3), np.full(times, 9)))
+        found = [r for batch in gathered.containers() for r in batch.to_pylist()]
+        assert [(r["a"], r["b"], r["plane"], r["card"]) for r in found] == [(3, 9, p, 1) for p in (-1, *planes)]
