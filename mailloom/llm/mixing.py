@@ -83,6 +83,12 @@ def _softmax(scores: Column) -> Column:
     return _let(F.transform(scores, lambda x: F.exp(x - F.array_max(scores))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
 
 
+def _buckets(texts: DataFrame) -> DataFrame:
+    """A row for each of the buckets ``b``. From a plain explode the optimizer infers a filter on the array's size, which it moves
+    below the join with the labels: every text would be cut twice there, labelled or not."""
+    return texts.select("domain", F.explode_outer("b").alias("b")).where(F.col("b").isNotNull())
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", train_docs: int = 20000, least_z: float = 4.0, least_odds: float = 1.5) -> Classifier:
     """A classifier from the labelled documents.
 
@@ -102,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     if not total.sum():
         return Classifier((0.0,) * len(DOMAINS), ((0.0,) * BUCKETS,) * len(DOMAINS))
     counts = np.zeros((len(DOMAINS), BUCKETS))
-    for row in texts.select("domain", F.explode("b").alias("b")).groupBy("b").agg(*each).collect():
+    for row in _buckets(texts).groupBy("b").agg(*each).collect():
         counts[:, row["b"]] = list(row)[1:]
     weights, priors = [], np.log((total + 1) / (total.sum() + len(DOMAINS)))
     for k in range(len(DOMAINS)):

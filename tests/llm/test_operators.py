@@ -207,6 +207,18 @@ def test_mixing(spark):
             mixing.by_share(wrong)
 
 
+def test_mixing_cuts_labelled_texts_only(spark):
+    labels = spark.createDataFrame([(0, 1), (2, 2)], "labelled long, domain int")
+    docs = table(spark, [(0, "stone river"), (1, "lantern"), (2, "copper copper"), *EMPTY])
+    texts = docs.join(F.broadcast(labels), docs["doc_id"] == labels["labelled"]).select("domain", mixing._read(F.col("text"))["buckets"].alias("b"))
+    rows = mixing._buckets(texts)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "split(" not in plan[plan.index("Join Inner") :]
+    assert sorted(rows.groupBy("domain").count().collect()) == [(1, 5), (2, 4)]
+    no_words = spark.createDataFrame([(1, [])], "domain int, b array<int>")
+    assert mixing._buckets(no_words).count() == 0
+
+
 def test_mixing_classifier_equals_naive_bayes(spark):
     rng = random.Random(8)
     docs, labels = [], []
