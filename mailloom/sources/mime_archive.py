@@ -1,7 +1,7 @@
 """Ingestion of raw messages (one RFC 822 message per file or row) into the message tables.
 
 Header blocks, the part tree, transfer encodings, charsets of one byte and UTF-8 are column expressions
-(``functions.rfc822``): a message never leaves its row, whatever its depth. Python only reads what Spark has no codec for:
+(``functions.rfc822``): a message never leaves its row, whatever its depth, and rows are dealt out once ahead. Python only reads what Spark has no codec for:
 encoded words in headers and names, and texts in charsets of several bytes. Messages without either send it nothing.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from mailloom.functions import rfc822 as R
 from mailloom.functions.text import let
+from mailloom.sources.staging import spread
 
 _ENCODED = re.compile(r"=\?[^?\s]+\?[bBqQ]\?[^?\s]*\?=(?:\s+=\?[^?\s]+\?[bBqQ]\?[^?\s]*\?=)*")
 
@@ -85,7 +86,7 @@ def parse_messages(df: DataFrame, raw: str, *keys: str) -> DataFrame:
     """
     is_binary = isinstance(df.schema[raw].dataType, T.BinaryType)
     names = [F.col(k) for k in keys]
-    rows = df.select(*names, R.latin(F.col(raw), is_binary).alias("_raw"))
+    rows = spread(df.select(*dict.fromkeys([*keys, raw]))).select(*names, R.latin(F.col(raw), is_binary).alias("_raw"))
     rows = rows.select(*names, R.head_and_body(F.col("_raw"))["head"].alias("_head"), F.transform(R.leaves(F.col("_raw")), R.part).alias("_parts"))
     lines = F.transform(R.header_lines(F.col("_head")), lambda x: F.struct(x["name"].alias("name"), R.utf8_text(R.to_bytes(x["value"])).alias("value")))
     rows = rows.select(*names, "_parts", lines.alias("_lines"))

@@ -137,3 +137,20 @@ def test_blocks(evaluate):
     text = "-??A\n1\n2\n??A-\nx\n-??B\n3\n??B-\n-??A\n4\n??A-\n-??C\nopen"
     assert evaluate(Q.parse_blocks, [text, ""]) == [{"A": "4", "B": "3"}, {}]
     assert evaluate(Q.is_extraction_error, ["a -??EXTRACTION_ERROR", "b", None]) == [True, False, False]
+
+
+def test_rows_are_dealt_out_ahead_of_text_work(spark):
+    from pyspark.sql import functions as F
+
+    from mailloom.sources.mime_archive import parse_messages
+    from mailloom.sources.staging import spread
+
+    rows = spark.range(400).select("id", F.lit("same").alias("t"), F.array("id").alias("a"), F.lit(None).cast("string").alias("x.y")).coalesce(1)
+    dealt = spread(rows)
+    held = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert dealt.columns == rows.columns and sum(r["count"] for r in held) == 400
+    raw = parse_messages(rows.select("id", F.lit("Subject: a\r\n\r\nb").alias("raw")), "raw", "id")
+    for plan in (dealt, raw):
+        assert "RepartitionByExpression" in plan._jdf.queryExecution().optimizedPlan().toString()
+    only_arrays = rows.select("a")
+    assert spread(only_arrays).collect() == only_arrays.collect()
