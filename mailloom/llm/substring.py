@@ -22,8 +22,11 @@ from pyspark.sql import types as T
 from mailloom.llm.common import col, fresh, mix64, slices, utf8
 
 ANCHOR = 5
-#: Text bytes of a block, on average.
+#: Text bytes of a block, on average, and of the piece of it whose words are in arrays at once (a longer text is its own piece).
 BLOCK_BYTES = 4 << 20
+PIECE_BYTES = 256 << 10
+#: Windows looked up at once.
+_AT_ONCE = 1 << 16
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -48,19 +51,6 @@ class _Powers:
                 setattr(cls, name, np.cumprod(steps, dtype=np.uint64))
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and where each text's words begin and end among them."""
-    data, offsets = utf8(texts)
-    hashes, first = [], [np.zeros(1, np.int64)]
-    total = 0
-    for a, b in slices(offsets):
-        own, lengths = _slice_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        hashes.append(own)
-        first.append(total + np.cumsum(lengths))
-        total += len(own)
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(first)
-
-
 def _slice_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
@@ -96,24 +86,34 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-class _Block:
-    """The windows of a block of texts: their hashes, anchors, first words and rows."""
+class _Words:
+    """The words and windows of one piece of a block: ``first`` and ``last`` of its rows, words by row, hashes of all words."""
+
+    def __init__(self, first: int, lengths: np.ndarray, hashes: np.ndarray | None = None):
+        self.first, self.last, self.lengths, self.hashes = first, first + len(lengths), lengths, hashes
+
+    def windows_at(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each word, and the first words of the windows that lie in one row."""
+        rows = np.repeat(np.arange(self.first, self.last, dtype=np.int32), self.lengths)
+        many = max(0, len(rows) - window + 1)
+        return rows, np.flatnonzero(rows[:many] == rows[len(rows) - many :])
+
+
+def _pieces(table: pa.Table, text: str):
+    """The words of a block's texts, a bounded piece of whole rows at a time."""
+    data, offsets = utf8(table[text])
+    for a, b in slices(offsets, PIECE_BYTES):
+        hashes, lengths = _slice_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield _Words(a, lengths, hashes)
 
-    def __init__(self, table: pa.Table, text: str, order: str, window: int):
-        hashes, self.first = words(table[text])
-        self.rows = np.repeat(np.arange(table.num_rows), np.diff(self.first))
-        many = max(0, len(hashes) - window + 1)
-        whole = self.rows[:many] == self.rows[len(self.rows) - many :]
-        self.at = np.flatnonzero(whole)
-        anchor = min(ANCHOR, window)
-        if many:
-            # Minima crowd at the low end of the hash space; mixed again they spread evenly over its ranges.
-            self.anchors = mix64(_sliding_min(_grams(hashes, anchor), window - anchor + 1)[self.at])
-            self.windows = _grams(hashes, window)[self.at]
-        else:
-            self.anchors = self.windows = np.zeros(0, np.uint64)
-        ids = table[order].to_numpy()
-        self.ids = ids[self.rows[self.at]] if many else np.zeros(0, np.int64)
+
+def _anchors(piece: _Words, at: np.ndarray, window: int) -> np.ndarray:
+    """The anchor of each window."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    anchor = min(ANCHOR, window)
+    # Minima crowd at the low end of the hash space; mixed again they spread evenly over its ranges.
+    return mix64(_sliding_min(_grams(piece.hashes, anchor), window - anchor + 1)[at])
 
 
 def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,6 +140,63 @@ def _numbers(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
+def _seeds(table: pa.Table, text: str, window: int) -> np.ndarray:
+    """The distinct anchors of a block, in order."""
+    found = [np.unique(_anchors(x, x.windows_at(window)[1], window)) for x in _pieces(table, text)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _extended(table: pa.Table, text: str, order: str, window: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of a block whose anchors are ``shared`` (sorted), in order, and the smallest id of each."""
+    order_ids = table[order].to_numpy()
+    keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for x in _pieces(table, text):
+        rows, at = x.windows_at(window)
+        at = at[_within(_anchors(x, at, window), shared)]
+        keys.append(_grams(x.hashes, window)[at])
+        ids.append(order_ids[rows[at]])
+    keys, ids = np.concatenate(keys), np.concatenate(ids)
+    distinct = np.unique(keys)
+    least = np.full(len(distinct), _LAST, np.int64)
+    for a in range(0, len(keys), _AT_ONCE):
+        np.minimum.at(least, np.searchsorted(distinct, keys[a : a + _AT_ONCE]), ids[a : a + _AT_ONCE])
+    return distinct, least
+
+
+def _gone(table: pa.Table, text: str, order: str, window: int, told: np.ndarray, told_ids: np.ndarray):
+    """Per piece of a block its words (without hashes) and a mark for each of them: does it lie in a window that starts earlier?
+
+    Earlier are the ids told of other blocks and those of this one; only windows that came twice or were told take part.
+    """
+    order_ids = table[order].to_numpy()
+    pieces, windows = [], []
+    for x in _pieces(table, text):
+        windows.append(_grams(x.hashes, window)[x.windows_at(window)[1]])
+        pieces.append(_Words(x.first, x.lengths))
+    every = np.concatenate(windows) if windows else np.zeros(0, np.uint64)
+    every.sort()
+    asked = np.union1d(every[1:][every[1:] == every[:-1]], told)
+    del every
+    least = np.full(len(asked), _LAST, np.int64)
+    np.minimum.at(least, np.searchsorted(asked, told), told_ids)
+    found = []
+    for x, own in zip(pieces, windows, strict=True):
+        rows, at = x.windows_at(window)
+        there = _within(own, asked)
+        place = np.searchsorted(asked, own[there]).astype(np.int32)
+        np.minimum.at(least, place, order_ids[rows[at[there]]])
+        found.append((there, place))
+    del windows
+    for x, (there, place) in zip(pieces, found, strict=True):
+        rows, at = x.windows_at(window)
+        at = at[there]
+        late = at[least[place] < order_ids[rows[at]]]
+        steps = np.zeros(len(rows) + 1, np.int32)
+        steps[late] += 1
+        steps[late + window] -= 1
+        yield x, np.cumsum(steps[:-1]) > 0
+
+
 def _packed(rows: list[tuple], names: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(names)})
 
@@ -188,7 +245,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     blocks = dealt.groupBy(col(block))
 
     def seeds(table: pa.Table) -> pa.Table:
-        found = np.unique(_Block(table, text, order, window).anchors)
+        found = _seeds(table, text, window)
         return _to_parts(found, np.zeros(0, np.int64), table[block][0].as_py(), parts)
 
     def shared(table: pa.Table) -> pa.Table:
@@ -205,9 +262,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     def extend(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return _packed([], _ASKED)
-        own = _Block(table, text, order, window)
-        pick = _within(own.anchors, np.sort(np.concatenate(_numbers(told["keys"], np.uint64))))
-        keys, ids, _ = _least(own.windows[pick], own.ids[pick])
+        keys, ids = _extended(table, text, order, window, np.sort(np.concatenate(_numbers(told["keys"], np.uint64))))
         return _to_parts(keys, ids, table[block][0].as_py(), parts)
 
     def earliest(table: pa.Table) -> pa.Table:
@@ -219,32 +274,18 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         return _to_blocks(at[late], keys[late], least[place[late]])
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
-        own = _Block(table, text, order, window)
-        keys, ids, place = _least(own.windows, own.ids)
-        if told.num_rows and len(keys):
-            to = np.searchsorted(keys, np.concatenate(_numbers(told["keys"], np.uint64)))
-            ids[to] = np.minimum(ids[to], np.concatenate(_numbers(told["ids"], np.int64)))
-        late = own.at[ids[place] < own.ids] if len(keys) else own.at
-        steps = np.zeros(len(own.rows) + 1, np.int32)
-        steps[late] += 1
-        steps[late + window] -= 1
-        gone = np.cumsum(steps[:-1]) > 0
-        removed = np.bincount(own.rows[gone], minlength=table.num_rows)
-        texts, runs = [], []
-        first = own.first
-        for row, value in enumerate(table[text]):
-            value = value.as_py()
-            if not removed[row]:
-                texts.append(value if whitespace == "original" else " ".join(x.decode() for x in (value or "").encode().split()))
-                runs.append([])
-                continue
-            lost = gone[first[row] : first[row + 1]]
-            edges = np.flatnonzero(np.diff(lost, prepend=False, append=False))
-            runs.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
-            texts.append(_kept(value.encode(), lost, runs[-1], whitespace))
-        out = table.select(names).set_column(names.index(text), text, pa.array(texts, pa.string()))
-        out = out.append_column("n_words", pa.array(np.diff(first), pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
-        return out.append_column("removed", pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+        keys, ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if told.num_rows:
+            keys, ids = np.concatenate(_numbers(told["keys"], np.uint64)), np.concatenate(_numbers(told["ids"], np.int64))
+        done = []
+        for x, gone in _gone(table, text, order, window, keys, ids):
+            own, n_removed, runs = _without(table[text].slice(x.first, len(x.lengths)), x.lengths, gone, whitespace)
+            done.append(pa.table({"text": own, "n_words": pa.array(x.lengths, pa.int64()), "n_removed": n_removed, "removed": runs}))
+        done = pa.concat_tables(done)
+        out = table.select(names).set_column(names.index(text), text, done["text"])
+        for name in ("n_words", "n_removed", "removed"):
+            out = out.append_column(name, done[name])
+        return out
 
     asked, told = "part int, block int, keys binary, ids binary", "block int, keys binary, ids binary"
     seeded = blocks.applyInArrow(seeds, asked).groupBy("part").applyInArrow(shared, told)
@@ -253,6 +294,29 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     return blocks.cogroup(answers.groupBy("block")).applyInArrow(cut, T.StructType([*docs.schema.fields, *added]))
 
 
+_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _without(texts: pa.ChunkedArray, lengths: np.ndarray, gone: np.ndarray, whitespace: str) -> tuple[pa.ChunkedArray, pa.Array, pa.Array]:
+    """A piece's texts without the words that are gone, how many these are by row, and their runs."""
+    first = np.append(0, np.cumsum(lengths))
+    removed = np.diff(np.append(0, np.cumsum(gone))[first])
+    if whitespace == "original" and not removed.any():
+        return texts.cast(pa.string()), pa.array(removed, pa.int64()), pa.array([[]] * len(lengths), _RUNS)
+    out, runs = [], []
+    for row, value in enumerate(texts):
+        value = value.as_py()
+        if not removed[row]:
+            out.append(value if whitespace == "original" else " ".join(x.decode() for x in (value or "").encode().split()))
+            runs.append([])
+            continue
+        lost = gone[first[row] : first[row + 1]]
+        edges = np.flatnonzero(np.diff(lost, prepend=False, append=False))
+        runs.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
+        out.append(_kept(value.encode(), lost, runs[-1], whitespace))
+    return pa.chunked_array([pa.array(out, pa.string())]), pa.array(removed, pa.int64()), pa.array(runs, _RUNS)
+
+
 def _kept(value: bytes, lost: np.ndarray, runs: list[dict], whitespace: str) -> str:
     if whitespace == "single":
         return b" ".join(compress(value.split(), (~lost).tolist())).decode()
