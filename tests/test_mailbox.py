@@ -13,7 +13,7 @@ from mailloom.functions import patterns as P
 from mailloom.functions.html import columns_map, decode_entities, grid_columns, html_to_text, leaf_elements, table_grid
 from mailloom.functions.mime import extension
 from mailloom.operators import counts, filters, numbering
-from mailloom.operators.attachments import attachment_parts, export_names
+from mailloom.operators.attachments import attachment_parts, export_names, file_mode_names
 from mailloom.operators.bodies import body_with_fallback, first_part, part_bodies, refetched
 from mailloom.operators.counts import count_by_folder, position_pieces
 from mailloom.operators.filters import criteria
@@ -198,6 +198,21 @@ def test_export_targets_are_unique(spark):
     assert len(set(got.values())) == len(got) == 8
 
 
+def test_export_names_sort_a_message_once(spark):
+    """Counts and positions of a message's attachments come from one window, so a task holds one sort for them."""
+    df = spark.createDataFrame([("a", "f", 1, dt.datetime(2024, 1, 1), k, n) for k, n in ((1, "b.pdf"), (2, "A.txt"), (3, None))],
+                               "account string, folder string, uid int, internal_date timestamp_ntz, part_no int, name string")
+    named = file_mode_names(df, "x.PDF")
+    assert named.columns == [*df.columns, "target"]
+    assert {r["part_no"]: r["target"] for r in named.collect()} == {1: "3_x.PDF", 2: "2_x.PDF.txt", 3: None}
+
+    def windows(found):
+        return found._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+
+    assert windows(named) == 1
+    assert windows(export_names(df)) == 6  # three readings of the numbered rows, names taken, and bare names twice
+
+
 def test_templates_run_on_the_engine_that_checks_them(spark):
     from mailloom.functions.patterns import template_pattern
 
