@@ -31,7 +31,7 @@ ROMAN = (
     ("", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"),
 )
 
-_HIDDEN = r"(?is)<!--.*?-->|<(" + "|".join(HIDDEN_TAGS) + r")(?:\s[^>]*)?>.*?</\1\s*>"
+_HIDDEN = r"(?is)<(?:!--.*?-->|(" + "|".join(HIDDEN_TAGS) + r")(?:\s[^>]*)?>.*?</\1\s*>)"
 _VOID = r"(?i)<(?:" + "|".join(VOID_TAGS) + r")(?:\s[^>]*)?/?>"
 _SPACES = r"[ \t\r\f\x{200b}]+"
 # Control characters that stand for one line break, a blank line, and a forced line break.
@@ -39,6 +39,20 @@ _BREAK, _GAP, _FORCED = "\x01", "\x02", "\x03"
 # A space that stays, the ends of an item's label, and the ends of text in capitals.
 _PAD, _LABEL, _LABELLED, _UPPER, _LOWER = "\x05", "\x0e", "\x0f", "\x06", "\x07"
 
+# Tags that need a look of their own only where a page has one of them.
+_LISTS = r"(?i)</?(?:ol|ul|li)[\s/>]"
+_RARE = r"(?i)<(?:[bh]r|/?h[3-6])[\s/>]"
+# Regular tables. Every "<" opens a tag that closes ahead of the next one, and there are no control characters of ours and no
+# white space beyond Java's \s; once other tags are out, rows hold cells that close by their own tag, and nothing else.
+# Long character classes are slow in Java, so only a character in the right range is looked up in one.
+_ODD = r"[\x01-\x0f\u1680-\uffff](?<=[\x01-\x07\x0e\x0f\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff])"
+_TAGGED = r"\A[^<]*+(?:<[^<>]++>[^<]*+)*+\z"
+_OTHER_TAGS = r"<(?i)(?!t[rhd]|/t[rhd]>)[^>]++>"
+_BLANKS = r"[ \t\n\x0B\f\r\xa0]++"
+_OUTSIDE = r"[^<]*+(?:<thead[^>]*+>[^<]*+)*+"
+_CELLS = r"(?:<t(?:d[^>]*+>[^<]*+</td>|h[^>]*+>[^<]*+</th>)[^<]*+)++"
+_GRID = rf"(?i)\A{_OUTSIDE}(?:<tr[^>]*+>[^<]*+{_CELLS}</tr>{_OUTSIDE})++\z"
+
 
 def _tags(names: tuple[str, ...], close: str = "/?") -> str:
     return f"(?i)<{close}(?:" + "|".join(names) + r")(?:\s[^>]*)?/?>"
@@ -160,39 +174,60 @@ def _with_labels(c: Column) -> Column:
             (_tags(("li",), close="/"), _BREAK),
         ],
     )
-    # Bullets on one level need no state; only numbers and nested lists are worth the scan.
+    # Bullets on one level need no state; only numbers and nested lists are worth the scan. Many pages have no list.
     nested = r"(?i)<ol[\s/>]|<ul[\s/>][^<]*+(?:<(?!/?ul[\s/>])[^<]*+)*+<ul[\s/>]"
-    return F.when(c.rlike(nested), let(scanned, laid_out)).otherwise(flat)
+    return F.when(~c.rlike(_LISTS), c).when(c.rlike(nested), let(scanned, laid_out)).otherwise(flat)
 
 
 def _fragment_text(c: Column) -> Column:
     """Tags to break marks; the marks are resolved once the fragments are joined again."""
-    return _replace(
-        c,
-        [
-            (_SPACES, " "),
-            (r"(?i)<br(?:\s[^>]*)?/?>", _FORCED),
-            (r"(?i)<hr(?:\s[^>]*)?/?>", f"{_GAP}{RULE_LINE}{_GAP}"),
-            (_tags(CAPITAL_TAGS, close=""), f"{_GAP}{_UPPER}"),
-            (_tags(CAPITAL_TAGS, close="/"), f"{_LOWER}{_GAP}"),
-            (_tags(("h3",), close=""), _GAP),
-            (_tags(("h3", *BLOCK_TAGS)), _BREAK),
-            (_tags(WIDE_BLOCK_TAGS), _GAP),
-            (r"(?s)<[^>]*>", ""),
-        ],
-    )
+    rare = [
+        (r"(?i)<br(?:\s[^>]*)?/?>", _FORCED),
+        (r"(?i)<hr(?:\s[^>]*)?/?>", f"{_GAP}{RULE_LINE}{_GAP}"),
+        (_tags(CAPITAL_TAGS, close=""), f"{_GAP}{_UPPER}"),
+        (_tags(CAPITAL_TAGS, close="/"), f"{_LOWER}{_GAP}"),
+        (_tags(("h3",), close=""), _GAP),
+    ]
+    common = [(_tags(("h3", *BLOCK_TAGS)), _BREAK), (_tags(WIDE_BLOCK_TAGS), _GAP), (r"(?s)<[^>]*>", "")]
+    single = F.regexp_replace(c, _SPACES, " ")
+    return _replace(let(single, lambda t: F.when(t.rlike(_RARE), _replace(t, rare)).otherwise(t)), common)
+
+
+def _regular(table: Column) -> Column:
+    """A regular table with the tags of rows and cells only and single blanks; null for any other table.
+
+    Cells of such a table need no cleaning one by one. White space and tags inside a cell go as :func:`row_cells` takes them.
+    """
+    bare = _replace(table, [(_OTHER_TAGS, ""), ("&nbsp;", " "), (_BLANKS, " ")])
+    return let(F.when(table.rlike(_TAGGED) & ~table.rlike(_ODD), bare), lambda t: F.when(t.rlike(_GRID), t))
 
 
 def _row_lines(table: Column) -> Column:
-    """``| a | b |`` lines of one table; rows without cells are dropped."""
+    """``| a | b |`` lines of one table; rows without cells are dropped. Spaces around the bars may be marks of kept spaces."""
     rows = F.filter(
-        F.transform(table_rows(table), lambda row: row_cells(row, decode=False)),
+        F.transform(
+            table_rows(F.regexp_replace(table, f"{_LABEL}[^{_LABELLED}]*{_LABELLED}|[{_BREAK}{_GAP}]", "")),
+            lambda row: row_cells(row, decode=False),
+        ),
         lambda cells: F.size(cells) > 0,
     )
-    return F.array_join(
+    any_table = F.array_join(
         F.transform(rows, lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))), "\n"
     )
 
+    def lines(t: Column) -> Column:
+        return _replace(
+            t,
+            [
+                (r"(?i) ?</t[hd]>[^<]*+<t[hd][^>]*+> ?", f"{_PAD}|{_PAD}"),
+                (rf"(?i) ?</t[hd]>[^<]*+</tr>{_OUTSIDE}", f"{_PAD}|"),
+                (r"(?i)<tr[^>]*+>[^<]*+<t[hd][^>]*+> ?", f"\n|{_PAD}"),
+                (r"\A[^\n]*+", ""),
+            ],
+        )
+
+    return let(_regular(table), lambda t: F.coalesce(lines(t), any_table))
+
 
 def _in_capitals(c: Column) -> Column:
     """Upper-case what stands between the marks; the text in front of the first mark stays."""
@@ -203,21 +238,21 @@ def _in_capitals(c: Column) -> Column:
             F.concat(F.upper(F.substring_index(piece, _LOWER, 1)), F.substring(piece, F.length(F.substring_index(piece, _LOWER, 1)) + 1, F.length(piece)))
         ),
     )
-    return F.when(F.contains(c, F.lit(_UPPER)), F.translate(F.array_join(upper, ""), _LOWER, "")).otherwise(F.translate(c, _LOWER, ""))
+    return F.regexp_replace(F.when(F.contains(c, F.lit(_UPPER)), F.array_join(upper, "")).otherwise(c), _LOWER, "")
 
 
 def html_to_text(c: Column | str) -> Column:
     """Readable text: line breaks for blocks, link text only, lists with labels, rules, tables as piped lines, no wrapping."""
-    listed = let(F.translate(visible_html(c), _PAD + _LABEL + _LABELLED + _UPPER + _LOWER, ""), _with_labels)
-    marked = F.regexp_replace(listed, r"(?i)</table\s*>", "\x04")
-    fragments = split_at(marked, r"(?i)<table(?:\s[^>]*)?>")
+    listed = let(F.regexp_replace(visible_html(c), f"[{_PAD}{_LABEL}{_LABELLED}{_UPPER}{_LOWER}]+", ""), _with_labels)
+    marked = F.regexp_replace(listed, r"</(?i)table\s*>", "\x04")
+    fragments = split_at(marked, r"<(?i)table(?:\s[^>]*)?>")
 
     def fragment(part: Column, i: Column) -> Column:
-        inside = F.substring_index(part, "\x04", 1)
-        after = F.substring(part, F.length(inside) + 2, F.length(part))
-        cells = F.regexp_replace(inside, f"{_LABEL}[^{_LABELLED}]*{_LABELLED}|[{_BREAK}{_GAP}]", "")
-        in_table = F.concat(F.lit(_BREAK), _row_lines(cells), F.lit(_BREAK), _fragment_text(after))
-        return F.when(i == 0, _fragment_text(part)).otherwise(in_table)
+        def in_table(inside: Column) -> Column:
+            after = F.substring(part, F.length(inside) + 2, F.length(part))
+            return F.concat(F.lit(_BREAK), _row_lines(inside), F.lit(_BREAK), _fragment_text(after))
+
+        return F.when(i == 0, _fragment_text(part)).otherwise(let(F.substring_index(part, "\x04", 1), in_table))
 
     joined = F.array_join(F.transform(fragments, fragment), "")
     laid_out = _replace(
@@ -229,7 +264,7 @@ def html_to_text(c: Column | str) -> Column:
             (r"\n*\x03", "\n"),
         ],
     )
-    spaced = F.translate(laid_out, f"{_PAD}\x04{_LABEL}{_LABELLED}", " ")
+    spaced = _replace(laid_out, [(f"[\x04{_LABEL}{_LABELLED}]+", ""), (_PAD, " ")])
     return let(let(F.btrim(spaced, F.lit(" \n")), decode_entities), _in_capitals)
 
 

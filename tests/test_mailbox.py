@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import mailbox
 from mailbox import REF_DATE
 from mailloom.functions import patterns as P
-from mailloom.functions.html import columns_map, decode_entities, grid_columns, html_to_text, leaf_elements, table_grid
+from mailloom.functions import html
+from mailloom.functions.html import columns_map, decode_entities, grid_columns, html_to_text, leaf_elements, table_grid, tables
 from mailloom.functions.mime import extension
 from mailloom.operators import counts, filters, numbering
 from mailloom.operators.attachments import attachment_parts, export_names, file_mode_names
@@ -147,6 +148,19 @@ def test_html_lists(evaluate):
     assert evaluate(html_to_text, [many])[0].splitlines()[-1] == " 1000. i1000"
 
 
+def test_html_regular_tables(evaluate):
+    """A regular table is read by whole-table steps and gives the lines that cell by cell cleaning gives; odd tables are cleaned cell by cell."""
+    pages = {
+        "<table>\n<thead><tr class=h><TH>A</th> <th> b&nbsp; <b>c</b>\n d</th></tr></thead>x<tbody><tr><td> </td><td>&lt;i&gt; | e</td></tr></tbody></table>z": "| A | b c d |\n|  | <i> | e |\nz",
+        "<table><tr><td>a<td>b</td></tr><tr></tr></table>": "| ab |",
+        "<table><tr><td>a</td></tr><tr <b>x><td>\u3000c</td></tr></table>": "| a |\n| c |",
+        "<table><tr><td>&nb<i>sp;</i>a</td><td>1 < 2</td></tr></table>": "| a | 1 < 2 |",
+    }
+    assert dict(zip(pages, evaluate(html_to_text, list(pages)))) == pages
+    regular = evaluate(lambda c: html._regular(tables(c)[0]).isNotNull(), list(pages))
+    assert regular == [True, False, False, False]
+
+
 def test_html_tables(evaluate):
     columns = evaluate(lambda c: columns_map(grid_columns(table_grid(c))), [
         mailbox.SURVEY_TABLE, mailbox.SURVEY_CELLS,
